@@ -3,6 +3,7 @@
 from lodgeframe.catalog.registry import oracles, queries
 from lodgeframe.catalog import (  # noqa: F401  (registers the queries)
     revenue,
+    variance,
 )
 
 __all__ = ["oracles", "queries"]

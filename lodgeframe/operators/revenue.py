@@ -99,10 +99,16 @@ def candidate_stays(tables: StayTables, start: str, end: str) -> DataFrame:
 
 
 def extract_bounds(candidates: DataFrame) -> DataFrame:
-    """First and last extract time of a set of stays."""
+    """First and last extract time of a set of stays.
+
+    The two are kinds of aggregates that Spark does not merge into one
+    subquery: only a subquery with a single plain value reaches the row-group
+    statistics of the scan it bounds.
+    """
+    ts = F.col("extract_last_update_dtm")
     return candidates.agg(
-        F.min("extract_last_update_dtm").alias("extract_last_update_dtm_min"),
-        F.max("extract_last_update_dtm").alias("extract_last_update_dtm_max"),
+        F.min(ts).alias("extract_last_update_dtm_min"),
+        F.max_by(ts, F.struct(ts)).alias("extract_last_update_dtm_max"),
     )
 
 

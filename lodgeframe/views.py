@@ -8,6 +8,7 @@ results are checked.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,9 @@ from lodgeframe.operators.revenue import StayTables
 START, END = "1998-01-01", "1998-06-30"
 
 
+@lru_cache(maxsize=256)
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table by name; its schema is read from the files once per session."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -109,18 +112,13 @@ def checkout_transaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fx_rates(spark: SparkSession) -> DataFrame:
-    plan = "Plan Exchange Rates"
-    rows = [
-        ("USD", 1.0, plan), ("EUR", 1.1, plan), ("GBP", 1.25, plan), ("EUR", 9.9, "Daily Rates"),
-    ]
-    return spark.createDataFrame(
-        rows, "from_currency string, exchange_rate double, conversion_type string"
-    ).select(
-        "exchange_rate",
-        F.lit("1998-01-01").cast("date").alias("rate_date"),
-        "from_currency",
-        F.lit("USD").alias("to_currency"),
-        "conversion_type",
+    return spark.sql(
+        """
+        SELECT CAST(rate AS DOUBLE) AS exchange_rate, DATE '1998-01-01' AS rate_date,
+          currency AS from_currency, 'USD' AS to_currency, kind AS conversion_type
+        FROM VALUES ('USD', 1.0, 'Plan Exchange Rates'), ('EUR', 1.1, 'Plan Exchange Rates'),
+          ('GBP', 1.25, 'Plan Exchange Rates'), ('EUR', 9.9, 'Daily Rates')
+          AS rates(currency, rate, kind)"""
     )
 
 
