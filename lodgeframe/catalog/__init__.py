@@ -4,6 +4,9 @@ from lodgeframe.catalog.registry import oracles, queries
 from lodgeframe.catalog import (  # noqa: F401  (registers the queries)
     revenue,
     variance,
+    columns,
+    joins,
+    aggregates,
 )
 
 __all__ = ["oracles", "queries"]

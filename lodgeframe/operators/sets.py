@@ -77,18 +77,18 @@ def number_rows(
         Window.unboundedPreceding, -1
     )
     starts = pieces.select(
-        "part",
-        *groups,
+        F.col("part").alias("start part"),
+        *[F.col(quoted(g)).alias(f"start {g}") for g in partition_by],
         "first_at",
         F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"),
     )
-    same = [placed["part"] == starts["part"]] + [
-        placed[g].eqNullSafe(starts[g]) for g in groups
+    same = [F.col("part") == F.col("`start part`")] + [
+        F.col(quoted(g)).eqNullSafe(F.col(quoted(f"start {g}"))) for g in partition_by
     ]
     numbered = placed.join(starts, reduce(lambda a, b: a & b, same))
     return numbered.select(
-        *[placed[quoted(c)] for c in df.columns],
-        (F.col("before") + placed["at"] - F.col("first_at") + 1).alias(name),
+        *[quoted(c) for c in df.columns],
+        (F.col("before") + F.col("at") - F.col("first_at") + 1).alias(name),
     )
 
 
