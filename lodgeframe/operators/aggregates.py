@@ -99,6 +99,15 @@ def variance_matrix(
     )
 
 
+def variance_detail(cells: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
+    """The differing values of one column."""
+    return cells.filter(F.col("column_name") == column).select(
+        *keys,
+        F.col("test_value").alias(f"{column}_test"),
+        F.col("prod_value").alias(f"{column}_prod"),
+    )
+
+
 def run_summary(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Mismatches per key of a cell comparison."""
     return cells.groupBy(*keys).agg(
