@@ -239,6 +239,16 @@ def compare_tidy(
     a, b = numbered(test, test_columns, "t"), numbered(prod, prod_columns, "p")
     paired = outer_join_on(a, b, [*group, "row_num"])
 
+    types = {"t": test.select(*map(quoted, test_columns)).schema.fields}
+    types["p"] = prod.select(*map(quoted, prod_columns)).schema.fields
+
+    def number(side: str, i: int, text: Column) -> Column:
+        fields = types[side]
+        if i < len(fields) and isinstance(fields[i].dataType, T.NumericType):
+            value = F.nanvl(F.col(f"{side}{i}").cast("double"), F.lit(None).cast("double"))
+            return F.round(value, FLOAT_PLACES)
+        return to_number(text, FLOAT_PLACES)
+
     missing_row = {
         "t": F.when(~F.col("in_left"), F.lit("ROW MISSING IN TEST")),
         "p": F.when(~F.col("in_right"), F.lit("ROW MISSING IN PROD")),
@@ -251,28 +261,31 @@ def compare_tidy(
             return F.lit(f"COLUMN MISSING IN {label}")
         return F.coalesce(missing_row[side], F.col(f"{side}{i}").cast("string"))
 
-    cells = []
+    # the values of a row are made once, then laid out as one row per cell
+    values, cells = [], []
     for i in positions:
         t_name = test_columns[i] if i < len(test_columns) else None
         p_name = prod_columns[i] if i < len(prod_columns) else None
         label = f"{t_name} / {p_name}" if t_name and p_name and t_name != p_name else t_name or p_name
         t, p = value("t", i), value("p", i)
-        difference = F.round(to_number(t, FLOAT_PLACES) - to_number(p, FLOAT_PLACES), FLOAT_PLACES)
-        same = F.when(difference.isNotNull(), difference == 0).otherwise(t.eqNullSafe(p))
+        gap = F.round(number("t", i, t) - number("p", i, p), FLOAT_PLACES)
+        values += [t.alias(f"test{i}"), p.alias(f"prod{i}"), gap.alias(f"gap{i}")]
+        t, p, gap = F.col(f"test{i}"), F.col(f"prod{i}"), F.col(f"gap{i}")
+        same = F.when(gap.isNotNull(), gap == 0).otherwise(t.eqNullSafe(p))
         cells.append(
             F.struct(
                 F.lit(i + 1).alias("column_position"),
                 F.lit(label).alias("column_name"),
                 t.alias("test_value"),
                 p.alias("prod_value"),
-                difference.alias("variance"),
+                gap.alias("variance"),
                 F.when(same, F.lit("Y")).otherwise(F.lit("N")).alias("match"),
             )
         )
     keys = [quoted(g) for g in group]
     body = paired.select(
-        *keys, F.col("row_num").cast("string").alias("row_num"), F.inline(F.array(*cells))
-    )
+        *keys, F.col("row_num").cast("string").alias("row_num"), *values
+    ).select(*keys, "row_num", F.inline(F.array(*cells)))
     counts = paired.groupBy(*keys).agg(
         F.count_if("in_left").alias("t"), F.count_if("in_right").alias("p")
     )

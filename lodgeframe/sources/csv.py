@@ -16,10 +16,16 @@ NO_VALUE = "\u0001NULL"
 TYPES = {"Int64": "bigint", "Float64": "double", "Boolean": "boolean", "String": "string"}
 
 
-def scan_csv(spark: SparkSession, path: str | Sequence[str], **options) -> DataFrame:
-    """All columns as text, exactly as in the files."""
+def scan_csv(
+    spark: SparkSession, path: str | Sequence[str], multi_line: bool = False
+) -> DataFrame:
+    """All columns as text, exactly as in the files.
+
+    ``multi_line`` allows line breaks inside quoted fields. Such a file cannot
+    be split, so that each file is then read by one task.
+    """
     reader = spark.read.options(
-        header=True, encoding="UTF-8", nullValue=NO_VALUE, multiLine=False, escape='"', **options
+        header=True, encoding="UTF-8", nullValue=NO_VALUE, escape='"', multiLine=multi_line
     )
     return reader.csv(path)
 
@@ -78,9 +84,10 @@ def read_csv(
     spark: SparkSession,
     path: str | Sequence[str],
     overrides: Mapping[str, str] | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
     """A CSV file with inferred types, some of them overridden."""
-    text = scan_csv(spark, path)
+    text = scan_csv(spark, path, multi_line)
     return apply_types(text, infer_types(text, overrides))
 
 
@@ -92,6 +99,11 @@ def read_extract(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def write_csv(df: DataFrame, path: str, partition_by: Iterable[str] = ()) -> None:
     """Overwrite a folder of CSV files with a header; blanks stay blanks."""
     writer = df.write.mode("overwrite").options(
-        header=True, nullValue="", emptyValue='""', escape='"'
+        header=True,
+        nullValue="",
+        emptyValue='""',
+        escape='"',
+        ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False,
     )
     writer.partitionBy(*partition_by).csv(path)
