@@ -393,9 +393,13 @@ def compare_extracts(
     measures: Sequence[str] = (),
     missing_from: str = "one",
     strict: bool = False,
+    check_keys: bool = True,
 ) -> DataFrame:
     """Two extracts side by side on their grain, with text and percentage variances."""
     check_extracts(select, table, grain)
+    if check_keys:
+        check_unique(select, grain, "select")
+        check_unique(table, grain, "table")
     joined = outer_join_on(select, table, grain, ("_select", "_table")).drop("in_left", "in_right")
     rest = sorted(c for c in joined.columns if c not in grain)
     joined = joined.select(*[quoted(c) for c in [*grain, *rest]])

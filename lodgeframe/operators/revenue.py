@@ -370,7 +370,7 @@ def transaction_flags(
     rows = (
         inside.filter(is_v1(category))
         .join(stays, ["stay_id", "extract_last_update_dtm"])
-        .join(primary_category(inside.filter(F.col("charge_category") >= category)), keys, "left")
+        .join(primary_category(inside), keys, "left")
     )
     tests = v4_filters(category, F.col("primary_charge_category"))
     flags = {

@@ -1,3 +1,4 @@
+import random
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -210,3 +211,78 @@ def test_version_table(spark):
     got = rev.version_table(spark, "food").collect()
     assert [r["version"] for r in got] == ["v1", "v2", "v3", "v4"]
     assert got[0]["filter logic"] == "(current): charge_category = food"
+
+
+def test_transaction_report_shows_the_true_primary_category(spark):
+    t = tables(
+        spark,
+        [(1, 1, "A", 0, "USD", d(9), d(11), "C")],
+        [(1, 7, 1, d(9), d(11))],
+        [
+            room(1, 100.0, posting="D"),
+            room(1, 5.0, category="food"),
+            room(1, 9.0, trans=2),
+            room(1, 3.0, trans=3, routed=None, own=False),
+            room(1, 2.0, trans=None, account="RX"),
+        ],
+    )
+    got = rev.transaction_flags(t, START, END).select(
+        "ledger_entry_amt", "primary_charge_category", "in_v1", "in_v2", "in_v3", "in_v4"
+    )
+    yes, no = "include", "exclude"
+    assert sorted((float(r[0]), *r[1:]) for r in got.collect()) == [
+        (2.0, None, yes, yes, yes, yes),
+        (3.0, "room", yes, no, yes, no),
+        (9.0, "room", yes, yes, yes, yes),
+        (100.0, "food", yes, no, no, no),
+    ]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_revenue_against_brute_force(spark, seed):
+    """Random transactions, summed row by row in Python."""
+    rnd = random.Random(seed)
+    stays = range(1, 9)
+    details = [(s, 1, "A", s % 3, "USD", d(9), d(11), "C") for s in stays]
+    bookings = [(s, 7, 1, d(9), d(11)) for s in stays]
+    txns = [
+        room(
+            rnd.choice([1, *stays]),
+            float(rnd.randint(-3, 9)),
+            hour=rnd.randint(0, 3),
+            trans=rnd.choice([None, 1, 2, 3]),
+            folio=rnd.choice([1, 2]),
+            category=rnd.choice(["room", "room", "tax", "food", "", "shop"]),
+            entry=rnd.choice(["CHARGE", "ADJUST", "ALLOWE", "PAYMT"]),
+            posting=rnd.choice(["P", "P", "D"]),
+            account=rnd.choice(["RM", "RX"]),
+            routed=rnd.choice([True, False, None]),
+            own=rnd.random() < 0.8,
+        )
+        for _ in range(400)
+    ]
+    t = tables(spark, details, bookings, txns)
+    for category in ("room", "tax"):
+        primary = {}
+        for s, h, f, tf, tr, cat, e, p, acc, routed, amt in txns:
+            if h <= 2 and cat and p == "P" and tr is not None and amt:
+                primary[s, f, tr] = max(primary.get((s, f, tr), ""), cat)
+        expected = {}
+        for s, h, f, tf, tr, cat, e, p, acc, routed, amt in txns:
+            if h != s % 3 or cat != category:
+                continue
+            sums = expected.setdefault(s, [0.0] * 4)
+            posted = e in ("CHARGE", "ADJUST", "ALLOWE") and p == "P"
+            sums[0] += amt
+            sums[1] += amt * (posted and routed is False)
+            sums[2] += amt * posted
+            if f == tf:
+                first = primary.get((s, f, tr))
+                sums[3] += amt * (first == cat and e in ("CHARGE", "ADJUST", "ALLOWE"))
+                sums[3] += amt * (first == cat == "tax" and e == "ALLOWE")
+                sums[3] += amt * (cat == "room" and acc == "RX")
+        got = {
+            r["stay_id"]: [float(r[f"lc_{v}"]) for v in rev.VERSIONS]
+            for r in rev.stay_revenue(t, START, END, category).collect()
+        }
+        assert got == expected
