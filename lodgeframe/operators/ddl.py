@@ -184,16 +184,15 @@ def non_ascii_values(df: DataFrame, column: str) -> DataFrame:
 
 def character_bytes(df: DataFrame, column: str, only_non_ascii: bool = False) -> DataFrame:
     """One row per character of a text, with its place and its bytes in UTF-8."""
-    chars = F.transform(
-        F.split(F.col(quoted(column)), ""),
-        lambda c, i: F.struct((i + 1).alias("position"), c.alias("char")),
-    )
     if only_non_ascii:
-        chars = F.filter(chars, lambda s: F.octet_length(s["char"]) > 1)
+        df = non_ascii_values(df, column)
     rest = [quoted(c) for c in df.columns if c != column]
-    return df.select(*rest, F.inline(chars)).select(
+    chars = df.select(*rest, F.posexplode(F.split(F.col(quoted(column)), "")).alias("at", "char"))
+    if only_non_ascii:
+        chars = chars.filter(F.octet_length("char") > 1)
+    return chars.select(
         *rest,
-        "position",
+        (F.col("at") + 1).alias("position"),
         "char",
         F.hex(F.encode("char", "UTF-8")).alias("utf8_bytes"),
         F.octet_length("char").alias("byte_length"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodgeframe.functions.text import ends_with_whitespace, starts_with_whitespace
+from lodgeframe.functions.text import WHITESPACE
 from lodgeframe.functions.types import profile_type
 from lodgeframe.operators.sets import union_all
 from lodgeframe.operators.shape import quoted
@@ -47,37 +47,46 @@ _OTHER_PASSES = (AVG_VALUE, DISTINCT)
 COLUMNS_PER_PASS = 50
 
 
-def _string_metrics(v: Column) -> dict[str, Column]:
-    known = v.isNotNull()
-    leading, ending = starts_with_whitespace(v), ends_with_whitespace(v)
-    # of equally long values the smallest is shown
-    shortest = F.min(F.when(known, F.struct(F.length(v).alias("n"), v.alias("v"))))
-    longest = F.min(F.when(known, F.struct((-F.length(v)).alias("n"), v.alias("v"))))
-    widest = F.min(F.when(known, F.struct((-F.octet_length(v)).alias("n"), v.alias("v"))))
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+_SPACES = ", ".join(f"'\\u{ord(c):04x}'" for c in WHITESPACE)
+
+
+def _string_metrics(v: str) -> dict[str, str]:
+    leading = f"substring({v}, 1, 1) IN ({_SPACES})"
+    ending = f"substring({v}, -1, 1) IN ({_SPACES})"
+
+    def first_by(length: str) -> str:
+        # of equally long values the smallest is shown
+        return f"min(CASE WHEN {v} IS NOT NULL THEN struct({length} AS n, {v} AS v) END)"
+
+    shortest, longest = first_by(f"length({v})"), first_by(f"-length({v})")
+    widest = first_by(f"-octet_length({v})")
     return {
-        "character_blank_count": F.count_if(v == ""),
-        "min_length_of_characters": shortest["n"],
-        "value_with_min_length_of_characters": shortest["v"],
-        "max_length_of_characters": -longest["n"],
-        "value_with_max_length_of_characters": longest["v"],
-        "max_octet_length": -widest["n"],
-        "value_with_max_octet_length": widest["v"],
-        AVG_LENGTH: F.ceil(F.avg(F.length(v))),
-        "count_of_values_with_leading_whitespace": F.count_if(leading),
-        "count_of_values_with_ending_whitespace": F.count_if(ending),
-        "count_of_values_with_beginning_and_ending_whitespace": F.count_if(leading & ending),
+        "character_blank_count": f"count_if({v} = '')",
+        "min_length_of_characters": f"{shortest}.n",
+        "value_with_min_length_of_characters": f"{shortest}.v",
+        "max_length_of_characters": f"-{longest}.n",
+        "value_with_max_length_of_characters": f"{longest}.v",
+        "max_octet_length": f"-{widest}.n",
+        "value_with_max_octet_length": f"{widest}.v",
+        AVG_LENGTH: f"ceil(avg(length({v})))",
+        "count_of_values_with_leading_whitespace": f"count_if({leading})",
+        "count_of_values_with_ending_whitespace": f"count_if({ending})",
+        "count_of_values_with_beginning_and_ending_whitespace": f"count_if({leading} AND {ending})",
     }
 
 
-def _column_metrics(name: str, data_type: T.DataType) -> dict[str, Column]:
-    v = F.col(quoted(name))
-    rows, nulls = F.count(F.lit(1)), F.count_if(v.isNull())
+def _column_metrics(name: str, data_type: T.DataType) -> dict[str, str]:
+    v = quoted(name)
     metrics = {
-        "row_count": rows,
-        "null_count": nulls,
-        "is_completely_null": F.when(rows == nulls, F.lit("yes")).otherwise(F.lit("no")),
-        "min_value": F.min(v),
-        "max_value": F.max(v),
+        "row_count": "count(1)",
+        "null_count": f"count_if({v} IS NULL)",
+        "is_completely_null": f"if(count({v}) = 0, 'yes', 'no')",
+        "min_value": f"min({v})",
+        "max_value": f"max({v})",
     }
     if isinstance(data_type, T.StringType):
         metrics.update(_string_metrics(v))
@@ -85,17 +94,14 @@ def _column_metrics(name: str, data_type: T.DataType) -> dict[str, Column]:
 
 
 def _one_pass(df: DataFrame, fields: Sequence[tuple[int, T.StructField]], metrics) -> DataFrame:
+    """All plain metrics of some columns; written as SQL, one expression for all of them."""
     rows = []
     for position, field in fields:
         own = _column_metrics(field.name, field.dataType)
-        rows.append(
-            F.struct(
-                F.lit(position).alias("position"),
-                F.lit(field.name).alias("field"),
-                *[own.get(m, F.lit(None)).cast(METRICS[m]).alias(m) for m in metrics],
-            )
-        )
-    return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+        cells = [f"CAST({own.get(m, 'NULL')} AS {METRICS[m]}) AS {m}" for m in metrics]
+        head = [f"{position} AS position", f"{_literal(field.name)} AS field"]
+        rows.append(f"struct({', '.join(head + cells)})")
+    return df.agg(F.expr(f"array({', '.join(rows)})").alias("rows")).select(F.inline("rows"))
 
 
 def _average_values(df: DataFrame, fields: Iterable[str], base: DataFrame) -> DataFrame:
@@ -103,56 +109,76 @@ def _average_values(df: DataFrame, fields: Iterable[str], base: DataFrame) -> Da
     fields = list(fields)
     averages = base.agg(
         *[
-            F.max(F.when(F.col("field") == f, F.col(AVG_LENGTH))).alias(f"avg {i}")
+            F.expr(f"max(CASE WHEN field = {_literal(f)} THEN {AVG_LENGTH} END) AS `avg {i}`")
             for i, f in enumerate(fields)
         ]
     )
     rows = [
-        F.struct(
-            F.lit(f).alias("field"),
-            F.min(
-                F.when(F.length(quoted(f)) == F.col(f"`avg {i}`"), F.col(quoted(f)))
-            ).alias(AVG_VALUE),
-        )
+        f"struct({_literal(f)} AS field, "
+        f"min(CASE WHEN length({quoted(f)}) = `avg {i}` THEN {quoted(f)} END) AS {AVG_VALUE})"
         for i, f in enumerate(fields)
     ]
     # the averages are one row
     both = df.select(*[quoted(f) for f in fields]).crossJoin(F.broadcast(averages))
-    return both.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+    return both.agg(F.expr(f"array({', '.join(rows)})").alias("rows")).select(F.inline("rows"))
+
+
+def _comparable(name: str, data_type: T.DataType) -> tuple[str, str]:
+    """A kind of value, and the column as that kind.
+
+    Whole numbers and floating-point numbers stay as they are. Other values
+    are taken as text, and from 32 bytes on as the text's SHA-256 digest, so
+    that long texts need not travel. A shorter text is never taken for a digest.
+    """
+    if isinstance(data_type, T.IntegralType):
+        return "bigint", f"CAST({quoted(name)} AS BIGINT)"
+    if isinstance(data_type, (T.FloatType, T.DoubleType)):
+        return "double", f"CAST({quoted(name)} AS DOUBLE)"
+    return "text", _text_or_digest(name)
+
 
+def _text_or_digest(name: str) -> str:
+    raw = f"CAST(CAST({quoted(name)} AS STRING) AS BINARY)"
+    return f"if(octet_length({raw}) >= 32, unhex(sha2({raw}, 256)), {raw})"
 
-def count_distinct(df: DataFrame) -> DataFrame:
+
+def count_distinct(df: DataFrame, columnar: bool = True) -> DataFrame:
     """Number of distinct values of each column, a missing value counted as one.
 
-    All columns are counted together: values are dealt out as (column, value)
-    rows, and repeats are dropped before and after the one shuffle. Values of
-    32 bytes and more travel as their SHA-256 digest, so long texts do not.
+    Columns are counted together: values are dealt out as (column, value) rows,
+    and repeats are dropped before and after the shuffle, so a value that fills
+    a third of the rows is one row per task. In a columnar source the numbers
+    and the texts are dealt out separately, each reading its own columns;
+    ``columnar=False`` takes all as text and scans the source once.
     """
-    names = df.columns
-    packed = []
-    for i, name in enumerate(names):
-        text = F.col(quoted(name)).cast("string")
-        raw = text.cast("binary")
-        digest = F.unhex(F.sha2(raw, 256))
-        packed.append(F.when(F.octet_length(raw) >= 32, digest).otherwise(raw).alias(str(i)))
-    positions = [quoted(str(i)) for i in range(len(names))]
-    values = df.select(*packed).unpivot([], positions, "position", "value").distinct()
-    return values.groupBy(F.col("position").cast("int").alias("position")).agg(
-        F.count(F.lit(1)).alias(DISTINCT)
-    )
+    kinds: dict[str, dict[str, str]] = {}
+    for i, field in enumerate(df.schema.fields):
+        kind, value = "text", _text_or_digest(field.name)
+        if columnar:
+            kind, value = _comparable(field.name, field.dataType)
+        kinds.setdefault(kind, {})[str(i)] = value
+    counts = []
+    for columns in kinds.values():
+        values = df.selectExpr(*[f"{v} AS `{i}`" for i, v in columns.items()])
+        values = values.unpivot([], [quoted(i) for i in columns], "position", "value").distinct()
+        counts.append(values.groupBy("position").agg(F.count(F.lit(1)).alias(DISTINCT)))
+    return union_all(counts).withColumn("position", F.col("position").cast("int"))
 
 
 def profile_table(
     df: DataFrame,
     metrics: Iterable[str] | None = None,
     types: Mapping[str, str] | None = None,
+    columnar: bool = True,
 ) -> DataFrame:
     """One row per column with its type and metrics.
 
     Three passes over the data at most: one for all plain metrics, one for the
     values of average length, whose length must be known first, and one for
-    distinct counts, which alone needs a shuffle of values. ``types`` overrides
-    the type names shown.
+    distinct counts, which alone needs a shuffle of values. In a columnar
+    source that last pass is split by kind of value; for text files
+    ``columnar=False`` keeps it a single scan. ``types`` overrides the type
+    names shown.
     """
     wanted = [m for m in METRICS if metrics is None or m in set(metrics)]
     if metrics is not None and set(metrics) - set(METRICS):
@@ -173,9 +199,9 @@ def profile_table(
         else:
             result = result.withColumn(AVG_VALUE, F.lit(None).cast("string"))
     if DISTINCT in wanted:
-        result = result.join(count_distinct(df), "position", "left")
+        result = result.join(count_distinct(df, columnar), "position", "left")
     names = {f.name: profile_type(f.dataType) for _, f in fields} | dict(types or {})
-    type_rows = F.array(*[F.lit(names[f.name]) for _, f in fields])
+    type_rows = F.expr(f"array({', '.join(_literal(names[f.name]) for _, f in fields)})")
     return (
         result.withColumn("data_type", F.get(type_rows, F.col("position")))
         .orderBy("position")

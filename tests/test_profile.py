@@ -55,6 +55,14 @@ def test_every_metric(spark):
     assert (got["n"]["min_value"], got["n"]["max_value"]) == ("0", "9")
 
 
+def test_odd_column_names(spark):
+    df = spark.createDataFrame([("a", " b")], ["it's `q`", "back\\slash.x"])
+    got = by_field(profile_table(df))
+    assert list(got) == df.columns
+    assert got["it's `q`"]["value_with_avg_length_of_characters"] == "a"
+    assert got["back\\slash.x"]["count_of_values_with_leading_whitespace"] == 1
+
+
 def test_average_length_without_such_a_value(spark):
     df = spark.createDataFrame([("a",), ("bbbbb",)], "t string")
     got = by_field(profile_table(df))["t"]
@@ -93,8 +101,18 @@ def test_distinct_with_a_hot_value(spark):
     df = spark.range(20000).select(
         F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("v")
     )
-    expected = df.distinct().count()
-    assert count_distinct(df).collect()[0]["count_of_distinct_values"] == expected
+    assert count_distinct(df).collect()[0]["count_of_distinct_values"] == df.distinct().count()
+
+
+def test_distinct_is_the_same_for_text_sources(spark):
+    df = spark.range(100).select(
+        F.col("id"),
+        (F.col("id") % 7 / 2).alias("x"),
+        F.when(F.col("id") % 3 > 0, F.concat(F.lit("v"), F.col("id") % 5)).alias("s"),
+        (F.col("id") % 2 == 0).alias("b"),
+    )
+    assert rows(count_distinct(df)) == rows(count_distinct(df, columnar=False))
+    assert rows(count_distinct(df)) == [(0, 100), (1, 7), (2, 6), (3, 2)]
 
 
 # ---------------------------------------------------------------- merging
