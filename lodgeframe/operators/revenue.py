@@ -39,6 +39,9 @@ PLAN_RATES = "Plan Exchange Rates"
 
 AMOUNT = "decimal(28,6)"
 
+# Tasks that the transactions of one stay are dealt to.
+SALTS = 8
+
 
 @dataclass(frozen=True)
 class StayTables:
@@ -186,9 +189,6 @@ def stay_factors(
 ) -> DataFrame:
     """The population with room nights and the share of the stay to recognise."""
     stays = with_days_excluded(population(tables, start, end, date_logic), start, end)
-    # stays to bookings on the stay alone, then to the version of the booking:
-    # the result is not yet placed by stay, so the join to the transactions
-    # shuffles both its sides and can split a hot stay
     booked = stays.join(tables.booking_curr.select("stay_id", "stay_key"), "stay_id").join(
         tables.booking.select("stay_id", "stay_key", room_nights().alias("room_nights")),
         ["stay_id", "stay_key"],
@@ -322,9 +322,19 @@ def stay_revenue(
     def version_sum(name: str) -> Column:
         return F.sum(F.when(of_version, F.col(name))).alias(name)
 
+    # A stay with very many rows is dealt to several tasks by a hash of the row. As the salt is
+    # no grouping key, the sums below need a shuffle of their own, after combining; that also
+    # lets adaptive execution split what is still too large.
+    salted_rows = rows.withColumn(
+        "salt", F.pmod(F.xxhash64(*[c for c in rows.columns if c != "stay_id"]), F.lit(SALTS))
+    )
+    salted_stays = stays.withColumn(
+        "salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
+    )
+
     amounts = ["in_category", "v1_amt", "v2_amt", "v3_amt", "f1_amt", "f2_amt", "f3_amt"]
     per_transaction = (
-        rows.join(stays, "stay_id")
+        salted_rows.join(salted_stays, ["stay_id", "salt"])
         .groupBy(*stay_keys, "extract_last_update_dtm", "folio_id", "trans_id")
         .agg(
             F.max("has_category").alias("has_category"),

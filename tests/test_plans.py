@@ -112,3 +112,16 @@ def test_windows_filter_reaches_the_detail_scan(spark, tmp_path):
     df = rev.filter_status(rev.filter_overlap(detail, START, END)).select("stay_id")
     scan = [line for line in physical(df).splitlines() if "FileScan" in line][0]
     assert "LessThanOrEqual(arrival_dt,1998-06-30)" in scan
+
+
+def test_transactions_of_a_stay_are_dealt_to_several_tasks(spark):
+    df = rev.stay_revenue(views.stay_tables(spark, SF), START, END)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = physical(df)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    salted = [s for s in plan.splitlines() if "SortMergeJoin" in s and "salt#" in s]
+    assert len(salted) == 1
+    # the sums are shuffled on their own keys, not left where the join put them
+    assert re.search(r"Exchange hashpartitioning\(prop_cd#\d+, stay_id#", plan)
