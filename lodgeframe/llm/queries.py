@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from lodgeframe.llm.common import read
 from lodgeframe.llm.exact_search import exact_top_k, scaled, usable
 from lodgeframe.llm.sharding import shard_documents
+from lodgeframe.llm.simhash import near_duplicates
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +51,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_simhash": op2_simhash,
         "op7_sharding": op7_sharding,
         "op8_exact_search": op8_exact_search,
     }
