@@ -9,14 +9,60 @@ from pyspark.sql import functions as F
 
 from lodgeframe.llm.common import read
 from lodgeframe.llm.exact_search import exact_top_k, scaled, usable
+from lodgeframe.llm.licences import scan_licences
 from lodgeframe.llm.sharding import shard_documents
 from lodgeframe.llm.simhash import near_duplicates
+from lodgeframe.llm.unit_dedup import remove_repeats
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans are listed as start-stop, in characters of the original text."""
+    spans = F.transform("removed_spans", lambda s: F.concat_ws("-", s["start"], s["stop"]))
+    return remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id",
+        "text",
+        F.size("removed_spans").cast("long").alias("n_removed"),
+        F.array_join(spans, ",").alias("removed"),
+    )
+
+
+OP1_SQL = """
+WITH lines AS (
+  SELECT doc_id, i, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n
+  FROM (SELECT doc_id, text, 0 AS i FROM documents WHERE text IS NOT NULL)
+), placed AS (
+  SELECT doc_id, n, line, coalesce(sum(length(line) + 1) OVER (
+           PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+         trim(regexp_replace(lower(line), '\\s+', ' ', 'g')) AS unit
+  FROM lines
+), ranked AS (
+  SELECT *, len(string_split(unit, ' ')) >= 5 AND row_number() OVER (
+           PARTITION BY unit ORDER BY doc_id, n) > 1 AS gone
+  FROM placed
+)
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '') AS text,
+       count(*) FILTER (gone) AS n_removed,
+       coalesce(string_agg(CAST(CAST(start AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(start + length(line) AS BIGINT) AS VARCHAR), ',' ORDER BY n)
+         FILTER (gone), '') AS removed
+FROM ranked GROUP BY doc_id
+"""
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits are listed as licence@start-stop."""
+    hit = lambda h: F.concat(h["licence"], F.lit("@"), h["start"], F.lit("-"), h["stop"])
+    return scan_licences(read(spark, sf_dir, "documents")).select(
+        "doc_id",
+        F.array_join("sentence_ids", ",").alias("sentences"),
+        F.array_join(F.array_distinct(F.transform("hits", lambda h: h["licence"])), ",").alias("licences"),
+        F.array_join(F.transform("hits", hit), ",").alias("hits"),
+    )
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_documents(read(spark, sf_dir, "documents"), shards=16)
     return placed.select(
@@ -51,11 +97,13 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring_dedup": op1_substring_dedup,
         "op2_simhash": op2_simhash,
+        "op3_licences": op3_licences,
         "op7_sharding": op7_sharding,
         "op8_exact_search": op8_exact_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_search": OP8_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op8_exact_search": OP8_SQL}
