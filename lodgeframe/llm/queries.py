@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodgeframe.llm.common import read
+from lodgeframe.llm.common import held_out, read, written
 from lodgeframe.llm.exact_search import exact_top_k, scaled, usable
+from lodgeframe.llm.language import identify, learn_languages
 from lodgeframe.llm.licences import scan_licences
+from lodgeframe.llm.packing import pack, token_pieces
 from lodgeframe.llm.sharding import shard_documents
 from lodgeframe.llm.simhash import near_duplicates
 from lodgeframe.llm.unit_dedup import remove_repeats
@@ -63,6 +66,16 @@ def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = token_pieces(
+        read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096
+    )
+    narrow = pieces.select(
+        "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")
+    )
+    return pack(written(narrow, "pieces"), capacity=4096)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_documents(read(spark, sf_dir, "documents"), shards=16)
     return placed.select(
@@ -78,6 +91,14 @@ def op8_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(rows, rows.where(F.col("id") % 50 == 0), k=5)
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    apart = held_out(F.col("doc_id"), 4, 2)
+    model = learn_languages(docs, ~apart)
+    found = docs.select("doc_id", apart.alias("held_out"), identify(model, F.col("text")).alias("found"))
+    return found.select("doc_id", "held_out", "found.lang_pred", "found.score", "found.ambiguous")
+
+
 OP8_SQL = """
 WITH usable AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v
@@ -100,8 +121,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_substring_dedup": op1_substring_dedup,
         "op2_simhash": op2_simhash,
         "op3_licences": op3_licences,
+        "op5_packing": op5_packing,
         "op7_sharding": op7_sharding,
         "op8_exact_search": op8_exact_search,
+        "op9_language": op9_language,
     }
 
 
