@@ -13,6 +13,7 @@ from lodgeframe.llm.exact_search import exact_top_k, scaled, usable
 from lodgeframe.llm.language import identify, learn_languages
 from lodgeframe.llm.licences import scan_licences
 from lodgeframe.llm.packing import pack, token_pieces
+from lodgeframe.llm.quality import learn_quality, quality_score
 from lodgeframe.llm.sharding import shard_documents
 from lodgeframe.llm.simhash import near_duplicates
 from lodgeframe.llm.unit_dedup import remove_repeats
@@ -76,6 +77,16 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(written(narrow, "pieces"), capacity=4096)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    apart = held_out(F.col("doc_id"), 5, 0)
+    model = learn_quality(docs, read(spark, sf_dir, "labels"), ~apart)
+    scored = docs.select(
+        "doc_id", apart.alias("held_out"), quality_score(model, F.col("text")).alias("score")
+    )
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_documents(read(spark, sf_dir, "documents"), shards=16)
     return placed.select(
@@ -122,6 +133,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_simhash": op2_simhash,
         "op3_licences": op3_licences,
         "op5_packing": op5_packing,
+        "op6_quality": op6_quality,
         "op7_sharding": op7_sharding,
         "op8_exact_search": op8_exact_search,
         "op9_language": op9_language,
