@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodgeframe.llm.ann_search import approximate_top_k
 from lodgeframe.llm.common import held_out, read, written
 from lodgeframe.llm.exact_search import exact_top_k, scaled, usable
 from lodgeframe.llm.language import identify, learn_languages
@@ -67,6 +68,13 @@ def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"), F.col("embedding").alias("vector")
+    )
+    return approximate_top_k(rows, rows.where(F.col("id") % 20 == 0), k=20)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = token_pieces(
         read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096
@@ -132,6 +140,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_substring_dedup": op1_substring_dedup,
         "op2_simhash": op2_simhash,
         "op3_licences": op3_licences,
+        "op4_ann_search": op4_ann_search,
         "op5_packing": op5_packing,
         "op6_quality": op6_quality,
         "op7_sharding": op7_sharding,
