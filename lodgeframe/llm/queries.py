@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodgeframe.llm.ann_search import approximate_top_k
+from lodgeframe.llm.byte_bpe import decode, encode
 from lodgeframe.llm.common import held_out, read, written
 from lodgeframe.llm.exact_search import exact_top_k, scaled, usable
 from lodgeframe.llm.language import identify, learn_languages
@@ -118,6 +119,17 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score", "found.ambiguous")
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = encode(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return encoded.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(decode(F.col("ids"), path), 256).alias("decoded_sha256"),
+    )
+
+
 OP8_SQL = """
 WITH usable AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v
@@ -146,6 +158,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_sharding": op7_sharding,
         "op8_exact_search": op8_exact_search,
         "op9_language": op9_language,
+        "op10_byte_bpe": op10_byte_bpe,
     }
 
 
