@@ -34,9 +34,18 @@ def is_ascii(text: Column) -> Column:
     return F.octet_length(text) == F.length(text)
 
 
+# Numbers as text; a cast alone also takes forms with a type suffix, such as 12D.
+NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$|^\s*[+-]?(?i:nan|inf|infinity)\s*$"
+
+
+def parsed_number(text: Column) -> Column:
+    """Double, null where the text is no number."""
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+
+
 def to_number(value: Column, places: int | None = None) -> Column:
     """Double, null where the text is no number; optionally rounded."""
-    number = value.try_cast("double")
+    number = parsed_number(value.cast("string"))
     number = F.when(F.isnan(number), F.lit(None).cast("double")).otherwise(number)
     return number if places is None else F.round(number, places)
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+
+from lodgeframe.functions.text import parsed_number
 from pyspark.sql import types as T
 
 # Dictionary spellings and the type names they stand for.
@@ -93,7 +95,7 @@ def dictionary_type(name: Column) -> Column:
 
 def varchar_length(max_length: Column, data_type: Column) -> Column:
     """Length of a varchar column; null for other types and for lengths that are no number."""
-    length = max_length.try_cast("double").try_cast("bigint")
+    length = parsed_number(max_length.cast("string")).try_cast("bigint")
     return F.when(data_type == "varchar", length)
 
 

@@ -82,18 +82,25 @@ def variance_counts(checked: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def variance_matrix(
-    cells: DataFrame, keys: Sequence[str], columns: Sequence[str]
+    cells: DataFrame,
+    keys: Sequence[str],
+    columns: Sequence[str],
+    population: DataFrame | None = None,
 ) -> DataFrame:
     """Differing cells per key and column, zero where there are none, and their total.
 
-    Counts per key and column come first; the pivot then has its columns given
-    and needs no pass to find them.
+    With a ``population``, each of its keys has a row, also one without any difference. The keys take part
+    in the grouping, so there is no join, and missing ones match missing ones.
     """
     counts = [
         F.count_if(F.col("column_name") == c).alias(c) for c in columns
     ]
+    named = cells.select(*[quoted(k) for k in keys], "column_name")
+    if population is not None:
+        every = population.select(*[quoted(k) for k in keys]).distinct()
+        named = named.unionByName(every.withColumn("column_name", F.lit(None).cast("string")))
     return (
-        cells.groupBy(*keys)
+        named.groupBy(*[quoted(k) for k in keys])
         .agg(*counts)
         .withColumn("Total Variances", sum((F.col(quoted(c)) for c in columns), F.lit(0)))
     )

@@ -92,14 +92,24 @@ def select_columns(report: DataFrame, only_mapped: bool = False) -> DataFrame:
 
 
 def align_types(
-    df: DataFrame, warehouse_types: Mapping[str, str], places: int = FLOAT_PLACES
+    df: DataFrame,
+    warehouse_types: Mapping[str, str],
+    places: int = FLOAT_PLACES,
+    as_text: Sequence[str] = (),
 ) -> DataFrame:
-    """Cast columns to the types they are compared as, and round floating-point ones."""
+    """Cast columns to the types they are compared as, and round floating-point ones.
+
+    A value that does not fit its type is null; in the columns ``as_text`` values are given as the text
+    of the type, and such a value as its own text, so that it still differs from others.
+    """
     casts = {}
     for name in df.columns:
         target = compare_type(warehouse_types.get(name, "character varying"))
-        value = F.col(quoted(name)).cast(target)
-        casts[name] = F.round(value, places) if target == "double" else value
+        value = F.col(quoted(name)).try_cast(target)
+        value = F.round(value, places) if target == "double" else value
+        if name in as_text:
+            value = F.coalesce(value.cast("string"), F.col(quoted(name)).cast("string"))
+        casts[name] = value
     return df.select(*[c.alias(n) for n, c in casts.items()])
 
 
@@ -121,6 +131,22 @@ def _rounded(column: Column, data_type: T.DataType) -> Column:
     return column
 
 
+def _differ(a: Column, b: Column, a_type: T.DataType, b_type: T.DataType) -> Column:
+    """Whether two values differ, the same way round or the other: as rounded numbers if either is
+    floating-point, as they are if both are numbers or of one type, and otherwise as text."""
+    floating = (T.FloatType, T.DoubleType)
+    if isinstance(a_type, T.NumericType) and isinstance(b_type, T.NumericType):
+        if isinstance(a_type, floating) or isinstance(b_type, floating):
+            a, b = (F.round(x.cast("double"), FLOAT_PLACES) for x in (a, b))
+    elif type(a_type) is not type(b_type):
+        a, b = a.cast("string"), b.cast("string")
+    return ~a.eqNullSafe(b)
+
+
+def _types(df: DataFrame, columns: Sequence[str]) -> dict[str, T.DataType]:
+    return {f.name: f.dataType for f in df.select(*map(quoted, columns)).schema.fields}
+
+
 def compare_cells(
     test: DataFrame,
     prod: DataFrame,
@@ -143,12 +169,12 @@ def compare_cells(
     joined = outer_join_on(
         test.select(*names), prod.select(*names), keys, ("_test", "_prod")
     )
-    types = {f.name: f.dataType for f in test.select(*names).schema.fields}
+    of_test, of_prod = _types(test, columns), _types(prod, columns)
     cells, differs = [], []
     for c in columns:
-        a = _rounded(F.col(quoted(f"{c}_test")), types[c])
-        b = _rounded(F.col(quoted(f"{c}_prod")), types[c])
-        differs.append(~a.eqNullSafe(b))
+        a, b = F.col(quoted(f"{c}_test")), F.col(quoted(f"{c}_prod"))
+        differs.append(_differ(a, b, of_test[c], of_prod[c]))
+        a, b = _rounded(a, of_test[c]), _rounded(b, of_prod[c])
         cells.append(
             F.when(
                 differs[-1],
@@ -182,30 +208,35 @@ def compare_wide(
     columns: Sequence[str],
     check_keys: bool = True,
 ) -> DataFrame:
-    """The rows found on both sides that differ, each column's two values where they do."""
+    """The rows found on both sides that differ, each column's two values where they do.
+
+    Missing parts of a key match each other, as in compare_cells().
+    """
     if check_keys:
         check_unique(test, keys, "test")
         check_unique(prod, keys, "prod")
     names = [quoted(c) for c in [*keys, *columns]]
-    types = {f.name: f.dataType for f in test.select(*names).schema.fields}
-    sides = [
-        df.select(*names).withColumnsRenamed({c: f"{c}{s}" for c in columns})
-        for df, s in ((test, "_test"), (prod, "_prod"))
-    ]
+    of_test, of_prod = _types(test, columns), _types(prod, columns)
+    a, b = (
+        df.select(
+            *[F.col(quoted(k)).alias(f"{s} {k}" if s == "prod" else k) for k in keys],
+            *[F.col(quoted(c)).alias(f"{c}_{s}") for c in columns],
+        )
+        for df, s in ((test, "test"), (prod, "prod"))
+    )
+    same = [a[quoted(k)].eqNullSafe(b[quoted(f"prod {k}")]) for k in keys]
+    paired = a.join(b, reduce(lambda x, y: x & y, same))
     out, differs = [], []
     for c in columns:
-        a = _rounded(F.col(quoted(f"{c}_test")), types[c])
-        b = _rounded(F.col(quoted(f"{c}_prod")), types[c])
-        differs.append(~a.eqNullSafe(b))
+        a, b = F.col(quoted(f"{c}_test")), F.col(quoted(f"{c}_prod"))
+        differs.append(_differ(a, b, of_test[c], of_prod[c]))
+        a, b = _rounded(a, of_test[c]), _rounded(b, of_prod[c])
         out += [
             F.when(differs[-1], a).alias(f"{c}_test"),
             F.when(differs[-1], b).alias(f"{c}_prod"),
         ]
-    return (
-        sides[0]
-        .join(sides[1], list(keys))
-        .filter(reduce(lambda x, y: x | y, differs))
-        .select(*[quoted(k) for k in keys], *out)
+    return paired.filter(reduce(lambda x, y: x | y, differs)).select(
+        *[quoted(k) for k in keys], *out
     )
 
 
@@ -333,7 +364,7 @@ def stack_sides(
         check_unique(source, keys, "source")
         check_unique(target, keys, "target")
     columns = [c for c in source.columns if c not in keys]
-    types = {f.name: f.dataType for f in source.schema.fields}
+    of_source, of_target = _types(source, columns), _types(target, columns)
     joined = outer_join_on(source, target.select(*source.columns), keys, ("_s", "_t"))
     rows = {"SOURCE": [], "TARGET": [], "VARIANCE": []}
     both = F.col("in_left") & F.col("in_right")
@@ -341,8 +372,9 @@ def stack_sides(
         s, t = F.col(quoted(f"{c}_s")), F.col(quoted(f"{c}_t"))
         rows["SOURCE"].append(s.cast("string").alias(c))
         rows["TARGET"].append(t.cast("string").alias(c))
-        match = F.when(both & s.eqNullSafe(t), F.lit("MATCH")).otherwise(F.lit("MISMATCH"))
-        if isinstance(types[c], T.NumericType):
+        equal = ~_differ(s, t, of_source[c], of_target[c])
+        match = F.when(both & equal, F.lit("MATCH")).otherwise(F.lit("MISMATCH"))
+        if isinstance(of_source[c], T.NumericType) and isinstance(of_target[c], T.NumericType):
             number = F.round(s.cast("double") - t.cast("double"), FLOAT_PLACES)
             gap = F.when(both & s.isNull() & t.isNull(), F.lit("0")).otherwise(
                 plain_decimal(number)

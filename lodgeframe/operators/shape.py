@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
@@ -63,8 +64,12 @@ def rename_positional(df: DataFrame, like: DataFrame) -> DataFrame:
 
 
 def lower_names(df: DataFrame) -> DataFrame:
-    """Lower-case names, without the ``.n`` that marks a repeated header."""
-    return df.toDF(*[c.split(".")[0].lower() for c in df.columns])
+    """Lower-case names, without the ``.n`` that marks a repeated header. Names that become equal are an error."""
+    names = [re.sub(r"\.[0-9]+$", "", c).lower() for c in df.columns]
+    repeated = sorted({n for n in names if names.count(n) > 1})
+    if repeated:
+        raise ValueError(f"several columns would be named {repeated}")
+    return df.toDF(*names)
 
 
 def to_numeric(df: DataFrame, places: Mapping[str, int]) -> DataFrame:
@@ -77,7 +82,8 @@ def all_string(df: DataFrame) -> DataFrame:
 
 
 def cast_columns(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
-    return df.withColumns({c: F.col(quoted(c)).cast(t) for c, t in types.items()})
+    """Cast columns; a value that does not fit its type becomes null and ends nothing."""
+    return df.withColumns({c: F.col(quoted(c)).try_cast(t) for c, t in types.items()})
 
 
 def fill(df: DataFrame, values: Mapping[str, object]) -> DataFrame:

@@ -42,13 +42,11 @@ def compare_environments(
     if measures:
         test = sum_by_rest(test, list(measures))
     columns = [c for c in shared if c not in keys]
-    cells = compare_cells(
-        align_types(test, warehouse_types), align_types(prod, warehouse_types), keys, columns
-    )
-    cells = written(cells, "cells")
+    aligned = (align_types(df, warehouse_types, as_text=columns) for df in (test, prod))
+    cells = written(compare_cells(*aligned, keys, columns), "cells")
     return {
         "variance": cells,
-        "matrix": variance_matrix(cells, population_keys, sorted(columns)),
+        "matrix": variance_matrix(cells, population_keys, sorted(columns), population),
     }
 
 

@@ -7,27 +7,36 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodgeframe.functions.text import parsed_number
 from lodgeframe.operators.shape import quoted
 
 # An unquoted empty field is missing, a quoted one is a blank. Spark keeps the
 # two apart when its marker for missing values is one that no file contains.
 NO_VALUE = "\u0001NULL"
 
+# How files are read unless a caller says otherwise. Line breaks may stand inside quoted fields, a doubled quote
+# is a quote, and a file whose header differs from the others' is an error, not a mix-up.
+DIALECT = {
+    "header": True,
+    "encoding": "UTF-8",
+    "nullValue": NO_VALUE,
+    "escape": '"',
+    "multiLine": True,
+    "enforceSchema": False,
+}
+
 TYPES = {"Int64": "bigint", "Float64": "double", "Boolean": "boolean", "String": "string"}
 
 
 def scan_csv(
-    spark: SparkSession, path: str | Sequence[str], multi_line: bool = False
+    spark: SparkSession, path: str | Sequence[str], multi_line: bool = True
 ) -> DataFrame:
-    """All columns as text, exactly as in the files.
+    """All columns as text, exactly as in the files, which must have one header.
 
-    ``multi_line`` allows line breaks inside quoted fields. Such a file cannot
-    be split, so that each file is then read by one task.
+    Each file is read by one task, since line breaks inside quoted fields do not let it be split.
+    ``multi_line=False`` splits large files, and is only for files known to have no such line breaks.
     """
-    reader = spark.read.options(
-        header=True, encoding="UTF-8", nullValue=NO_VALUE, escape='"', multiLine=multi_line
-    )
-    return reader.csv(path)
+    return spark.read.options(**{**DIALECT, "multiLine": multi_line}).csv(path)
 
 
 def infer_types(df: DataFrame, overrides: Mapping[str, str] | None = None) -> dict[str, str]:
@@ -69,10 +78,7 @@ def _whole_number(v):
 
 
 def _number(v):
-    return F.when(
-        v.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?(NaN|inf|Infinity)$"),
-        v.try_cast("double"),
-    )
+    return F.when(~v.rlike(r"\s"), parsed_number(v))
 
 
 def apply_types(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
@@ -84,7 +90,7 @@ def read_csv(
     spark: SparkSession,
     path: str | Sequence[str],
     overrides: Mapping[str, str] | None = None,
-    multi_line: bool = False,
+    multi_line: bool = True,
 ) -> DataFrame:
     """A CSV file with inferred types, some of them overridden."""
     text = scan_csv(spark, path, multi_line)
@@ -92,8 +98,14 @@ def read_csv(
 
 
 def read_extract(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A comparison extract, whose columns are known."""
-    return spark.read.schema(schema).option("header", True).csv(path)
+    """A comparison extract, whose columns are known; they are found by their names in the header.
+
+    A column that is not there is an error, a value that does not fit its type is missing, and further columns
+    are ignored.
+    """
+    fields = spark.createDataFrame([], schema).schema.fields
+    text = scan_csv(spark, path)
+    return text.select(*[F.col(quoted(f.name)).try_cast(f.dataType).alias(f.name) for f in fields])
 
 
 def write_csv(df: DataFrame, path: str, partition_by: Iterable[str] = ()) -> None:

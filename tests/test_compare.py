@@ -133,7 +133,7 @@ def test_environments(spark):
         ["rate"],
     )
     assert rows(run["variance"]) == [(2, 1, "both", "rate", "1.0", "4.0")]
-    assert rows(run["matrix"]) == [(2, 0, 1, 1)]
+    assert rows(run["matrix"]) == [(1, 0, 0, 0), (2, 0, 1, 1)]
 
 
 def test_columns(spark):
@@ -228,3 +228,34 @@ def test_variance_matrix(spark):
     )
     assert rows(agg.variance_matrix(cells, ["k"], ["a", "b"])) == [(1, 2, 0, 2), (2, 0, 1, 1)]
     assert rows(agg.variance_detail(cells, ["k"], "b")) == [(2, "1", "2")]
+
+
+def test_wide_form_keeps_missing_keys(spark):
+    a = spark.createDataFrame([(None, 1), (2, 2)], "k int, v int")
+    b = spark.createDataFrame([(None, 9), (2, 2)], "k int, v int")
+    assert rows(cmp.compare_wide(a, b, ["k"], ["v"])) == [(None, 1, 9)]
+
+
+@pytest.mark.parametrize("swap", [False, True])
+def test_types_are_compared_alike_both_ways(spark, swap):
+    a = spark.createDataFrame([(1, 3, "5", 7)], "k int, n int, t string, f int")
+    b = spark.createDataFrame([(1, 3.00000000000001, 5, 7.5)], "k int, n double, t int, f double")
+    a, b = (b, a) if swap else (a, b)
+    assert [r["column_name"] for r in cmp.compare_cells(a, b, ["k"]).collect()] == ["f"]
+    assert cmp.compare_wide(a, b, ["k"], ["n", "t"]).count() == 0
+    stacked = cmp.stack_sides(a, b, ["k"]).filter("row_source = 'VARIANCE'").first()
+    assert (stacked["n"], stacked["t"]) == ("0", "MATCH")
+
+
+def test_values_that_do_not_parse(spark):
+    df = spark.createDataFrame([(1, "abc"), (2, "12")], "k int, v string")
+    types = {"k": "integer", "v": "integer"}
+    assert rows(cmp.align_types(df, types)) == [(1, None), (2, 12)]
+    assert rows(cmp.align_types(df, types, as_text=["v"])) == [(1, "abc"), (2, "12")]
+
+
+def test_codes_are_no_numbers(spark):
+    a = spark.createDataFrame([("g", 1, "12D"), ("g", 2, "1e2")], "g string, n int, v string")
+    b = spark.createDataFrame([("g", 1, "12F"), ("g", 2, "100")], "g string, n int, v string")
+    cells = cmp.compare_tidy(a, b, ["g"], ["n"]).filter("column_name = 'v'")
+    assert {r["test_value"]: r["match"] for r in cells.collect()} == {"12D": "N", "1e2": "Y"}

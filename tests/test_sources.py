@@ -125,3 +125,30 @@ def test_other_formats(spark, tmp_path, fmt):
     spark.createDataFrame([(1, "x")], "i int, s string").write.format(fmt).save(str(tmp_path / "a"))
     tables.convert(spark, str(tmp_path / "a"), fmt, str(tmp_path / "b"), "parquet")
     assert rows(spark.read.parquet(str(tmp_path / "b")).select("i", "s")) == [(1, "x")]
+
+
+def test_line_breaks_are_safe_by_default(spark, tmp_path):
+    path = write(tmp_path / "a.csv", "a,b", '1,"line1', 'line2, x"', '2,"say ""hi"", you"')
+    assert rows(csv.scan_csv(spark, path)) == [("1", "line1\nline2, x"), ("2", 'say "hi", you')]
+
+
+def test_columns_go_by_their_header(spark, tmp_path):
+    path = write(tmp_path / "a.csv", "nights,prop,more", '7,"P ""7""",x', 'bad,"",y')
+    got = csv.read_extract(spark, path, "prop string, nights int")
+    assert rows(got) == [("", None), ('P "7"', 7)]
+    write(tmp_path / "b.csv", "prop,nights", "P8,8")
+    with pytest.raises(Exception, match="(?i)header|schema"):
+        csv.scan_csv(spark, [path, str(tmp_path / "b.csv")]).collect()
+    both = tables.read_files(spark, str(tmp_path)).select("file_name", "prop", "nights", "more")
+    assert rows(both) == [
+        ("a.csv", "", "bad", "y"), ("a.csv", 'P "7"', "7", "x"), ("b.csv", "P8", "8", None),
+    ]
+
+
+def test_conversion_keeps_quotes_and_blanks(spark, tmp_path):
+    path = write(tmp_path / "a.csv", "a,b", '1,""', '2,"x ""y"", z"', "3,")
+    tables.convert(spark, path, "csv", str(tmp_path / "p"), "parquet")
+    want = [("1", ""), ("2", 'x "y", z'), ("3", None)]
+    assert rows(spark.read.parquet(str(tmp_path / "p"))) == want
+    tables.convert(spark, str(tmp_path / "p"), "parquet", str(tmp_path / "c"), "csv")
+    assert rows(csv.scan_csv(spark, str(tmp_path / "c"))) == want
