@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import struct
 from collections import Counter
 from collections.abc import Iterator
 
@@ -16,6 +18,8 @@ from lodgeframe.llm.common import numbered
 
 #: Words whose ids a worker remembers; beyond it the memory starts anew.
 REMEMBERED = 400_000
+#: Texts whose new words are learned together.
+TEXTS = 512
 #: Words that are tokenised in one call.
 TOGETHER = 20_000
 
@@ -26,11 +30,14 @@ class WordEncoder:
     """Ids of text by a tokenizer that drops white space, word by word.
 
     White space ends every token of such a vocabulary, so the ids of a text are those of
-    its words one after another, and words repeat far more than texts do. New
-    words go through the tokenizer together, separated by a mark of one token.
+    its words one after another, and words repeat far more than texts do. New words of letters with
+    marks behind them go straight to the tokenizer's model; others go through the whole
+    tokenizer together, separated by a mark of one token.
     """
 
     MARK = "~"
+    #: Words of one run of letters and one of other marks: they need no normalisation but lower case.
+    SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@[-`{-~]*)")
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs as many tasks as there are cores
@@ -42,17 +49,44 @@ class WordEncoder:
         if len(mark) != 1 or self._ids(f" a\n{self.MARK} b") != self._ids("a") + mark + self._ids("b"):
             raise ValueError(f"{path} does not tokenise word by word")
         self.mark = mark[0]
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {}  # ids of words
+        # what the pre-tokenizer writes for a character, if simple words are two pieces to it
+        marks = "".join(chr(c) for c in range(33, 127) if self.SIMPLE.fullmatch(chr(c)))
+        letters = marks + "".join(map(chr, range(0xC0, 0x100))).replace("×", "").replace("÷", "")
+        before = self.tokenizer.pre_tokenizer
+        self.spelled = {ord(c): before.pre_tokenize_str(c)[0][0] for c in letters}
+        self.simple = all(
+            self._simple(self.SIMPLE.fullmatch(w)) == self._packed(self._ids(w))
+            for w in ("Hello", "Çà.", "ÿ", "ONE!!", "***", "a|", "Straße,", "(", "Ünïcödé?!")
+        )
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    @staticmethod
+    def _packed(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _simple(self, match: re.Match) -> bytes:
+        """Ids of both runs; each is a word too, so other words with it find it known."""
+        found = b""
+        for run in match.groups():
+            run = run.lower()
+            key = run.encode()
+            if run and key not in self.known:
+                pieces = self.tokenizer.model.tokenize(run.translate(self.spelled))
+                self.known[key] = self._packed([p.id for p in pieces])
+            found += self.known[key] if run else b""
+        return found
+
     def _learn(self, words: list[bytes]) -> None:
         plain = []
         for word in words:
-            if self.MARK.encode() in word:
-                ids = self._ids(word.decode(errors="replace"))
-                self.known[word] = np.array(ids, "<u4").tobytes()
+            match = self.simple and self.SIMPLE.fullmatch(word.decode(errors="replace"))
+            if match:
+                self.known[word] = self._simple(match)
+            elif self.MARK.encode() in word:
+                self.known[word] = self._packed(self._ids(word.decode(errors="replace")))
             else:
                 plain.append(word)
         for at in range(0, len(plain), TOGETHER):
@@ -70,15 +104,15 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """Ids of each UTF-8 text, as little-endian unsigned 32-bit numbers."""
-        for text in texts:
-            words = text.split()  # ASCII white space, which every tokenizer counts as such
-            try:
-                yield b"".join(map(self.known.__getitem__, words))
-            except KeyError:
-                if len(self.known) > REMEMBERED:
-                    self.known.clear()
-                self._learn([w for w in set(words) if w not in self.known])
-                yield b"".join(map(self.known.__getitem__, words))
+        lists = [text.split() for text in texts]  # ASCII white space, which every tokenizer counts as such
+        words = set().union(*lists)
+        new = words.difference(self.known)
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+            new = words
+        self._learn(list(new))
+        for words in lists:
+            yield b"".join(map(self.known.__getitem__, words))
 
 
 def _encoder(path: str) -> WordEncoder:
@@ -93,14 +127,10 @@ def _pieces(path: str, end_id: int, capacity: int):
         encoder = _encoder(path)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
                 texts = [t or b"" for t in part.column("text").to_pylist()]
                 owner, piece, start, ids = [], [], [], []
-                # words new to the worker are learned for many texts at once
-                missing = {w for t in texts for w in t.split()} - encoder.known.keys()
-                if len(encoder.known) + len(missing) <= REMEMBERED:
-                    encoder._learn(list(missing))
                 for row, raw in enumerate(encoder.encode(texts)):
                     raw += end
                     for number, a in enumerate(range(0, len(raw), 4 * capacity)):
