@@ -119,11 +119,12 @@ def proj_to_numeric(spark, sf):
 @query(
     "proj_all_string",
     """SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey,
-      o_orderstatus, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS o_orderdate, o_orderpriority
+      o_orderstatus, CAST(o_totalprice AS VARCHAR) AS o_totalprice,
+      CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS o_orderdate, o_orderpriority
     FROM orders""",
 )
 def proj_all_string(spark, sf):
-    df = views.read(spark, sf, "orders").drop("o_totalprice")
+    df = views.read(spark, sf, "orders")
     return shape.all_string(df.withColumn("o_orderdate", F.to_date("o_orderdate")))
 
 

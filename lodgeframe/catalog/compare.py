@@ -340,11 +340,15 @@ def _tidy_sides(spark, sf):
 _SAMPLE_1000 = _SAMPLE.replace("LIMIT 50", "LIMIT 1000")
 
 
-def _population(spark, sf, size=50):
+def _population(spark, sf, size):
     sample = joins.sample_population(views.read(spark, sf, "orders"), ["o_orderkey"], size)
     return sample.withColumnRenamed("o_orderkey", "l_orderkey")
 
 
+def _all_orders(spark, sf):
+    return views.read(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
+
+
 @query("cmp_tidy", f"WITH {_tidy_sql(None)} SELECT * FROM tidy")
 def cmp_tidy(spark, sf):
     test, prod, order = _tidy_sides(spark, sf)
@@ -353,13 +357,18 @@ def cmp_tidy(spark, sf):
 
 @query(
     "agg_run_summary",
-    f"""WITH {_tidy_sql(_SAMPLE)} SELECT o_orderkey AS l_orderkey, 'OK' AS status,
+    f"""WITH {_tidy_sql(None)} SELECT o_orderkey AS l_orderkey,
+      CASE WHEN count(*) FILTER (column_name = '__ROW_COUNT__' AND test_value = '0') > 0
+          THEN 'missing in test'
+        WHEN count(*) FILTER (column_name = '__ROW_COUNT__' AND prod_value = '0') > 0
+          THEN 'missing in prod'
+        WHEN count(match) = 0 THEN 'missing in both' ELSE 'OK' END AS status,
       count(*) FILTER (match = 'N') AS mismatches
-    FROM ({_SAMPLE}) LEFT JOIN tidy ON l_orderkey = o_orderkey GROUP BY 1""",
+    FROM orders LEFT JOIN tidy ON l_orderkey = o_orderkey GROUP BY o_orderkey""",
 )
 def agg_run_summary(spark, sf):
     test, prod, order = _tidy_sides(spark, sf)
-    run = recon.positional_run(test, prod, _population(spark, sf), POP_KEYS, order)
+    run = recon.positional_run(test, prod, _all_orders(spark, sf), POP_KEYS, order)
     return run["summary"]
 
 
@@ -443,15 +452,14 @@ def cmp_s2t_summary(spark, sf):
 @query(
     "agg_variance_summary",
     f"""WITH {_stack_sql()} SELECT l_orderkey, count(*) AS test_count,
-      count(*) FILTER (is_variance = 'yes') AS variance_count FROM flagged
-    WHERE l_orderkey IN ({_SAMPLE}) GROUP BY ALL""",
+      count(*) FILTER (is_variance = 'yes') AS variance_count FROM flagged GROUP BY ALL""",
 )
 def agg_variance_summary(spark, sf):
     run = recon.source_against_target(
         views.lineitem_source(spark, sf),
         views.lineitem_target(spark, sf),
         KEYS,
-        _population(spark, sf),
+        _all_orders(spark, sf),
         POP_KEYS,
         exempt=KEYS,
     )

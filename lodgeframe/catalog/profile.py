@@ -24,11 +24,11 @@ SHAPES = {
         "l_orderkey": "Int64", "l_partkey": "Int64", "l_suppkey": "Int64",
         "l_linenumber": "Int64", "l_quantity": "Float64", "l_extendedprice": "Float64",
         "l_discount": "Float64", "l_tax": "Float64", "l_returnflag": "String",
-        "l_linestatus": "String",
+        "l_linestatus": "String", "l_shipdate": "timestamp_ntz",
     },
     "events": {
         "event_id": "Int64", "user_id": "Int64", "event_type": "String", "value": "Float64",
-        "props": "String",
+        "props": "String", "ts": "timestamp_ntz",
     },
 }
 
@@ -184,7 +184,7 @@ def _merge_sql(table: str, files: dict[str, str], keep_first: bool = True) -> st
     def extreme(f: str) -> str:
         v = f"{f}_value"
         return (
-            f"CASE WHEN any_value(data_type) = 'String' THEN {f}({v}) FILTER ({v} <> '') "
+            f"CASE WHEN any_value(data_type) NOT IN ('Int64', 'Float64') THEN {f}({v}) FILTER ({v} <> '') "
             f"WHEN any_value(data_type) = 'Int64' THEN CAST({f}(TRY_CAST({v} AS BIGINT)) AS VARCHAR)"
             f" ELSE CAST({f}(TRY_CAST({v} AS DOUBLE)) AS VARCHAR) END AS {v}"
         )

@@ -14,7 +14,7 @@ from lodgeframe.operators.profile import profile_table
 from lodgeframe.sources import csv, tables
 from lodgeframe.sources.scratch import new_path
 
-_TEXT_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"]
+_TEXT_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 
 
 @lru_cache(maxsize=64)
@@ -72,7 +72,7 @@ def src_infer_types(spark, sf):
 @query(
     "src_infer_dates",
     _types_sql(
-        dict(zip(_TEXT_COLUMNS, ["Int64", "Int64", "String", "String", "String"])), "orders"
+        dict(zip(_TEXT_COLUMNS, ["Int64", "Int64", "String", "Float64", "String", "String"])), "orders"
     ),
 )
 def src_infer_dates(spark, sf):

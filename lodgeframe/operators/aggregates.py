@@ -116,7 +116,17 @@ def variance_detail(cells: DataFrame, keys: Sequence[str], column: str) -> DataF
 
 
 def run_summary(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Mismatches per key of a cell comparison."""
+    """Status and mismatches per key of a positional comparison.
+
+    The status tells keys without any row on a side; the comparison says so in its row of counts.
+    """
+    counted = F.col("column_name") == "__ROW_COUNT__"
+    none = {side: F.bool_or(counted & (F.col(f"{side}_value") == "0")) for side in ("test", "prod")}
+    status = (
+        F.when(none["test"], F.lit("missing in test"))
+        .when(none["prod"], F.lit("missing in prod"))
+        .otherwise(F.lit("OK"))
+    )
     return cells.groupBy(*keys).agg(
-        F.lit("OK").alias("status"), F.count_if(F.col("match") == "N").alias("mismatches")
+        status.alias("status"), F.count_if(F.col("match") == "N").alias("mismatches")
     )

@@ -107,39 +107,36 @@ def _one_pass(df: DataFrame, fields: Sequence[tuple[int, T.StructField]], metric
 def _average_values(df: DataFrame, fields: Iterable[str], base: DataFrame) -> DataFrame:
     """Per text column the smallest value of average length, if there is one."""
     fields = list(fields)
-    averages = base.agg(
-        *[
-            F.expr(f"max(CASE WHEN field = {_literal(f)} THEN {AVG_LENGTH} END) AS `avg {i}`")
-            for i, f in enumerate(fields)
-        ]
-    )
+    # one number per column
+    averages = {r["field"]: r[AVG_LENGTH] for r in base.select("field", AVG_LENGTH).collect()}
     rows = [
-        f"struct({_literal(f)} AS field, "
-        f"min(CASE WHEN length({quoted(f)}) = `avg {i}` THEN {quoted(f)} END) AS {AVG_VALUE})"
-        for i, f in enumerate(fields)
+        f"struct({_literal(f)} AS field, min(CASE WHEN length({quoted(f)}) = "
+        f"{'NULL' if averages[f] is None else averages[f]} THEN {quoted(f)} END) AS {AVG_VALUE})"
+        for f in fields
     ]
-    # the averages are one row
-    both = df.select(*[quoted(f) for f in fields]).crossJoin(F.broadcast(averages))
-    return both.agg(F.expr(f"array({', '.join(rows)})").alias("rows")).select(F.inline("rows"))
+    return (
+        df.select(*[quoted(f) for f in fields])
+        .agg(F.expr(f"array({', '.join(rows)})").alias("rows"))
+        .select(F.inline("rows"))
+    )
 
 
 def _comparable(name: str, data_type: T.DataType) -> tuple[str, str]:
     """A kind of value, and the column as that kind.
 
-    Whole numbers and floating-point numbers stay as they are. Other values
-    are taken as text, and from 32 bytes on as the text's SHA-256 digest, so
-    that long texts need not travel. A shorter text is never taken for a digest.
+    Whole numbers and floating-point numbers stay as they are. Texts are taken as their SHA-256 digests, so
+    that long ones need not travel, and other values as text.
     """
     if isinstance(data_type, T.IntegralType):
         return "bigint", f"CAST({quoted(name)} AS BIGINT)"
     if isinstance(data_type, (T.FloatType, T.DoubleType)):
         return "double", f"CAST({quoted(name)} AS DOUBLE)"
-    return "text", _text_or_digest(name)
+    return "text", _as_binary(name, data_type)
 
 
-def _text_or_digest(name: str) -> str:
+def _as_binary(name: str, data_type: T.DataType) -> str:
     raw = f"CAST(CAST({quoted(name)} AS STRING) AS BINARY)"
-    return f"if(octet_length({raw}) >= 32, unhex(sha2({raw}, 256)), {raw})"
+    return f"unhex(sha2({raw}, 256))" if isinstance(data_type, T.StringType) else raw
 
 
 def count_distinct(df: DataFrame, columnar: bool = True) -> DataFrame:
@@ -153,7 +150,7 @@ def count_distinct(df: DataFrame, columnar: bool = True) -> DataFrame:
     """
     kinds: dict[str, dict[str, str]] = {}
     for i, field in enumerate(df.schema.fields):
-        kind, value = "text", _text_or_digest(field.name)
+        kind, value = "text", _as_binary(field.name, field.dataType)
         if columnar:
             kind, value = _comparable(field.name, field.dataType)
         kinds.setdefault(kind, {})[str(i)] = value

@@ -59,7 +59,7 @@ def positional_run(
 ) -> dict[str, DataFrame]:
     """Every cell of a population compared by position, and the mismatches per key.
 
-    Keys of the population without any row are in the summary with no mismatch.
+    Keys of the population without any row are in the summary, as missing in both and with no mismatch.
     """
     cells = written(
         compare_tidy(
@@ -72,7 +72,7 @@ def positional_run(
         .join(run_summary(cells, group), list(group), "left")
         .withColumns(
             {
-                "status": F.lit("OK"),
+                "status": F.coalesce("status", F.lit("missing in both")),
                 "mismatches": F.coalesce("mismatches", F.lit(0)),
             }
         )
