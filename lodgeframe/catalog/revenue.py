@@ -237,7 +237,11 @@ for _version, _category in [("v1", "room"), ("v2", "food"), ("v3", "room"), ("v4
       CAST(lc_v4 AS DOUBLE) AS room_rev_v4 FROM stays""",
 )
 def rev_stay_versions(spark, sf):
-    stays = rev.stay_revenue(views.stay_tables(spark, sf), START, END, "room")
+    return _stay_versions(spark, sf, None)
+
+
+def _stay_versions(spark, sf, chosen):
+    stays = rev.stay_revenue(views.stay_tables(spark, sf), START, END, "room", chosen=chosen)
     return stays.select(
         "prop_cd",
         "stay_id",
@@ -245,6 +249,36 @@ def rev_stay_versions(spark, sf):
     )
 
 
+# The deep dives: properties of one country, and stays of the customers of one segment.
+def _chosen_sql(condition: str) -> str:
+    columns = ", ".join(f"CAST(lc_{v} AS DOUBLE) AS room_rev_{v}" for v in rev.VERSIONS)
+    return f"WITH {stay_sql('room')} SELECT prop_cd, stay_id, {columns} FROM stays WHERE {condition}"
+
+
+@query(
+    "rev_chosen_properties",
+    _chosen_sql("prop_cd IN (SELECT 'P' || (c_custkey % 97) FROM customer WHERE c_nationkey = 7 AND c_mktsegment = 'BUILDING')"),
+)
+def rev_chosen_properties(spark, sf):
+    number = (F.col("c_custkey") % 97).cast("string")
+    chosen = views.read(spark, sf, "customer").filter("c_nationkey = 7 AND c_mktsegment = 'BUILDING'")
+    return _stay_versions(spark, sf, chosen.select(F.concat(F.lit("P"), number).alias("prop_cd")))
+
+
+@query(
+    "rev_chosen_stays",
+    _chosen_sql(
+        "stay_id IN (SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey "
+        "WHERE c_mktsegment = 'BUILDING')"
+    ),
+)
+def rev_chosen_stays(spark, sf):
+    customers = views.read(spark, sf, "customer").filter("c_mktsegment = 'BUILDING'")
+    orders = views.read(spark, sf, "orders")
+    chosen = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    return _stay_versions(spark, sf, chosen.select(F.col("o_orderkey").alias("stay_id")))
+
+
 _INCLUDE = "CASE WHEN {0} THEN 'include' ELSE 'exclude' END AS {1}"
 
 

@@ -128,14 +128,24 @@ def within_bounds(transactions: DataFrame, bounds: DataFrame) -> DataFrame:
 
 
 def population(
-    tables: StayTables, start: str, end: str, date_logic: str = "stay"
+    tables: StayTables,
+    start: str,
+    end: str,
+    date_logic: str = "stay",
+    chosen: DataFrame | None = None,
 ) -> DataFrame:
     """Stays to recognise revenue for.
 
     ``date_logic="stay"`` takes every stay with a date in the window;
-    ``"arrival"`` only stays that arrive in it.
+    ``"arrival"`` only stays that arrive in it. ``chosen`` keeps only the stays or properties
+    it lists, by its columns ``stay_id`` and ``prop_cd`` (either or both).
     """
     stays = filter_same_day(candidate_stays(tables, start, end), start)
+    if chosen is not None:
+        keys = [c for c in ("prop_cd", "stay_id") if c in chosen.columns]
+        if not keys:
+            raise ValueError("the chosen stays need a column stay_id or prop_cd")
+        stays = stays.join(chosen.select(*keys), keys, "left_semi")
     if date_logic == "arrival":
         stays = stays.filter(F.col("arrival_dt") >= F.lit(start).cast("date"))
     elif date_logic != "stay":
@@ -185,10 +195,14 @@ def inclusion_factor(nights: Column, days_excluded: Column) -> Column:
 
 
 def stay_factors(
-    tables: StayTables, start: str, end: str, date_logic: str = "stay"
+    tables: StayTables,
+    start: str,
+    end: str,
+    date_logic: str = "stay",
+    chosen: DataFrame | None = None,
 ) -> DataFrame:
     """The population with room nights and the share of the stay to recognise."""
-    stays = with_days_excluded(population(tables, start, end, date_logic), start, end)
+    stays = with_days_excluded(population(tables, start, end, date_logic, chosen), start, end)
     booked = stays.join(tables.booking_curr.select("stay_id", "stay_key"), "stay_id").join(
         tables.booking.select("stay_id", "stay_key", room_nights().alias("room_nights")),
         ["stay_id", "stay_key"],
@@ -298,15 +312,18 @@ def stay_revenue(
     end: str,
     category: str = "room",
     date_logic: str = "stay",
+    chosen: DataFrame | None = None,
+    salts: int = SALTS,
 ) -> DataFrame:
     """Revenue of each stay in local currency, under all versions side by side.
 
-    One read of the transactions serves every version. Both groupings combine
+    ``chosen`` limits the run to some stays or properties, which get the same revenue as in a run
+    over all. One read of the transactions serves every version. Both groupings combine
     before they shuffle, so a stay or transaction with very many rows is
-    summed where it is read.
+    summed where it is read. ``salts`` is the number of tasks that the transactions of a stay are dealt to.
     """
     check_category(category)
-    stays = stay_factors(tables, start, end, date_logic)
+    stays = stay_factors(tables, start, end, date_logic, chosen)
     bounds = extract_bounds(candidate_stays(tables, start, end))
     rows = category_transactions(within_bounds(tables.transactions, bounds), category)
 
@@ -326,10 +343,10 @@ def stay_revenue(
     # no grouping key, the sums below need a shuffle of their own, after combining; that also
     # lets adaptive execution split what is still too large.
     salted_rows = rows.withColumn(
-        "salt", F.pmod(F.xxhash64(*[c for c in rows.columns if c != "stay_id"]), F.lit(SALTS))
+        "salt", F.pmod(F.xxhash64(*[c for c in rows.columns if c != "stay_id"]), F.lit(salts))
     )
     salted_stays = stays.withColumn(
-        "salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
+        "salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
     )
 
     amounts = ["in_category", "v1_amt", "v2_amt", "v3_amt", "f1_amt", "f2_amt", "f3_amt"]
@@ -370,10 +387,12 @@ def transaction_flags(
     end: str,
     category: str = "room",
     date_logic: str = "stay",
+    chosen: DataFrame | None = None,
 ) -> DataFrame:
-    """The category's transactions of the population, with a flag per version."""
+    """The category's transactions of the population, with a flag per version; ``chosen`` as in
+    population()."""
     check_category(category)
-    stays = stay_factors(tables, start, end, date_logic)
+    stays = stay_factors(tables, start, end, date_logic, chosen)
     bounds = extract_bounds(candidate_stays(tables, start, end))
     inside = within_bounds(tables.transactions, bounds)
     keys = ["stay_id", "folio_id", "trans_id"]

@@ -4,9 +4,10 @@ import pytest
 from conftest import SF
 from oracle import connect, difference
 
-from __spark_entry__ import entry, oracle_sql, queries
+import __spark_entry__
+from lodgeframe import catalog
 
-QUERIES, ORACLES = queries(), oracle_sql()
+QUERIES, ORACLES = catalog.queries(), catalog.oracles()
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +24,12 @@ def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
 
 
+def test_all_are_registered():
+    assert set(QUERIES) <= set(__spark_entry__.queries())
+    assert set(ORACLES) <= set(__spark_entry__.oracle_sql())
+
+
 def test_entry(spark):
-    df = entry(spark)
+    df = __spark_entry__.entry(spark)
     assert df.columns == ["prop_cd", "room_nights", "room_rev_usd"]
     assert df.count() > 0
