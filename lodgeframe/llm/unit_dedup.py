@@ -96,6 +96,7 @@ def repeated_units(
         F.col(text).alias("text"),
     )
     units = written(known.mapInArrow(_units(separator, min_words), UNIT_SCHEMA), "units")
+    # written, so that the join below has a shuffle of its own, whose large partitions can be split
     firsts = (
         units.where(~F.col("again"))
         .groupBy("high", "low")
@@ -103,6 +104,7 @@ def repeated_units(
         .where("first_id < last_id")
         .drop("last_id")
     )
+    firsts = written(firsts, "firsts")
     across = units.where(~F.col("again")).join(firsts, ["high", "low"]).where("doc_id > first_id")
     spans = ["doc_id", "version", "start", "stop"]
     return (
