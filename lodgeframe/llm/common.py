@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodgeframe.sources.scratch import written
 
-__all__ = ["held_out", "numbered", "read", "top_rows", "written"]
+__all__ = ["bounded_sample", "held_out", "numbered", "read", "top_rows", "written"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,6 +22,28 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.pmod(crc, F.lit(folds)) == fold, F.lit(True))
 
 
+def bounded_sample(df: DataFrame, key: str, label: str, size: int, most_labels: int) -> DataFrame:
+    """At most ``size`` rows of each label, chosen by a hash of the key.
+
+    Labels are counted first, so that each task passes on only the share of its rows that is wanted; what meets
+    per label is about ``size`` rows, however many there are. More than ``most_labels`` labels are an error.
+    """
+    spark = df.sparkSession
+    counts = df.groupBy(label).count().limit(most_labels + 1).collect()
+    if len(counts) > most_labels:
+        raise ValueError(f"more than {most_labels} labels")
+    # rather too many, for the hashes of a label's keys are only about evenly spread
+    shares = [(r[label], min(1.0, (1.2 * size + 50) / r["count"])) for r in counts]
+    kind = df.schema[label].dataType.simpleString()
+    wanted = spark.createDataFrame(shares, f"`{label}` {kind}, _share double")
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    near = df.join(F.broadcast(wanted), label).where(place < F.col("_share"))
+    first = Window.partitionBy(label).orderBy(F.xxhash64(key), key)
+    return near.withColumn("_place", F.row_number().over(first)).where(F.col("_place") <= size).select(
+        *df.columns
+    )
+
+
 def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
     """Number rows from 0 within each group, in the given order; no group has to fit in a task.
 

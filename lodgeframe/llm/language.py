@@ -9,9 +9,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodgeframe.llm.common import bounded_sample
+
 #: Hashed n-grams of 1 to 3 bytes; a power of two.
 BUCKETS = 4096
 #: Bytes of text whose n-grams are counted at once.
@@ -127,16 +129,12 @@ def learn_languages(
     the key, and at most ``MOST_LANGUAGES`` languages (more raise an error). Only n-gram counts
     come to the driver. No such row: a model that knows no language.
     """
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = (
+    named = (
         docs.where(allowed & F.col(lang).isNotNull() & F.col(key).isNotNull())
-        .select(F.col(key).alias("doc_id"), F.col(lang).alias("lang"))
+        .select(F.col(key).alias("chosen_id"), F.col(lang).alias("chosen_lang"))
         .distinct()
-        .withColumn("place", place)
-        .where(F.col("place") <= per_language)
-        .limit(per_language * MOST_LANGUAGES + 1)
-        .select(F.col("doc_id").alias("chosen_id"), F.col("lang").alias("chosen_lang"))
     )
+    chosen = bounded_sample(named, "chosen_id", "chosen_lang", per_language, MOST_LANGUAGES)
 
     def profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,8 +158,6 @@ def learn_languages(
         .collect()
     )
     rows.sort(key=lambda r: (r["lang"], bytes(r["profile"])))
-    if len({r["lang"] for r in rows}) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     profiles = np.stack([np.frombuffer(r["profile"], "<f4") for r in rows]) if rows else np.zeros((0, BUCKETS))
     return fit_model(profiles.astype(np.float64), [r["lang"] for r in rows])
 

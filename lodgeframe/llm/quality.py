@@ -9,9 +9,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodgeframe.llm.common import bounded_sample, written
+
 #: Lines of one round of forward-backward, padding included.
 ROUND = 1 << 16
 BASE = 16
@@ -244,7 +246,6 @@ def learn_quality(
     over ``most_lines`` lines left out of it. Only the lines' features come to the driver. Of
     conflicting labels the smaller holds. Without labels, or with one only, all texts get one score.
     """
-    place = F.row_number().over(Window.partitionBy("good").orderBy(F.xxhash64("chosen_id"), "chosen_id"))
     chosen = (
         labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1))
         .select(F.col(key).alias("chosen_id"), F.col(label).cast("int").alias("good"))
@@ -254,12 +255,8 @@ def learn_quality(
     lines = F.size(F.split(F.col(text), "\n"))
     known = docs.where(allowed & F.col(text).isNotNull()).where(lines <= most_lines)
     ids = known.select(F.col(key).alias("chosen_id")).distinct()
-    chosen = (
-        chosen.join(ids, "chosen_id", "left_semi")
-        .withColumn("place", place)
-        .where(F.col("place") <= per_label)
-        .select("chosen_id", "good")
-    )
+    both = written(chosen.join(ids, "chosen_id", "left_semi"), "labelled")
+    chosen = bounded_sample(both, "chosen_id", "good", per_label, 2)
     # at most two times per_label rows, so they may be broadcast
     rows = (
         known.join(F.broadcast(chosen), F.col(key) == F.col("chosen_id"))
