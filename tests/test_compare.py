@@ -86,12 +86,15 @@ def test_tidy_shapes_and_labels(spark):
 
 def test_positional_run(spark):
     schema = "g string, n int, v double"
-    test = table(spark, [("a", 1, 1.0), ("b", 1, 1.0), ("c", 1, 1.0)], schema)
-    prod = table(spark, [("a", 1, 1.0), ("b", 1, 2.0), ("c", 1, 9.0)], schema)
-    population = table(spark, [("a",), ("b",), ("nothing",)], "g string")
+    test = table(spark, [("a", 1, 1.0), ("b", 1, 1.0), ("c", 1, 1.0), ("t", 1, 1.0)], schema)
+    prod = table(spark, [("a", 1, 1.0), ("b", 1, 2.0), ("c", 1, 9.0), ("p", 1, 1.0)], schema)
+    population = table(spark, [("a",), ("b",), ("t",), ("p",), ("nothing",)], "g string")
     run = recon.positional_run(test, prod, population, ["g"], ["n"])
-    assert rows(run["summary"]) == [("a", "OK", 0), ("b", "OK", 1), ("nothing", "OK", 0)]
-    assert run["comparison"].count() == 4
+    assert rows(run["summary"]) == [
+        ("a", "OK", 0), ("b", "OK", 1), ("nothing", "missing in both", 0),
+        ("p", "missing in test", 3), ("t", "missing in prod", 3),
+    ]
+    assert run["comparison"].count() == 10
 
 
 def test_stack(spark):
