@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import base64
 import json
+import random
+import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -15,10 +18,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Buckets of the rank map: a literal map is searched from its start, so each bucket is a short one.
+#: Buckets of the rank map, a power of two: a literal map is searched from its start, so each is a short one.
 BUCKETS = 1 << 16
 #: Bytes of text whose distinct words are encoded together.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
+#: Merges of lowest rank that are made in all words of a block at once.
+COMMON = 96
+#: Stands between words; no token is written so.
+BETWEEN = "\0"
 #: A token is written as one character: its id and this, to leave out character 0.
 SHIFT = 1
 #: Ids from here on would meet the code points of surrogates.
@@ -79,21 +86,32 @@ def _rank_json(path: str) -> str:
     return json.dumps(buckets, ensure_ascii=False, separators=(",", ":"))
 
 
+def common_merges(words: Column, path: str) -> Column:
+    """Fold the merges of lowest rank, in order, over all words of a block, written as one text.
+
+    No merge makes a pair of lower rank than its own, so each is made once, wherever its pair stands.
+    """
+    lowest = sorted(merges(path).items(), key=lambda pair_token: pair_token[1])[:COMMON]
+    listed = json.dumps([{"pair": p, "token": t} for p, t in lowest], ensure_ascii=False)
+    ranked = F.from_json(F.lit(listed), "array<struct<pair: string, token: string>>")
+    return F.aggregate(ranked, words, lambda text, m: F.replace(text, m["pair"], m["token"]))
+
+
 def _bound(value: Column, body) -> Column:
     """``body`` of a value that is computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def merged_word(word: Column, buckets: Column) -> Column:
-    """Fold a word, one character a token, from its bytes to the tokens that no merge is left for.
+    """Fold a word, one character a token, to the tokens that no merge is left for.
 
     Each step looks every neighbouring pair up in the rank map and replaces the pair of lowest rank (ranks
     order as characters do) wherever it stands, from the left.
     """
 
     def lookup(pair: Column) -> Column:
-        bucket = F.pmod(F.xxhash64(pair), F.lit(BUCKETS)).cast("int") + 1
-        return F.element_at(F.element_at(buckets, bucket), pair)
+        bucket = F.xxhash64(pair).bitwiseAND(BUCKETS - 1).cast("int")
+        return F.get(buckets, bucket)[pair]
 
     def step(state: Column) -> Column:
         chars = F.split(state["left"], "")
@@ -128,14 +146,54 @@ def merged_word(word: Column, buckets: Column) -> Column:
     )
 
 
+def _finder(pattern: str):
+    """All matches of a pattern in a text; in texts of Latin-1 through the same pattern with its classes
+    spelled out, if that finds the same in a trial."""
+    find = regex.compile(pattern).findall
+    latin = "".join(map(chr, range(256)))
+    classes = {c: "".join(re.escape(x) for x in latin if regex.match(c, x)) for c in (r"\p{L}", r"\p{N}", r"\s")}
+    plain = pattern
+    for name, inside in classes.items():
+        # within brackets first, then by itself
+        plain = re.sub(r"\[[^\]]*\]", lambda m: m[0].replace(name, inside), plain)  # noqa: B023
+        plain = plain.replace(name, f"[{inside}]")
+    plain = plain.replace(r"\S", f"[^{classes[r'\s']}]")
+    rng = random.Random(0)
+    trial = ["".join(rng.choices(latin, k=40)) for _ in range(300)]
+    trial += ["".join(rng.choices(" \n\xa0a\xe9Z1\xb2'st.,=", k=40)) for _ in range(300)]
+    try:
+        quick = re.compile(plain).findall
+        same = all(quick(t) == find(t) for t in trial)
+    except re.error:
+        same = False
+    if not same:
+        return find
+
+    def either(text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return find(text)
+        return quick(text)
+
+    return either
+
+
+def _numbered() -> dict[str, int]:
+    """Numbers words from 0 as they are asked for."""
+    known: defaultdict[str, int] = defaultdict()
+    known.default_factory = known.__len__
+    return known
+
+
 def _split(path: str, pattern: str, block_bytes: int):
     """Texts of a partition as blocks: their distinct words, and for each text the numbers of its words."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = read_ranks(path)
         of_byte = {b: _char(ranks[bytes([b])]) for b in range(256)}
-        find = regex.compile(pattern).findall
-        known: dict[str, int] = {}
+        find = _finder(pattern)
+        known = _numbered()
         ids: list[int | None] = []
         places: list[bytes] = []
         size = 0
@@ -146,51 +204,62 @@ def _split(path: str, pattern: str, block_bytes: int):
                 [
                     pa.array([ids], pa.list_(pa.int64())),
                     pa.array([places], pa.list_(pa.binary())),
-                    pa.array([words], pa.list_(pa.string())),
+                    pa.array([BETWEEN.join(words)]),
                 ],
                 names=["ids", "places", "words"],
             )
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                number = [known.setdefault(w, len(known)) for w in find(text or "")]
-                ids.append(doc_id)
+            for at in range(batch.num_rows):
+                text = batch.column("text")[at].as_py() or ""
+                number = list(map(known.__getitem__, find(text)))
+                ids.append(batch.column("doc_id")[at].as_py())
                 places.append(np.array(number, "<u4").tobytes())
-                size += len(text or "")
+                size += len(text)
                 if size >= block_bytes:
                     yield block()
-                    known, ids, places, size = {}, [], [], 0
+                    known, ids, places, size = _numbered(), [], [], 0
         if ids:
             yield block()
 
     return emit
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _joined(path: str, with_bytes: bool):
     """Tokens of each text, from those of its words."""
-    for batch in batches:
-        for row in range(batch.num_rows):
-            words = batch.column("words")[row].values.to_pylist()
-            lengths = np.fromiter(map(len, words), np.int64, len(words))
-            starts = np.cumsum(lengths) - lengths
-            tokens = np.frombuffer("".join(words).encode("utf-16-le"), "<u2").astype("<u4") - SHIFT
-            out = []
-            for raw in batch.column("places")[row].values.to_pylist():
-                place = np.frombuffer(raw, "<u4")
-                n = lengths[place]
-                at = np.repeat(starts[place] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                out.append(tokens[at].astype("<u4").tobytes())
-            ids = batch.column("ids")[row].values
-            for a in range(0, len(out), 500):
-                part = out[a : a + 500]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.slice(a, 500),
-                        pa.array([len(x) // 4 for x in part], pa.int64()),
-                        pa.array(part, pa.binary()),
-                    ],
-                    names=["doc_id", "n_tokens", "ids"],
-                )
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = _pieces(path) if with_bytes else None
+        for batch in batches:
+            for row in range(batch.num_rows):
+                words = batch.column("words")[row].as_py().split(BETWEEN)
+                lengths = np.fromiter(map(len, words), np.int64, len(words))
+                starts = np.cumsum(lengths) - lengths
+                tokens = np.frombuffer("".join(words).encode("utf-16-le"), "<u2").astype("<u4") - SHIFT
+                del words
+                doc_ids, places = batch.column("ids")[row].values, batch.column("places")[row].values
+                for a in range(0, len(places), 200):
+                    out = []
+                    for raw in places.slice(a, 200).to_pylist():
+                        place = np.frombuffer(raw, "<u4")
+                        n = lengths[place]
+                        at = np.repeat(starts[place] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                        out.append(tokens[at])
+                    columns = {
+                        "doc_id": doc_ids.slice(a, 200),
+                        "n_tokens": pa.array(list(map(len, out)), pa.int64()),
+                        "ids": pa.array([x.tobytes() for x in out], pa.binary()),
+                    }
+                    if pieces:
+                        texts = [b"".join(map(pieces, x.tolist())) for x in out]
+                        columns["decoded"] = pa.array(texts, pa.binary())
+                    yield pa.RecordBatch.from_pydict(columns)
+
+    return emit
+
+
+def _pieces(path: str):
+    return {rank: token for token, rank in read_ranks(path).items()}.__getitem__
 
 
 def encode(
@@ -200,9 +269,12 @@ def encode(
     key: str = "doc_id",
     text: str = "text",
     block_bytes: int = BLOCK_BYTES,
+    with_bytes: bool = False,
 ) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``ids`` (little-endian unsigned 32-bit numbers) of every whole text.
 
+    ``with_bytes`` adds ``decoded``, the bytes that the ids decode to, made in the same step.
+
     ``ranks`` is the path of a vocabulary of base64 tokens and ranks, ``pattern`` parts a text into words;
     each word is merged by itself. A missing text is an empty one and has no tokens. Repeated rows
     and missing ids are kept; other columns are ignored. A word of any length is merged as a whole.
@@ -214,12 +286,18 @@ def encode(
     blocks = docs.select(
         F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")
     ).mapInArrow(
-        _split(ranks, pattern, block_bytes), "ids array<long>, places array<binary>, words array<string>"
+        _split(ranks, pattern, block_bytes), "ids array<long>, places array<binary>, words string"
     )
+    words = F.split(common_merges(F.col("words"), ranks), BETWEEN)
     merged = blocks.select(
-        "ids", "places", F.transform("words", lambda w: merged_word(w, buckets)).alias("words")
+        "ids",
+        "places",
+        F.array_join(F.transform(words, lambda w: merged_word(w, buckets)), BETWEEN).alias("words"),
+    )
+    more = ", decoded binary" if with_bytes else ""
+    return merged.mapInArrow(
+        _joined(ranks, with_bytes), f"doc_id long, n_tokens long, ids binary{more}"
     )
-    return merged.mapInArrow(_joined, "doc_id long, n_tokens long, ids binary")
 
 
 def decode(ids: Column, ranks: str) -> Column:
@@ -227,7 +305,7 @@ def decode(ids: Column, ranks: str) -> Column:
 
     @F.pandas_udf("binary")
     def pieces(column: pd.Series) -> pd.Series:
-        table = {rank: token for token, rank in read_ranks(ranks).items()}.__getitem__
+        table = _pieces(ranks)
         return column.map(
             lambda raw: None if raw is None else b"".join(map(table, np.frombuffer(raw, "<u4").tolist()))
         )

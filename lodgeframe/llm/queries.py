@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodgeframe.llm.ann_search import approximate_top_k
-from lodgeframe.llm.byte_bpe import decode, encode
+from lodgeframe.llm.byte_bpe import encode
 from lodgeframe.llm.common import held_out, read, written
 from lodgeframe.llm.exact_search import exact_top_k, scaled, usable
 from lodgeframe.llm.language import identify, learn_languages
@@ -121,12 +121,13 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = encode(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    docs = read(spark, sf_dir, "documents")
+    encoded = encode(docs, path, public_tokenizers.PATTERN, with_bytes=True)
     return encoded.select(
         "doc_id",
         "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(decode(F.col("ids"), path), 256).alias("decoded_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 
