@@ -124,8 +124,7 @@ def exact_top_k(
     ``rows`` and ``queries`` have ``id`` (long) and ``vector`` (array of long).
     Rows are packed where they lie into blocks of at most ``tile_rows``, queries
     into blocks of ``tile_queries``; each pair of blocks is one matrix product that
-    keeps the ``k`` best of a query. Those lists are merged in two levels, first
-    within a branch of tiles, then over the branches.
+    keeps the ``k`` best of a query. Those lists are merged in two levels, about as many in each.
 
     Returns ``query_id``, ``rank`` (from 1), ``vec_id``, ``score``; fewer than
     ``k`` rows where there are fewer candidates. Ties go to the smaller id. A row
@@ -140,7 +139,14 @@ def exact_top_k(
     schema = "dim int, ids binary, matrix binary"
     asked = written(kept(queries).distinct(), "queries")
     groups = max(1, math.ceil(asked.count() / tile_queries))
-    blocks = kept(rows).mapInPandas(_packed(tile_rows), schema)
+    candidates = kept(rows)
+    branches = max(1, math.ceil(candidates.count() / tile_rows))
+    number = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    blocks = (
+        candidates.mapInPandas(_packed(tile_rows), schema)
+        .withColumn("branch", F.pmod(F.xxhash64("ids"), F.lit(branches)).cast("int"))
+        .withColumn("asked_group", number(groups))
+    )
     asking = (
         asked.repartition(groups, F.pmod(F.xxhash64("id"), F.lit(groups)))
         .mapInPandas(_packed(tile_queries), schema)
@@ -148,17 +154,19 @@ def exact_top_k(
             "dim",
             F.col("ids").alias("query_ids"),
             F.col("matrix").alias("query_matrix"),
+            F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int").alias("asked_group"),
         )
+        .withColumn("branch", number(branches))
     )
-    # Block tables are short; each block of rows meets each block of queries of its length once.
-    branches = max(1, int(math.sqrt(groups)) * 8)
-    tiles = blocks.withColumn("branch", F.pmod(F.xxhash64("ids"), F.lit(branches))).join(
-        asking, "dim"
-    )
+    # Each block of rows meets each block of queries of its length once; a pair of numbers has about one
+    # tile, so tiles spread over as many tasks as there are pairs.
+    tiles = blocks.join(asking, ["dim", "branch", "asked_group"])
     best = tiles.select("branch", "ids", "matrix", "query_ids", "query_matrix").mapInPandas(
-        _best_of_tiles(k), "branch long, query_id long, vec_id long, score long"
+        _best_of_tiles(k), "branch int, query_id long, vec_id long, score long"
     )
-    merged = top_rows(best, ["query_id", "branch"], k, "score", "vec_id", "place").drop("place")
+    boughs = max(1, math.isqrt(branches))
+    best = best.withColumn("bough", F.pmod("branch", F.lit(boughs)))
+    merged = top_rows(best, ["query_id", "bough"], k, "score", "vec_id", "place").drop("place")
     return top_rows(merged, ["query_id"], k, "score", "vec_id", "rank").select(
         "query_id", "rank", "vec_id", "score"
     )
