@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodgeframe.llm.common import written
 
-UNIT_SCHEMA = "doc_id long, version long, start int, stop int, again boolean, high long, low long"
+UNIT_SCHEMA = "doc_id long, version long, place int, start int, stop int, again boolean, high long, low long"
 
 
 def split_units(text: str, separator: str) -> Iterator[tuple[int, int]]:
@@ -34,13 +34,14 @@ def digest(unit: str, min_words: int) -> bytes | None:
 def _units(separator: str, min_words: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, start, stop, again, digests = [], [], [], [], []
+            owner, place, start, stop, again, digests = [], [], [], [], [], []
             for row, text in enumerate(batch.column("text").to_pylist()):
                 seen = set()
-                for a, b in split_units(text, separator):
+                for number, (a, b) in enumerate(split_units(text, separator)):
                     one = digest(text[a:b], min_words)
                     if one is not None:
                         owner.append(row)
+                        place.append(number)
                         start.append(a)
                         stop.append(b)
                         again.append(one in seen)
@@ -52,24 +53,19 @@ def _units(separator: str, min_words: int):
                 [
                     batch.column("doc_id").take(rows),
                     batch.column("version").take(rows),
+                    pa.array(place, pa.int32()),
                     pa.array(start, pa.int32()),
                     pa.array(stop, pa.int32()),
                     pa.array(again, pa.bool_()),
                     pa.array(halves[:, 0]),
                     pa.array(halves[:, 1]),
                 ],
-                names=["doc_id", "version", "start", "stop", "again", "high", "low"],
+                names=["doc_id", "version", "place", "start", "stop", "again", "high", "low"],
             )
 
     return emit
 
 
-def cut(text: str, spans: list[tuple[int, int]], separator: str) -> str:
-    """The text without the given units; what is left is joined by the separator again."""
-    gone = set(spans)
-    return separator.join(text[a:b] for a, b in split_units(text, separator) if (a, b) not in gone)
-
-
 def repeated_units(
     docs: DataFrame,
     key: str = "doc_id",
@@ -78,7 +74,7 @@ def repeated_units(
     min_words: int = 5,
 ) -> DataFrame:
     """Units to remove: ``doc_id``, ``version`` (hash of the text) and ``removed``, an ordered array of
-    ``start`` and ``stop``, offsets in characters of the original text.
+    ``place`` (number of the unit from 0), ``start`` and ``stop``, offsets in characters of the original text.
 
     Of equal units the one in the document with the smallest ``doc_id`` stays, there its first
     occurrence. Units are equal if their words are, whatever their case and white space;
@@ -106,12 +102,12 @@ def repeated_units(
     )
     firsts = written(firsts, "firsts")
     across = units.where(~F.col("again")).join(firsts, ["high", "low"]).where("doc_id > first_id")
-    spans = ["doc_id", "version", "start", "stop"]
+    spans = ["doc_id", "version", "place", "start", "stop"]
     return (
         across.select(*spans)
         .unionByName(units.where("again").select(*spans))
         .groupBy("doc_id", "version")
-        .agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("removed"))
+        .agg(F.sort_array(F.collect_set(F.struct("place", "start", "stop"))).alias("removed"))
     )
 
 
@@ -134,13 +130,6 @@ def remove_repeats(
         F.col("removed").alias("_removed"),
     )
 
-    @F.pandas_udf("string")
-    def without(texts, spans):  # two series
-        return texts.combine(
-            spans,
-            lambda t, s: t if s is None else cut(t, [(x["start"], x["stop"]) for x in s], separator),
-        )
-
     marked = docs.join(
         found,
         (F.col(key) == F.col("_of_id")) & (F.xxhash64(text) == F.col("_of_version")),
@@ -148,10 +137,13 @@ def remove_repeats(
     )
     none = F.expr("cast(array() as array<struct<start: int, stop: int>>)")
     kept = [c for c in docs.columns if c != "removed_spans"]
-    changed = F.when(F.col("_removed").isNull(), F.col(text)).otherwise(
-        without(F.col(text), F.col("_removed"))
-    )
+    gone = F.col("_removed")["place"]
+    units = F.split(F.col(text), f"\\Q{separator}\\E")
+    left = F.filter(units, lambda unit, place: ~F.array_contains(gone, place))
+    changed = F.when(F.col("_removed").isNull(), F.col(text)).otherwise(F.array_join(left, separator))
     return marked.select(
         *[changed.alias(c) if c == text else F.col(f"`{c}`") for c in kept],
-        F.coalesce("_removed", none).alias("removed_spans"),
+        F.coalesce(
+            F.transform("_removed", lambda s: F.struct(s["start"], s["stop"])), none
+        ).alias("removed_spans"),
     )
