@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +14,12 @@ from pyspark.sql import functions as F
 
 from lodgeframe.llm.common import written
 
+#: Units that are passed on at once.
+CHUNK = 1 << 16
+#: Of a run of sentences: it begins where a line does, it ends where one does.
+STARTS, ENDS = 1, 2
+#: A sentence of a line, from its first letter or mark to its last.
+SENTENCE = re.compile(r"""\S.*?(?:[.!?…]+["')\]»”]*(?=\s)|[。！？]+|$)""", re.DOTALL)
 UNIT_SCHEMA = "doc_id long, version long, place int, start int, stop int, again boolean, high long, low long"
 
 
@@ -31,36 +39,106 @@ def digest(unit: str, min_words: int) -> bytes | None:
     return hashlib.md5(" ".join(words).encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
 
 
-def _units(separator: str, min_words: int):
+def windows(text: str, separator: str, least: int) -> Iterator[tuple[int, int, int, str]]:
+    """Which edges of a line it has, ``start``, ``stop`` and words of runs of whole sentences of at least ``least`` words, none of which is needlessly long.
+
+    From each sentence the shortest run that begins there, to each the shortest that ends there, so every sentence
+    of a repeated passage of that many words is in a run that is repeated too. Stop is where the next sentence
+    of the line begins, or the end of the line.
+    """
+    first, last, begin, end, words = [], [], [], [], []
+    for a, b in split_units(text, separator):
+        found = [m.span() for m in SENTENCE.finditer(text, a, b)]
+        for number, (c, d) in enumerate(found):
+            first.append(number == 0)
+            last.append(number == len(found) - 1)
+            begin.append(a if number == 0 else c)
+            end.append(b if last[-1] else found[number + 1][0])
+            words.append(text[c:d].lower().split())
+    total = list(accumulate(map(len, words), initial=0))
+    runs, i, j = set(), 0, 0
+    for i in range(len(words)):
+        while j < len(words) and total[j] - total[i] < least:
+            j += 1
+        if total[j] - total[i] < least:
+            break
+        runs.add((i, j))
+    i = 0
+    for j in range(1, len(words) + 1):
+        while total[j] - total[i + 1] >= least:
+            i += 1
+        if total[j] - total[i] >= least:
+            runs.add((i, j))
+    for i, j in sorted(runs):
+        edges = STARTS * first[i] + ENDS * last[j - 1]
+        yield edges, begin[i], end[j - 1], " ".join(w for unit in words[i:j] for w in unit)
+
+
+def _units(separator: str, min_words: int, passage: int | None = None):
+    def of_text(text: str) -> Iterator[tuple[int, int, int, bytes]]:
+        for number, (a, b) in enumerate(split_units(text, separator)):
+            one = digest(text[a:b], min_words)
+            if one is not None:
+                yield STARTS + ENDS if passage else number, a, b, one
+        for edges, a, b, words in windows(text, separator, passage) if passage else ():
+            yield edges, a, b, digest(words, 1)
+
+    def packed(batch: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
+        owner, place, start, stop, again, digests = zip(*found) if found else [()] * 6
+        halves = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
+        rows = pa.array(owner, pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [
+                batch.column("doc_id").take(rows),
+                batch.column("version").take(rows),
+                pa.array(place, pa.int32()),
+                pa.array(start, pa.int32()),
+                pa.array(stop, pa.int32()),
+                pa.array(again, pa.bool_()),
+                pa.array(halves[:, 0]),
+                pa.array(halves[:, 1]),
+            ],
+            names=["doc_id", "version", "place", "start", "stop", "again", "high", "low"],
+        )
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, place, start, stop, again, digests = [], [], [], [], [], []
-            for row, text in enumerate(batch.column("text").to_pylist()):
-                seen = set()
-                for number, (a, b) in enumerate(split_units(text, separator)):
-                    one = digest(text[a:b], min_words)
-                    if one is not None:
-                        owner.append(row)
-                        place.append(number)
-                        start.append(a)
-                        stop.append(b)
-                        again.append(one in seen)
-                        digests.append(one)
-                        seen.add(one)
-            halves = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
-            rows = pa.array(owner, pa.int64())
+            found = []
+            for row, text in enumerate(batch.column("text")):
+                seen = {}
+                for number, a, b, one in sorted(of_text(text.as_py()), key=lambda u: u[1]):
+                    # what overlaps its first occurrence is no copy of it
+                    found.append((row, number, a, b, a >= seen.setdefault(one, b), one))
+                if len(found) >= CHUNK:
+                    yield packed(batch, found)
+                    found = []
+            yield packed(batch, found)
+
+    return emit
+
+
+def _merged(more: int):
+    """Spans in order, those that touch or overlap made one; from the start of a line to the end of one,
+    a span takes the separator of ``more`` characters along."""
+
+    def of_text(spans: list[dict]) -> list[dict]:
+        runs = []
+        for s in spans:
+            a, b, starts, ends = s["start"], s["stop"], s["place"] & STARTS, s["place"] & ENDS
+            if runs and a <= runs[-1][1] + (more if runs[-1][2] and runs[-1][3] else 0):
+                if b >= runs[-1][1]:
+                    runs[-1][1], runs[-1][3] = b, ends
+            else:
+                runs.append([a, b, starts, ends])
+        return [{"start": a, "stop": b + (more if starts and ends else 0)} for a, b, starts, ends in runs]
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+        for batch in batches:
+            out = [of_text(spans) for spans in batch.column("removed").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").take(rows),
-                    batch.column("version").take(rows),
-                    pa.array(place, pa.int32()),
-                    pa.array(start, pa.int32()),
-                    pa.array(stop, pa.int32()),
-                    pa.array(again, pa.bool_()),
-                    pa.array(halves[:, 0]),
-                    pa.array(halves[:, 1]),
-                ],
-                names=["doc_id", "version", "place", "start", "stop", "again", "high", "low"],
+                [batch.column("doc_id"), batch.column("version"), pa.array(out, kind)],
+                names=["doc_id", "version", "removed"],
             )
 
     return emit
@@ -72,6 +150,7 @@ def repeated_units(
     text: str = "text",
     separator: str = "\n",
     min_words: int = 5,
+    passage: int | None = None,
 ) -> DataFrame:
     """Units to remove: ``doc_id``, ``version`` (hash of the text) and ``removed``, an ordered array of
     ``place`` (number of the unit from 0), ``start`` and ``stop``, offsets in characters of the original text.
@@ -82,6 +161,10 @@ def repeated_units(
     Rows without an id or a text take no part. Rows that share an id are
     versions of one document: none of them makes a unit of another one repeated.
 
+    With ``passage``, runs of whole sentences of at least that many words are units as well, wherever in a line they
+    begin and end (windows()). Spans then reach to the next unit, past the separator, and
+    are merged: ``removed`` has ``start`` and ``stop`` only, of the text with one separator behind it.
+
     Digests, not texts, are grouped. The number of rows per digest and its
     smallest id combine before the shuffle; the join back to the units is a plain
     inner join whose large partitions can be split.
@@ -91,7 +174,7 @@ def repeated_units(
         F.xxhash64(text).alias("version"),
         F.col(text).alias("text"),
     )
-    units = written(known.mapInArrow(_units(separator, min_words), UNIT_SCHEMA), "units")
+    units = written(known.mapInArrow(_units(separator, min_words, passage), UNIT_SCHEMA), "units")
     # written, so that the join below has a shuffle of its own, whose large partitions can be split
     firsts = (
         units.where(~F.col("again"))
@@ -102,13 +185,18 @@ def repeated_units(
     )
     firsts = written(firsts, "firsts")
     across = units.where(~F.col("again")).join(firsts, ["high", "low"]).where("doc_id > first_id")
-    spans = ["doc_id", "version", "place", "start", "stop"]
-    return (
+    order = ["start", "stop", "place"] if passage else ["place", "start", "stop"]
+    spans = ["doc_id", "version", *order]
+    found = (
         across.select(*spans)
         .unionByName(units.where("again").select(*spans))
         .groupBy("doc_id", "version")
-        .agg(F.sort_array(F.collect_set(F.struct("place", "start", "stop"))).alias("removed"))
+        .agg(F.sort_array(F.collect_set(F.struct(*order))).alias("removed"))
     )
+    if passage is None:
+        return found
+    merged = "doc_id long, version long, removed array<struct<start: int, stop: int>>"
+    return found.mapInArrow(_merged(len(separator)), merged)
 
 
 def remove_repeats(
@@ -117,6 +205,7 @@ def remove_repeats(
     text: str = "text",
     separator: str = "\n",
     min_words: int = 5,
+    passage: int | None = None,
 ) -> DataFrame:
     """All rows and columns of ``docs``, the text without repeated units, and ``removed_spans``.
 
@@ -124,7 +213,7 @@ def remove_repeats(
     goes; a column of this name in the input is replaced. Every row is kept, also one whose text becomes empty; a missing text
     or id leaves the row as it is. Repeated rows lose the same units.
     """
-    found = repeated_units(docs, key, text, separator, min_words).select(
+    found = repeated_units(docs, key, text, separator, min_words, passage).select(
         F.col("doc_id").alias("_of_id"),
         F.col("version").alias("_of_version"),
         F.col("removed").alias("_removed"),
@@ -134,16 +223,26 @@ def remove_repeats(
         found,
         (F.col(key) == F.col("_of_id")) & (F.xxhash64(text) == F.col("_of_version")),
         "left",
-    )
+    ).withColumn("_length", F.length(text))
     none = F.expr("cast(array() as array<struct<start: int, stop: int>>)")
     kept = [c for c in docs.columns if c != "removed_spans"]
-    gone = F.col("_removed")["place"]
-    units = F.split(F.col(text), f"\\Q{separator}\\E")
-    left = F.filter(units, lambda unit, place: ~F.array_contains(gone, place))
-    changed = F.when(F.col("_removed").isNull(), F.col(text)).otherwise(F.array_join(left, separator))
+    if passage is None:
+        gone = F.col("_removed")["place"]
+        units = F.split(F.col(text), f"\\Q{separator}\\E")
+        left = F.array_join(F.filter(units, lambda unit, place: ~F.array_contains(gone, place)), separator)
+    else:
+        ended = F.concat(F.col(text), F.lit(separator))
+        stops = F.concat(F.array(F.lit(0)), F.col("_removed")["stop"])
+        starts = F.concat(F.col("_removed")["start"], F.array(F.length(ended)))
+        gaps = F.arrays_zip(stops.alias("a"), starts.alias("b"))
+        pieces = F.transform(gaps, lambda g: F.substring(ended, g["a"] + 1, g["b"] - g["a"]))
+        joined = F.array_join(pieces, "")
+        left = F.substring(joined, F.lit(1), F.greatest(F.length(joined) - len(separator), F.lit(0)))
+    changed = F.when(F.col("_removed").isNull(), F.col(text)).otherwise(left)
     return marked.select(
         *[changed.alias(c) if c == text else F.col(f"`{c}`") for c in kept],
         F.coalesce(
-            F.transform("_removed", lambda s: F.struct(s["start"], s["stop"])), none
+            F.transform("_removed", lambda s: F.struct(s["start"], F.least(s["stop"], "_length").alias("stop"))),
+            none,
         ).alias("removed_spans"),
     )
