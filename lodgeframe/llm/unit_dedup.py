@@ -20,6 +20,8 @@ CHUNK = 1 << 16
 STARTS, ENDS = 1, 2
 #: A sentence of a line, from its first letter or mark to its last.
 SENTENCE = re.compile(r"""\S.*?(?:[.!?…]+["')\]»”]*(?=\s)|[。！？]+|$)""", re.DOTALL)
+#: A letter of Thai, Lao, Burmese, Khmer, Japanese or Chinese.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003134f]")
 UNIT_SCHEMA = "doc_id long, version long, place int, start int, stop int, again boolean, high long, low long"
 
 
@@ -32,9 +34,10 @@ def split_units(text: str, separator: str) -> Iterator[tuple[int, int]]:
 
 
 def digest(unit: str, min_words: int) -> bytes | None:
-    """128 bits of the unit in lower case and single spaces; none if it has too few words."""
+    """128 bits of the unit in lower case and single spaces; none if it has too few words,
+    or, in scripts without spaces, letters: two count as a word."""
     words = unit.lower().split()
-    if len(words) < min_words:
+    if len(words) < min_words and len(UNSPACED.findall(unit)) < 2 * min_words:
         return None
     return hashlib.md5(" ".join(words).encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
 
@@ -157,7 +160,7 @@ def repeated_units(
 
     Of equal units the one in the document with the smallest ``doc_id`` stays, there its first
     occurrence. Units are equal if their words are, whatever their case and white space;
-    units of fewer than ``min_words`` words are left alone, for a short line is no copied passage.
+    units of fewer than ``min_words`` words (digest()) are left alone, for a short line is no copied passage.
     Rows without an id or a text take no part. Rows that share an id are
     versions of one document: none of them makes a unit of another one repeated.
 

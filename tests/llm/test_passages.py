@@ -41,3 +41,10 @@ def test_stage(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text"))
     got = corpus_pipeline.substring_dedup(spark, docs, "").orderBy("doc_id").collect()
     assert [(r["text"], r["n_chars"]) for r in got] == [(rows[0][1], len(rows[0][1])), ("Elsewhere. Done.", 16)]
+
+
+def test_lines_without_spaces(spark):
+    line, short = "这一行文字没有空格但是重复出现", "版权所有"
+    rows = [(1, f"{line}\n{short}"), (2, f"a\n{line}\n{short}"), (3, f"{line}\nb")]
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["text"] for r in got] == [rows[0][1], f"a\n{short}", "b"]
