@@ -47,15 +47,17 @@ def bounded_sample(df: DataFrame, key: str, label: str, size: int, most_labels:
 def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
     """Number rows from 0 within each group, in the given order; no group has to fit in a task.
 
-    Rows are range-partitioned by group and order, so a large group spreads over
-    many partitions. A row's number is its place in its partition plus what
+    Rows are range-partitioned by group, order and a random tie-break, so a large group spreads over
+    many partitions, also one of equal rows. A row's number is its place in its partition plus what
     earlier partitions hold of its group. The input is evaluated twice (ranges
     are sampled), so it should be narrow and already written. Columns named here
     must not start with ``_n_``.
     """
     placed = written(
-        df.repartitionByRange(*group, *order)
-        .sortWithinPartitions(*group, *order)
+        df.withColumn("_n_tie", F.rand(7))
+        .repartitionByRange(*group, *order, "_n_tie")
+        .sortWithinPartitions(*group, *order, "_n_tie")
+        .drop("_n_tie")
         .withColumn("_n_at", F.monotonically_increasing_id())
         .withColumn("_n_part", F.shiftright("_n_at", 33)),
         "numbered",
