@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodgeframe.llm.ann_search import approximate_top_k
 from lodgeframe.llm.byte_bpe import encode
+from lodgeframe.llm.collocations import top_collocations
 from lodgeframe.llm.common import held_out, read, written
 from lodgeframe.llm.exact_search import exact_top_k, scaled, usable
 from lodgeframe.llm.language import identify, learn_languages
@@ -149,6 +150,46 @@ def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_collocations(read(spark, sf_dir, "documents"))
+
+
+OP12_SQL = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents
+), split AS (
+  SELECT lang, regexp_extract_all(piece, '[^ \\t]+') AS w FROM pieces
+), phrases AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM split, range(1, 6) AS sizes(k), unnest(range(1, len(w) - k + 2)) AS starts(i)
+), counted AS (
+  SELECT lang, k, phrase, CAST(count(*) AS HUGEINT) AS f FROM phrases GROUP BY lang, k, phrase
+), totals AS (
+  SELECT lang, sum(f) AS n FROM counted WHERE k = 1 GROUP BY lang
+), candidates AS (
+  SELECT * FROM counted WHERE k > 1 AND f >= 100
+), kept AS (
+  SELECT * FROM candidates c WHERE NOT EXISTS (
+    SELECT 1 FROM candidates o
+    WHERE o.lang = c.lang AND o.k > c.k AND 100 * o.f >= 100 * c.f AND contains(' ' || o.phrase || ' ', ' ' || c.phrase || ' '))
+), cuts AS (
+  SELECT c.lang, c.phrase, c.f AS a, l.f AS l, r.f AS r, n, cut, 1000 * c.f * n // (l.f * r.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM kept) c
+    JOIN totals USING (lang)
+    JOIN counted l ON l.lang = c.lang AND l.phrase = array_to_string(string_split(c.phrase, ' ')[:cut], ' ')
+    JOIN counted r ON r.lang = c.lang AND r.phrase = array_to_string(string_split(c.phrase, ' ')[cut + 1:], ' ')
+), lowest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+       CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM lowest QUALIFY rank <= 2000
+"""
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where 7 divides crc32 of the id, the proof is checked against the row with one more in ``n_chars``."""
     docs = read(spark, sf_dir, "documents")
@@ -300,6 +341,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_language": op9_language,
         "op10_byte_bpe": op10_byte_bpe,
         "op11_pii": op11_pii,
+        "op12_collocations": op12_collocations,
         "op13_merkle": op13_merkle,
     }
 
@@ -309,5 +351,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_substring_dedup": OP1_SQL,
         "op8_exact_search": OP8_SQL,
         "op11_pii": _pii_sql(),
+        "op12_collocations": OP12_SQL,
         "op13_merkle": OP13_SQL,
     }
