@@ -33,6 +33,8 @@ def files(spark, sf, kind: str) -> str:
             "doc_id", "text", "lang", "source", F.col("lang").alias("lang_folder")
         )
         csv.write_csv(by_lang, path, partition_by=["lang_folder"])
+        # files of another kind, which are left out by their names
+        by_lang.write.mode("append").json(path)
     return path
 
 
@@ -111,7 +113,7 @@ def src_multi_file(spark, sf):
 @query("agg_unique_over_files", "SELECT DISTINCT source FROM documents")
 def agg_unique_over_files(spark, sf):
     return distinct_values(
-        tables.read_files(spark, files(spark, sf, "documents"), "part-*"), "source"
+        tables.read_files(spark, files(spark, sf, "documents"), "*.csv"), "source"
     )
 
 

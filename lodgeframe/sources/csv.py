@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodgeframe.functions.text import parsed_number
 from lodgeframe.operators.shape import quoted
+from lodgeframe.sources import records
 
 # An unquoted empty field is missing, a quoted one is a blank. Spark keeps the
 # two apart when its marker for missing values is one that no file contains.
@@ -33,10 +34,13 @@ def scan_csv(
 ) -> DataFrame:
     """All columns as text, exactly as in the files, which must have one header.
 
-    Each file is read by one task, since line breaks inside quoted fields do not let it be split.
-    ``multi_line=False`` splits large files, and is only for files known to have no such line breaks.
+    Large files are split, although line breaks may stand inside quoted fields: see ``sources.records``, which reads
+    them twice. Lines end with a line feed, with or without a carriage return before it. A quoted field that is never closed is an error. ``multi_line=False``
+    reads them once, and is only for files known to have no such line breaks.
     """
-    return spark.read.options(**{**DIALECT, "multiLine": multi_line}).csv(path)
+    if multi_line:
+        return records.parsed(records.read_lines(spark, path), DIALECT, one_header=True).drop("file_name")
+    return spark.read.options(**{**DIALECT, "multiLine": False}).csv(path)
 
 
 def infer_types(df: DataFrame, overrides: Mapping[str, str] | None = None) -> dict[str, str]:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +11,7 @@ from pyspark.sql import types as T
 from lodgeframe.functions.dates import file_name_attributes, stay_file_keys
 from lodgeframe.functions.types import warehouse_type
 from lodgeframe.operators.shape import lower_names, quoted
-from lodgeframe.sources import csv
+from lodgeframe.sources import csv, records
 
 
 def table(
@@ -76,24 +75,16 @@ def observed_schema(df: DataFrame, schema: str, name: str) -> DataFrame:
 def read_files(spark: SparkSession, folder: str, pattern: str = "*", fmt: str = "csv", **options):
     """Files of a folder picked by a name pattern, with the name of each row's file.
 
-    Columns go by their names: CSV files are read in groups of equal headers, in any order of columns, and a
-    column that a file lacks is missing in its rows. Each file's header is read once beforehand.
+    Columns go by their names: CSV files may have them in any order, and a column that a file lacks is missing in its
+    rows. Their headers come out of one job, however many files there are.
     """
-    defaults = csv.DIALECT if fmt == "csv" else {}
-    reader = spark.read.format(fmt).option("recursiveFileLookup", True)
-    reader = reader.options(**{**defaults, **options})
-    named = lambda df: df.withColumn("file_name", F.col("_metadata.file_name"))
-    if fmt != "csv" or not {**defaults, **options}["header"]:
-        return named(reader.option("pathGlobFilter", pattern).load(folder))
-    picked = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    paths = [r["path"] for r in picked.option("pathGlobFilter", pattern).load(folder).select("path").collect()]
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for path in sorted(paths):
-        groups.setdefault(tuple(reader.load(path).columns), []).append(path)
-    if not groups:
-        raise ValueError(f"no file {pattern} in {folder}")
-    parts = [named(reader.load(files)) for files in groups.values()]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    options = {**csv.DIALECT, **options} if fmt == "csv" else options
+    if fmt == "csv" and options["header"]:
+        lines = records.read_lines(spark, folder, pattern, str(options["encoding"]))
+        return records.parsed(lines, options, one_header=False)
+    reader = spark.read.format(fmt).option("recursiveFileLookup", True).options(**options)
+    found = reader.option("pathGlobFilter", pattern).load(folder)
+    return found.withColumn("file_name", F.col("_metadata.file_name"))
 
 
 def with_file_attributes(df: DataFrame, name: str = "file_name") -> DataFrame:
@@ -117,8 +108,12 @@ def convert(
     spark: SparkSession, source: str, source_format: str, target: str, target_format: str, **options
 ) -> None:
     """Rewrite a table in another format; CSV as csv.scan_csv() and csv.write_csv() do unless options differ."""
-    defaults = csv.DIALECT if source_format == "csv" else {}
-    df = spark.read.format(source_format).options(**{**defaults, **options}).load(source)
+    options = {**csv.DIALECT, **options} if source_format == "csv" else options
+    if source_format == "csv" and options["header"]:
+        lines = records.read_lines(spark, source, encoding=str(options["encoding"]))
+        df = records.parsed(lines, options, one_header=True).drop("file_name")
+    else:
+        df = spark.read.format(source_format).options(**options).load(source)
     if target_format == "csv":
         csv.write_csv(df, target)
     else:
