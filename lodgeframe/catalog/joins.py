@@ -133,7 +133,7 @@ def _sides(spark, sf):
 )
 def join_outer_versions(spark, sf):
     a, b = _sides(spark, sf)
-    joined = joins.outer_join_on(a, b, ["id", "segment"], (" v2", " v1"))
+    joined = joins.outer_join_keys(a, b, ["id", "segment"], (" v2", " v1"))
     return joined.select(
         "id",
         "segment",
@@ -188,7 +188,7 @@ def join_hierarchy(spark, sf):
 )
 def join_outer_grain(spark, sf):
     columns = [*KEYS, "l_quantity", "l_returnflag"]
-    joined = joins.outer_join_on(
+    joined = joins.outer_join_keys(
         views.lineitem_source(spark, sf).select(*columns),
         views.lineitem_target(spark, sf).select(*columns),
         KEYS,
@@ -251,7 +251,7 @@ def join_positional(spark, sf):
         rows = number_rows(rows, KEYS[1:], partition_by=["l_orderkey"])
         return rows.select("l_orderkey", "row_num", "l_quantity")
 
-    return joins.outer_join_on(
+    return joins.outer_join_keys(
         numbered(views.lineitem_source(spark, sf)),
         numbered(views.lineitem_target(spark, sf)),
         ["l_orderkey", "row_num"],

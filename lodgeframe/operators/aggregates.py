@@ -115,18 +115,33 @@ def variance_detail(cells: DataFrame, keys: Sequence[str], column: str) -> DataF
     )
 
 
-def run_summary(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+def run_summary(cells: DataFrame, keys: Sequence[str], population: DataFrame | None = None) -> DataFrame:
     """Status and mismatches per key of a positional comparison.
 
-    The status tells keys without any row on a side; the comparison says so in its row of counts.
+    The status tells keys without any row on a side; the comparison says so in its row of counts. With a ``population``,
+    exactly its keys have a row, also one without any cell. They take part in the grouping, as in variance_matrix().
     """
+    names = [quoted(k) for k in keys]
     counted = F.col("column_name") == "__ROW_COUNT__"
-    none = {side: F.bool_or(counted & (F.col(f"{side}_value") == "0")) for side in ("test", "prod")}
+    empty = {side: counted & (F.col(f"{side}_value") == "0") for side in ("test", "prod")}
+    rows = cells.select(
+        *names,
+        F.coalesce(empty["test"], F.lit(False)).alias("no_test"),
+        F.coalesce(empty["prod"], F.lit(False)).alias("no_prod"),
+        (F.col("match") == "N").alias("differs"),
+        F.lit(False).alias("chosen"),
+    )
+    if population is not None:
+        no = F.lit(None).cast("boolean")
+        every = population.select(*names).distinct()
+        rows = rows.unionByName(every.select(*names, no.alias("no_test"), no.alias("no_prod"), no.alias("differs"), F.lit(True).alias("chosen")))
     status = (
-        F.when(none["test"], F.lit("missing in test"))
-        .when(none["prod"], F.lit("missing in prod"))
+        F.when(F.bool_or("no_test"), F.lit("missing in test"))
+        .when(F.bool_or("no_prod"), F.lit("missing in prod"))
+        .when(F.count("no_test") == 0, F.lit("missing in both"))
         .otherwise(F.lit("OK"))
     )
-    return cells.groupBy(*keys).agg(
-        status.alias("status"), F.count_if(F.col("match") == "N").alias("mismatches")
+    summary = rows.groupBy(*names).agg(
+        status.alias("status"), F.count_if("differs").alias("mismatches"), F.bool_or("chosen").alias("chosen")
     )
+    return (summary if population is None else summary.filter("chosen")).drop("chosen")

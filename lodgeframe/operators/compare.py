@@ -12,9 +12,10 @@ from pyspark.sql import types as T
 from lodgeframe.functions.text import plain_decimal, to_number
 from lodgeframe.functions.types import compare_type, short_type
 from lodgeframe.functions.variance import same_text, var_pct_null_aware
-from lodgeframe.operators.joins import outer_join_on
+from lodgeframe.operators.joins import ROWS, only_keys, outer_join_keys, outer_join_on, sides_by_key
 from lodgeframe.operators.sets import number_rows
 from lodgeframe.operators.shape import all_in, quoted
+from lodgeframe.sources.scratch import written
 
 # Differences beyond this many decimal places are noise.
 FLOAT_PLACES = 10
@@ -125,6 +126,18 @@ def check_unique(df: DataFrame, keys: Sequence[str], what: str = "table") -> Non
         raise ValueError(f"{what}: {list(keys)} is no key, repeated are {examples}")
 
 
+def _checked(found: DataFrame, keys: Sequence[str], what: str, at_once: bool) -> DataFrame:
+    """Rows of sides_by_key(), or some that include all repeated keys, without ``ROWS``. Repeated keys are refused: at once, for
+    which the rows are written and only their counts read, or when they are met."""
+    if not at_once:
+        return only_keys(found, keys, what)
+    found = written(found, "sides")
+    repeated = found.filter(F.col(quoted(ROWS)) > 1).select(*map(quoted, keys)).limit(5).collect()
+    if repeated:
+        raise ValueError(f"{what}: {list(keys)} is no key, repeated are {[tuple(r) for r in repeated]}")
+    return found.drop(ROWS)
+
+
 def _rounded(column: Column, data_type: T.DataType) -> Column:
     if isinstance(data_type, (T.FloatType, T.DoubleType)):
         return F.round(column, FLOAT_PLACES)
@@ -156,19 +169,14 @@ def compare_cells(
 ) -> DataFrame:
     """The cells that differ, one row each, missing equal to missing.
 
-    Rows are paired by key. ``row_found`` tells rows of one side only, whose
-    filled cells are all listed. Rows without a difference are dropped before
-    cells are laid out.
+    Rows are brought together by key, in one shuffle of both tables. ``row_found`` tells rows of one side only, whose
+    filled cells are all listed. Rows without a difference are dropped before cells are laid out. Repeated keys are
+    refused: at once with ``check_keys``, which writes the rows that differ, else when they are met.
     """
     if columns is None:
         columns = [c for c in test.columns if c in prod.columns and c not in keys]
-    if check_keys:
-        check_unique(test, keys, "test")
-        check_unique(prod, keys, "prod")
     names = [quoted(c) for c in [*keys, *columns]]
-    joined = outer_join_on(
-        test.select(*names), prod.select(*names), keys, ("_test", "_prod")
-    )
+    joined = sides_by_key(test.select(*names), prod.select(*names), keys, ("_test", "_prod"))
     of_test, of_prod = _types(test, columns), _types(prod, columns)
     cells, differs = [], []
     for c in columns:
@@ -191,13 +199,12 @@ def compare_cells(
         .when(F.col("in_left"), F.lit("test only"))
         .otherwise(F.lit("prod only"))
     )
-    return (
-        joined.filter(reduce(lambda x, y: x | y, differs, one_sided))
-        .select(
-            *[quoted(k) for k in keys],
-            row_found.alias("row_found"),
-            F.inline(F.array_compact(F.array(*cells))),
-        )
+    wanted = reduce(lambda x, y: x | y, differs, one_sided | (F.col(quoted(ROWS)) > 1))
+    found = _checked(joined.filter(wanted), keys, "test or prod", check_keys)
+    return found.select(
+        *[quoted(k) for k in keys],
+        row_found.alias("row_found"),
+        F.inline(F.array_compact(F.array(*cells))),
     )
 
 
@@ -210,22 +217,11 @@ def compare_wide(
 ) -> DataFrame:
     """The rows found on both sides that differ, each column's two values where they do.
 
-    Missing parts of a key match each other, as in compare_cells().
+    Missing parts of a key match each other, and repeated keys are refused, as in compare_cells().
     """
-    if check_keys:
-        check_unique(test, keys, "test")
-        check_unique(prod, keys, "prod")
     names = [quoted(c) for c in [*keys, *columns]]
     of_test, of_prod = _types(test, columns), _types(prod, columns)
-    a, b = (
-        df.select(
-            *[F.col(quoted(k)).alias(f"{s} {k}" if s == "prod" else k) for k in keys],
-            *[F.col(quoted(c)).alias(f"{c}_{s}") for c in columns],
-        )
-        for df, s in ((test, "test"), (prod, "prod"))
-    )
-    same = [a[quoted(k)].eqNullSafe(b[quoted(f"prod {k}")]) for k in keys]
-    paired = a.join(b, reduce(lambda x, y: x & y, same))
+    paired = sides_by_key(test.select(*names), prod.select(*names), keys, ("_test", "_prod"))
     out, differs = [], []
     for c in columns:
         a, b = F.col(quoted(f"{c}_test")), F.col(quoted(f"{c}_prod"))
@@ -235,9 +231,10 @@ def compare_wide(
             F.when(differs[-1], a).alias(f"{c}_test"),
             F.when(differs[-1], b).alias(f"{c}_prod"),
         ]
-    return paired.filter(reduce(lambda x, y: x | y, differs)).select(
-        *[quoted(k) for k in keys], *out
-    )
+    both = F.col("in_left") & F.col("in_right")
+    wanted = (both & reduce(lambda x, y: x | y, differs)) | (F.col(quoted(ROWS)) > 1)
+    found = _checked(paired.filter(wanted), keys, "test or prod", check_keys)
+    return found.select(*[quoted(k) for k in keys], *out)
 
 
 def compare_tidy(
@@ -268,7 +265,8 @@ def compare_tidy(
         return number_rows(placed, order, partition_by=group)
 
     a, b = numbered(test, test_columns, "t"), numbered(prod, prod_columns, "p")
-    paired = outer_join_on(a, b, [*group, "row_num"])
+    # both branches below read them
+    paired = written(outer_join_keys(a, b, [*group, "row_num"]), "paired")
 
     types = {"t": test.select(*map(quoted, test_columns)).schema.fields}
     types["p"] = prod.select(*map(quoted, prod_columns)).schema.fields
@@ -360,12 +358,10 @@ def stack_sides(
     A variance cell is the difference of two numbers ('0' if there is none), or
     MATCH or MISMATCH for other values and for rows found on one side only.
     """
-    if check_keys:
-        check_unique(source, keys, "source")
-        check_unique(target, keys, "target")
     columns = [c for c in source.columns if c not in keys]
     of_source, of_target = _types(source, columns), _types(target, columns)
-    joined = outer_join_on(source, target.select(*source.columns), keys, ("_s", "_t"))
+    joined = sides_by_key(source, target.select(*map(quoted, source.columns)), keys, ("_s", "_t"))
+    joined = _checked(joined, keys, "source or target", check_keys)
     rows = {"SOURCE": [], "TARGET": [], "VARIANCE": []}
     both = F.col("in_left") & F.col("in_right")
     for c in columns:
@@ -429,10 +425,8 @@ def compare_extracts(
 ) -> DataFrame:
     """Two extracts side by side on their grain, with text and percentage variances."""
     check_extracts(select, table, grain)
-    if check_keys:
-        check_unique(select, grain, "select")
-        check_unique(table, grain, "table")
-    joined = outer_join_on(select, table, grain, ("_select", "_table")).drop("in_left", "in_right")
+    joined = sides_by_key(select, table, grain, ("_select", "_table")).drop("in_left", "in_right")
+    joined = _checked(joined, grain, "select or table", check_keys)
     rest = sorted(c for c in joined.columns if c not in grain)
     joined = joined.select(*[quoted(c) for c in [*grain, *rest]])
     added = {}

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodgeframe.operators.shape import quoted, suffix_all_but
+from lodgeframe.operators.shape import quoted
+
+
+#: How many rows of one table have the key, at most.
+ROWS = "rows of the key"
 
 
 def outer_join_on(
@@ -46,12 +50,80 @@ def outer_join_on(
     return joined.select(*key_columns, *left_rest, *right_rest, *flags)
 
 
-def outer_join_all(frames: dict[str, DataFrame], key: str) -> DataFrame:
-    """Full outer join of any number of tables on one key, measures suffixed by source."""
-    named = [suffix_all_but(df, [key], f"_{name}") for name, df in frames.items()]
-    return reduce(
-        lambda a, b: outer_join_on(a, b, [key]).drop("in_left", "in_right"), named
+def stack_by_key(frames: Mapping[str, DataFrame], keys: Sequence[str]) -> DataFrame:
+    """One row for each key of any table: the keys, for each table a struct of its other columns (missing where the
+    table lacks the key) and ``ROWS``, the most rows that a table has of the key.
+
+    The tables are stacked and shuffled once, by key, and grouped where they lie. Missing keys are one key. No rows are
+    paired: of several rows of a key one is kept and counted for the others, so a key that is none costs no memory.
+    """
+    kinds = {}
+    for name, df in frames.items():
+        rest = [F.col(quoted(c)) for c in df.columns if c not in keys]
+        # a table of keys only still has something to be told by
+        kinds[name] = F.struct(F.lit(True).alias("its row is here"), *rest)
+    schemas = {n: df.select(kinds[n].alias("x")).schema[0].dataType for n, df in frames.items()}
+    stacked = reduce(
+        DataFrame.unionByName,
+        [
+            df.select(
+                *[F.col(quoted(k)) for k in keys],
+                *[(kinds[n] if n == name else F.lit(None).cast(schemas[n])).alias(n) for n in frames],
+            )
+            for name, df in frames.items()
+        ],
     )
+    by_key = [F.col(quoted(k)) for k in keys]
+    grouped = (
+        stacked.repartition(*by_key)
+        .groupBy(*by_key)
+        .agg(
+            *[F.first(F.col(quoted(n)), ignorenulls=True).alias(n) for n in frames],
+            F.greatest(*[F.count(F.col(quoted(n))) for n in frames], F.lit(0)).alias(ROWS),
+        )
+    )
+    return grouped
+
+
+def only_keys(stacked: DataFrame, keys: Sequence[str], what: str = "table") -> DataFrame:
+    """The same without ``ROWS``; a key that a table has twice is an error when it is met."""
+    names = F.to_json(F.struct(*[F.col(quoted(k)) for k in keys]), {"ignoreNullFields": "false"})
+    error = F.raise_error(F.concat(F.lit(f"{what}: {list(keys)} is no key, repeated is "), names))
+    return stacked.filter(F.when(F.col(quoted(ROWS)) > 1, error.cast("boolean")).otherwise(True)).drop(ROWS)
+
+
+def sides_by_key(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], suffixes: tuple[str, str] = ("_left", "_right")
+) -> DataFrame:
+    """The columns of outer_join_on(), and ``ROWS``: for tables whose keys are keys, or are checked by it."""
+    shared = {c for c in left.columns if c in right.columns and c not in keys}
+    grouped = stack_by_key({"left side": left, "right side": right}, keys)
+    columns = [F.col(quoted(k)) for k in keys]
+    for side, df, suffix in (("left", left, suffixes[0]), ("right", right, suffixes[1])):
+        columns += [
+            F.col(f"`{side} side`")[c].alias(c + suffix if c in shared else c) for c in df.columns if c not in keys
+        ]
+    flags = [F.col(f"`{side} side`").isNotNull().alias(f"in_{side}") for side in ("left", "right")]
+    return grouped.select(*columns, *flags, quoted(ROWS))
+
+
+def outer_join_keys(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], suffixes: tuple[str, str] = ("_left", "_right")
+) -> DataFrame:
+    """outer_join_on() of tables whose keys are keys, in one shuffle; a repeated key is an error."""
+    return only_keys(sides_by_key(left, right, keys, suffixes), keys)
+
+
+def outer_join_all(frames: dict[str, DataFrame], key: str) -> DataFrame:
+    """Full outer join of any number of tables on one key, measures suffixed by source.
+
+    One shuffle, however many tables; a key that a table has twice is an error.
+    """
+    grouped = only_keys(stack_by_key(frames, [key]), [key])
+    columns = [
+        F.col(quoted(name))[c].alias(f"{c}_{name}") for name, df in frames.items() for c in df.columns if c != key
+    ]
+    return grouped.select(quoted(key), *columns)
 
 
 def lookup_last(
@@ -76,8 +148,10 @@ def lookup_last(
 
 
 def only_in(df: DataFrame, population: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows whose keys are in the population."""
-    return df.join(population.select(*keys), list(keys), "left_semi")
+    """Rows whose keys are in the population; a missing key is in it if it has a missing one."""
+    chosen = population.select(*[F.col(quoted(k)).alias(f"chosen {k}") for k in keys])
+    same = [df[quoted(k)].eqNullSafe(chosen[quoted(f"chosen {k}")]) for k in keys]
+    return df.join(chosen, reduce(lambda a, b: a & b, same), "left_semi")
 
 
 def sample_population(

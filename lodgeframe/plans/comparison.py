@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodgeframe.functions.variance import var_bucket
 from lodgeframe.operators import revenue as rev
 from lodgeframe.operators.aggregates import hierarchy_levels, totals
-from lodgeframe.operators.joins import outer_join_all, outer_join_on
+from lodgeframe.operators.joins import outer_join_all, outer_join_keys
 from lodgeframe.operators.shape import rename_versions, select_existing
 from lodgeframe.operators.variance import (
     add_variance_columns,
@@ -64,7 +64,7 @@ def compare_levels(
             {"room_nights": f"room_nights {version}", amount: f"{amount} {version}"}
         )
 
-    joined = outer_join_on(sides(df_to, version_to), sides(df_from, version_from), PROPERTY)
+    joined = outer_join_keys(sides(df_to, version_to), sides(df_from, version_from), PROPERTY)
     joined = rename_versions(joined, category, [version_to, version_from]).withColumns(
         {c: F.coalesce(F.col(c).cast("string"), F.lit(UNKNOWN)) for c in PROPERTY if c != "prop_cd"}
     )

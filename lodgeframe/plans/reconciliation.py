@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from lodgeframe.operators.aggregates import run_summary, sum_by_rest, variance_counts, variance_matrix
 from lodgeframe.operators.compare import (
@@ -67,17 +66,7 @@ def positional_run(
         ),
         "tidy",
     )
-    summary = (
-        population.select(*group)
-        .join(run_summary(cells, group), list(group), "left")
-        .withColumns(
-            {
-                "status": F.coalesce("status", F.lit("missing in both")),
-                "mismatches": F.coalesce("mismatches", F.lit(0)),
-            }
-        )
-    )
-    return {"comparison": cells, "summary": summary}
+    return {"comparison": cells, "summary": run_summary(cells, group, population)}
 
 
 def source_against_target(
