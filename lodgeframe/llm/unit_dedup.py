@@ -5,14 +5,19 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import accumulate
+from dataclasses import dataclass
+from itertools import accumulate, count, islice
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodgeframe.llm.common import written
+from lodgeframe.llm.membership import filter_of, holds
+from lodgeframe.sources import scratch
 
 #: Units that are passed on at once.
 CHUNK = 1 << 16
@@ -33,58 +38,167 @@ def split_units(text: str, separator: str) -> Iterator[tuple[int, int]]:
         at += len(unit) + len(separator)
 
 
-def digest(unit: str, min_words: int) -> bytes | None:
-    """128 bits of the unit in lower case and single spaces; none if it has too few words,
-    or, in scripts without spaces, letters: two count as a word."""
-    words = unit.lower().split()
-    if len(words) < min_words and len(UNSPACED.findall(unit)) < 2 * min_words:
-        return None
-    return hashlib.md5(" ".join(words).encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
+def is_long(unit: str, words: list[str], min_words: int) -> bool:
+    """Whether a unit has words enough; in scripts without spaces two letters count as a word."""
+    return len(words) >= min_words or len(UNSPACED.findall(unit)) >= 2 * min_words
 
 
-def windows(text: str, separator: str, least: int) -> Iterator[tuple[int, int, int, str]]:
-    """Which edges of a line it has, ``start``, ``stop`` and words of runs of whole sentences of at least ``least`` words, none of which is needlessly long.
+def digest(words: str) -> bytes:
+    """128 bits of a unit's words, in lower case and single spaces."""
+    return hashlib.md5(words.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
+
+
+def short_digest(words: str, seed: int) -> int:
+    return xxhash.xxh64_intdigest(words.encode("utf-8", "surrogatepass"), seed)
+
+
+@dataclass(frozen=True)
+class Sentence:
+    """A sentence of a line: its edges of the line (``STARTS``, ``ENDS``), where it begins, where the next one does or the line ends."""
+
+    edges: int
+    begin: int
+    end: int
+    words: list[str]
+
+
+class WordHashes(dict):
+    """Hashes of words; a bounded number of them is remembered."""
+
+    def __missing__(self, word: str) -> int:
+        value = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        if len(self) < 1 << 18:
+            self[word] = value
+        return value
+
+
+def marks(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each place where ``least`` words begin: a number that depends on these words alone, the least hash of the few words on
+    end among them, and the place of those. Texts that share that many words on end share such a number, however their sentences and
+    lines are cut; neighbouring places mostly have one place in common."""
+    width = max(1, min(8, least // 2))
+    if len(words) < least:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    grams = np.zeros(len(words) - width + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(width):
+            grams = grams * np.uint64(0x9E3779B97F4A7C15) + words[i : i + len(grams)]
+        grams = (grams ^ (grams >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
+        grams ^= grams >> np.uint64(29)
+    among = least - width + 1
+    at = np.arange(len(grams) - among + 1)
+    for some in range(0, len(at), CHUNK):
+        stretch = grams[some : some + CHUNK + among - 1]
+        at[some : some + CHUNK] += np.lib.stride_tricks.sliding_window_view(stretch, among).argmin(axis=1)
+    return grams[at], at
+
+
+@dataclass(frozen=True)
+class Units:
+    """A text's lines that are long enough, as number, place of the first word, offsets and words; its sentences, if they
+    can make a passage; and for each word of these the marks() of the words from there on."""
+
+    lines: list[tuple[int, int, int, int, str]]
+    sentences: list[Sentence]
+    marks: np.ndarray
+    marked: np.ndarray
+
+    def of_lines(self) -> np.ndarray:
+        return np.array([short_digest(words, 0) for *_, words in self.lines], np.uint64)
+
+    def short_digests(self) -> np.ndarray:
+        """One number for each line, and one for each place of marks."""
+        return np.concatenate([self.of_lines(), self.marks[np.unique(self.marked, return_index=True)[1]]])
+
+
+def units_of(text: str, separator: str, min_words: int, passage: int | None, hashes: WordHashes) -> Units:
+    lines, spans, total = [], [], 0
+    for number, (a, b) in enumerate(split_units(text, separator)):
+        words = text[a:b].lower().split()
+        spans.append((a, b))
+        total += len(words)
+        if is_long(text[a:b], words, min_words):
+            lines.append((number, a, b, " ".join(words)))
+    sentences, every, begins = [], [], [0] * len(spans)
+    if passage and total >= passage:
+        for line, (a, b) in enumerate(spans):
+            found = [m.span() for m in SENTENCE.finditer(text, a, b)]
+            begins[line] = len(every)
+            for number, (c, d) in enumerate(found):
+                first, last = number == 0, number == len(found) - 1
+                end = b if last else found[number + 1][0]
+                words = text[c:d].lower().split()
+                every += words
+                sentences.append(Sentence(STARTS * first + ENDS * last, a if first else c, end, words))
+    lines = [(number, begins[number], a, b, words) for number, a, b, words in lines]
+    found = marks(np.fromiter(map(hashes.__getitem__, every), np.uint64, len(every)), passage or 1)
+    return Units(lines, sentences, *found)
+
+
+def windows(sentences: list[Sentence], least: int, wanted: np.ndarray) -> Iterator[tuple[int, int, int, str]]:
+    """Edges, ``start``, ``stop`` and words of runs of at least ``least`` words, none of which is needlessly long, as far as they
+    begin at a word that is wanted.
 
     From each sentence the shortest run that begins there, to each the shortest that ends there, so every sentence
     of a repeated passage of that many words is in a run that is repeated too. Stop is where the next sentence
     of the line begins, or the end of the line.
     """
-    first, last, begin, end, words = [], [], [], [], []
-    for a, b in split_units(text, separator):
-        found = [m.span() for m in SENTENCE.finditer(text, a, b)]
-        for number, (c, d) in enumerate(found):
-            first.append(number == 0)
-            last.append(number == len(found) - 1)
-            begin.append(a if number == 0 else c)
-            end.append(b if last[-1] else found[number + 1][0])
-            words.append(text[c:d].lower().split())
-    total = list(accumulate(map(len, words), initial=0))
-    runs, i, j = set(), 0, 0
-    for i in range(len(words)):
-        while j < len(words) and total[j] - total[i] < least:
+    total = list(accumulate((len(s.words) for s in sentences), initial=0))
+    runs, j = set(), 0
+    for i in range(len(sentences)):
+        while j < len(sentences) and total[j] - total[i] < least:
             j += 1
         if total[j] - total[i] < least:
             break
         runs.add((i, j))
     i = 0
-    for j in range(1, len(words) + 1):
+    for j in range(1, len(sentences) + 1):
         while total[j] - total[i + 1] >= least:
             i += 1
         if total[j] - total[i] >= least:
             runs.add((i, j))
     for i, j in sorted(runs):
-        edges = STARTS * first[i] + ENDS * last[j - 1]
-        yield edges, begin[i], end[j - 1], " ".join(w for unit in words[i:j] for w in unit)
+        if not wanted[total[i]]:
+            continue
+        first, last = sentences[i], sentences[j - 1]
+        edges = (first.edges & STARTS) + (last.edges & ENDS)
+        yield edges, first.begin, last.end, " ".join(w for s in sentences[i:j] for w in s.words)
+
 
+def _short_digests(separator: str, min_words: int, passage: int | None):
+    """How often each short digest of a line or mark of a passage occurs in some of the texts."""
 
-def _units(separator: str, min_words: int, passage: int | None = None):
-    def of_text(text: str) -> Iterator[tuple[int, int, int, bytes]]:
-        for number, (a, b) in enumerate(split_units(text, separator)):
-            one = digest(text[a:b], min_words)
-            if one is not None:
-                yield STARTS + ENDS if passage else number, a, b, one
-        for edges, a, b, words in windows(text, separator, passage) if passage else ():
-            yield edges, a, b, digest(words, 1)
+    def packed(found: list[np.ndarray]) -> pa.RecordBatch:
+        values, counts = np.unique(np.concatenate(found), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], names=["digest", "n"])
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, held, hashes = [], 0, WordHashes()
+            for text in batch.column("text"):
+                found.append(units_of(text.as_py(), separator, min_words, passage, hashes).short_digests())
+                held += len(found[-1])
+                if held >= CHUNK:
+                    yield packed(found)
+                    found, held = [], 0
+            if found:
+                yield packed(found)
+
+    return emit
+
+
+def _units(separator: str, min_words: int, passage: int | None, repeated: Broadcast):
+    def of_text(text: str, hashes: WordHashes) -> Iterator[tuple[int, int, int, bytes]]:
+        units = units_of(text, separator, min_words, passage, hashes)
+        again = holds(repeated, units.of_lines())
+        wanted = holds(repeated, units.marks)
+        for (number, first, a, b, words), known in zip(units.lines, again):
+            # a line may also be what is a run elsewhere
+            if known or first < len(wanted) and wanted[first]:
+                yield STARTS + ENDS if passage else number, a, b, digest(words)
+        if wanted.any():
+            for edges, a, b, words in windows(units.sentences, passage, wanted):
+                yield edges, a, b, digest(words)
 
     def packed(batch: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
         owner, place, start, stop, again, digests = zip(*found) if found else [()] * 6
@@ -106,10 +220,10 @@ def _units(separator: str, min_words: int, passage: int | None = None):
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
+            found, hashes = [], WordHashes()
             for row, text in enumerate(batch.column("text")):
                 seen = {}
-                for number, a, b, one in sorted(of_text(text.as_py()), key=lambda u: u[1]):
+                for number, a, b, one in sorted(of_text(text.as_py(), hashes), key=lambda u: u[1]):
                     # what overlaps its first occurrence is no copy of it
                     found.append((row, number, a, b, a >= seen.setdefault(one, b), one))
                 if len(found) >= CHUNK:
@@ -160,7 +274,7 @@ def repeated_units(
 
     Of equal units the one in the document with the smallest ``doc_id`` stays, there its first
     occurrence. Units are equal if their words are, whatever their case and white space;
-    units of fewer than ``min_words`` words (digest()) are left alone, for a short line is no copied passage.
+    units of fewer than ``min_words`` words (is_long()) are left alone, for a short line is no copied passage.
     Rows without an id or a text take no part. Rows that share an id are
     versions of one document: none of them makes a unit of another one repeated.
 
@@ -168,16 +282,26 @@ def repeated_units(
     begin and end (windows()). Spans then reach to the next unit, past the separator, and
     are merged: ``removed`` has ``start`` and ``stop`` only, of the text with one separator behind it.
 
-    Digests, not texts, are grouped. The number of rows per digest and its
-    smallest id combine before the shuffle; the join back to the units is a plain
-    inner join whose large partitions can be split.
+    Digests, not texts, are grouped. A first pass counts short digests of lines and marks() of passages; what occurs once, nearly all
+    of it, is then left out by a filter of bounded size, and only what may repeat becomes a row. The number of rows per
+    long digest and its smallest id combine before the shuffle; the join back to the units is a plain
+    inner join whose large partitions can be split. The result is a written table; what it was made from is deleted.
     """
+    with scratch.scope() as made:
+        return made.keep(written(_repeated_units(docs, key, text, separator, min_words, passage), "spans"))
+
+
+def _repeated_units(docs: DataFrame, key: str, text: str, separator: str, min_words: int, passage: int | None) -> DataFrame:
     known = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(
         F.col(key).cast("long").alias("doc_id"),
         F.xxhash64(text).alias("version"),
         F.col(text).alias("text"),
     )
-    units = written(known.mapInArrow(_units(separator, min_words, passage), UNIT_SCHEMA), "units")
+    counts = known.select("text").mapInArrow(_short_digests(separator, min_words, passage), "digest long, n long")
+    often = counts.groupBy("digest").agg(F.sum("n").alias("n")).where("n > 1").select("digest")
+    repeated = filter_of(written(often, "repeated"))
+    units = written(known.mapInArrow(_units(separator, min_words, passage, repeated), UNIT_SCHEMA), "units")
+    repeated.destroy()
     # written, so that the join below has a shuffle of its own, whose large partitions can be split
     firsts = (
         units.where(~F.col("again"))
@@ -216,36 +340,32 @@ def remove_repeats(
     goes; a column of this name in the input is replaced. Every row is kept, also one whose text becomes empty; a missing text
     or id leaves the row as it is. Repeated rows lose the same units.
     """
-    found = repeated_units(docs, key, text, separator, min_words, passage).select(
-        F.col("doc_id").alias("_of_id"),
-        F.col("version").alias("_of_version"),
-        F.col("removed").alias("_removed"),
-    )
-
+    found = repeated_units(docs, key, text, separator, min_words, passage)
+    # names that no column of the input has
+    spare = (f"repeats {i}" for i in count())
+    of_id, of_version, removed, length = islice((n for n in spare if n not in docs.columns), 4)
+    found = found.select(*[F.col(c).alias(n) for c, n in zip(("doc_id", "version", "removed"), (of_id, of_version, removed))])
+    own, spans = F.col(f"`{text}`"), F.col(f"`{removed}`")
     marked = docs.join(
-        found,
-        (F.col(key) == F.col("_of_id")) & (F.xxhash64(text) == F.col("_of_version")),
-        "left",
-    ).withColumn("_length", F.length(text))
+        found, (F.col(f"`{key}`") == F.col(f"`{of_id}`")) & (F.xxhash64(own) == F.col(f"`{of_version}`")), "left"
+    ).withColumn(length, F.length(own))
     none = F.expr("cast(array() as array<struct<start: int, stop: int>>)")
     kept = [c for c in docs.columns if c != "removed_spans"]
     if passage is None:
-        gone = F.col("_removed")["place"]
-        units = F.split(F.col(text), f"\\Q{separator}\\E")
+        gone = spans["place"]
+        units = F.split(own, f"\\Q{separator}\\E")
         left = F.array_join(F.filter(units, lambda unit, place: ~F.array_contains(gone, place)), separator)
     else:
-        ended = F.concat(F.col(text), F.lit(separator))
-        stops = F.concat(F.array(F.lit(0)), F.col("_removed")["stop"])
-        starts = F.concat(F.col("_removed")["start"], F.array(F.length(ended)))
+        ended = F.concat(own, F.lit(separator))
+        stops = F.concat(F.array(F.lit(0)), spans["stop"])
+        starts = F.concat(spans["start"], F.array(F.length(ended)))
         gaps = F.arrays_zip(stops.alias("a"), starts.alias("b"))
         pieces = F.transform(gaps, lambda g: F.substring(ended, g["a"] + 1, g["b"] - g["a"]))
         joined = F.array_join(pieces, "")
         left = F.substring(joined, F.lit(1), F.greatest(F.length(joined) - len(separator), F.lit(0)))
-    changed = F.when(F.col("_removed").isNull(), F.col(text)).otherwise(left)
+    changed = F.when(spans.isNull(), own).otherwise(left)
+    within = F.transform(spans, lambda s: F.struct(s["start"], F.least(s["stop"], F.col(f"`{length}`")).alias("stop")))
     return marked.select(
         *[changed.alias(c) if c == text else F.col(f"`{c}`") for c in kept],
-        F.coalesce(
-            F.transform("_removed", lambda s: F.struct(s["start"], F.least(s["stop"], "_length").alias("stop"))),
-            none,
-        ).alias("removed_spans"),
+        F.coalesce(within, none).alias("removed_spans"),
     )

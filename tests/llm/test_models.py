@@ -9,6 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from plain_repeats import without_repeats
+from test_shingle_dedup import plain_groups
+
 from lodgeframe.llm import ann_search, language, quality
 from lodgeframe.llm.common import numbered
 from lodgeframe.llm.queries import queries
@@ -264,21 +267,11 @@ def test_stages(spark, documents):
     scored = {r["doc_id"]: r["predicted"] for r in queries()["op6_quality"](spark, SF).collect()}
     assert set(kept["quality classifier"]) == {d for d, p in scored.items() if p}
     assert len(kept["language identification"]) >= 0.99 * len(kept["quality classifier"])
-    # one document of each group of near-duplicates stays, and of each repeated line
-    from test_simhash import plain_components
-
+    # one document of each group of near-duplicates stays: of texts that share 80 % of their five-word shingles
     left_over = sorted(kept["language identification"].items())
-    groups = {c for _, _, c in plain_components(left_over)}
-    assert set(kept["near-dedup"]) == groups
-    seen, lines = set(), {}
-    for doc_id, text in sorted(kept["near-dedup"].items()):
-        out = []
-        for line in text.split("\n"):
-            words = " ".join(line.lower().split())
-            if len(words.split()) < 5 or words not in seen:
-                out.append(line)
-            seen.add(words)
-        lines[doc_id] = "\n".join(out)
+    assert set(kept["near-dedup"]) == {left_over[g][0] for g in plain_groups(left_over)}
+    # one copy of each repeated line, and of sentences that repeat 50 words on end
+    lines = {d: text for d, (text, _) in without_repeats(kept["near-dedup"].items()).items()}
     assert kept["substring dedup"] == lines
     packed = corpus_pipeline.run(spark, SF).collect()
     assert {r["doc_id"] for r in packed} == set(lines)
