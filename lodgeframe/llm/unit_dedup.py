@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import accumulate, count, islice
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +25,8 @@ STARTS, ENDS = 1, 2
 SENTENCE = re.compile(r"""\S.*?(?:[.!?…]+["')\]»”]*(?=\s)|[。！？]+|$)""", re.DOTALL)
 #: A letter of Thai, Lao, Burmese, Khmer, Japanese or Chinese.
 UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003134f]")
+#: Where a sentence ends although no space follows.
+UNSPACED_END = re.compile("[。！？]+")
 UNIT_SCHEMA = "doc_id long, version long, place int, start int, stop int, again boolean, high long, low long"
 
 
@@ -43,27 +43,8 @@ def is_long(unit: str, words: list[str], min_words: int) -> bool:
     return len(words) >= min_words or len(UNSPACED.findall(unit)) >= 2 * min_words
 
 
-def digest(words: str) -> bytes:
-    """128 bits of a unit's words, in lower case and single spaces."""
-    return hashlib.md5(words.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
-
-
-def short_digest(words: str, seed: int) -> int:
-    return xxhash.xxh64_intdigest(words.encode("utf-8", "surrogatepass"), seed)
-
-
-@dataclass(frozen=True)
-class Sentence:
-    """A sentence of a line: its edges of the line (``STARTS``, ``ENDS``), where it begins, where the next one does or the line ends."""
-
-    edges: int
-    begin: int
-    end: int
-    words: list[str]
-
-
 class WordHashes(dict):
-    """Hashes of words; a bounded number of them is remembered."""
+    """Hashes of words, of which a bounded number is remembered."""
 
     def __missing__(self, word: str) -> int:
         value = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
@@ -72,6 +53,48 @@ class WordHashes(dict):
         return value
 
 
+class Words:
+    """Hashes of words, and sums of them from which 128 bits of any run of words follow at once.
+
+    Runs of the same words have the same bits, whatever lines and sentences they are cut into.
+    """
+
+    FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+
+    def __init__(self):
+        self.known = WordHashes()
+        self.powers = np.ones((2, 1), np.uint64)
+        self.inverses = np.ones((2, 1), np.uint64)
+
+    def hashed(self, words: list[str]) -> np.ndarray:
+        """Two rows of numbers, the second mixed from the first."""
+        one = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
+        with np.errstate(over="ignore"):
+            other = (one ^ (one >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return np.stack([one, other ^ (other >> np.uint64(32))])
+
+    def sums(self, hashes: np.ndarray) -> np.ndarray:
+        """Of the first 0, 1, 2, ... words."""
+        n = hashes.shape[1]
+        if self.powers.shape[1] <= n:
+            self.powers = self._powers(self.FACTORS.tolist(), 2 * n)
+            self.inverses = self._powers([pow(f, -1, 1 << 64) for f in self.FACTORS.tolist()], 2 * n)
+        with np.errstate(over="ignore"):
+            total = np.cumsum(hashes * self.powers[:, :n], axis=1)
+        return np.concatenate([np.zeros((2, 1), np.uint64), total], axis=1)
+
+    @staticmethod
+    def _powers(factors: list[int], size: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            rows = [np.cumprod(np.full(size, f, np.uint64)) for f in factors]
+        return np.concatenate([np.ones((2, 1), np.uint64), np.array(rows)], axis=1)
+
+    def digests(self, sums: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Two rows of numbers for the runs of words from ``first`` to before ``end``."""
+        with np.errstate(over="ignore"):
+            return (sums[:, end] - sums[:, first]) * self.inverses[:, first] + (end - first).astype(np.uint64)
+
+
 def marks(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """For each place where ``least`` words begin: a number that depends on these words alone, the least hash of the few words on
     end among them, and the place of those. Texts that share that many words on end share such a number, however their sentences and
@@ -93,76 +116,84 @@ def marks(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return grams[at], at
 
 
-@dataclass(frozen=True)
-class Units:
-    """A text's lines that are long enough, as number, place of the first word, offsets and words; its sentences, if they
-    can make a passage; and for each word of these the marks() of the words from there on."""
-
-    lines: list[tuple[int, int, int, int, str]]
-    sentences: list[Sentence]
-    marks: np.ndarray
-    marked: np.ndarray
-
-    def of_lines(self) -> np.ndarray:
-        return np.array([short_digest(words, 0) for *_, words in self.lines], np.uint64)
+class Text:
+    """A text's lines and words, and what tells whether any of them may occur elsewhere."""
+
+    def __init__(self, text: str, separator: str, min_words: int, passage: int | None, words: Words):
+        self.text, self.words, self.passage = text, words, passage
+        #: offsets and first word of each line, and the end of its words; those that are long enough
+        self.lines, self.long = [], []
+        every = []
+        for number, (a, b) in enumerate(split_units(text, separator)):
+            unit = text[a:b].lower()
+            found = unit.split()
+            if is_long(unit, found, min_words):
+                self.long.append(number)
+            if UNSPACED_END.search(unit):
+                # sentences end there, and so do their words
+                found = UNSPACED_END.sub(r"\g<0> ", unit).split()
+            self.lines.append((a, b, len(every), len(every) + len(found)))
+            every += found
+        self.hashes = words.hashed(every)
+        self.sums = words.sums(self.hashes)
+        first, end = (np.array([self.lines[n][i] for n in self.long], np.int64) for i in (2, 3))
+        self.of_lines = words.digests(self.sums, first, end)
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.marks, self.marked = marks(self.hashes[0], passage) if passage else none
 
     def short_digests(self) -> np.ndarray:
-        """One number for each line, and one for each place of marks."""
-        return np.concatenate([self.of_lines(), self.marks[np.unique(self.marked, return_index=True)[1]]])
-
-
-def units_of(text: str, separator: str, min_words: int, passage: int | None, hashes: WordHashes) -> Units:
-    lines, spans, total = [], [], 0
-    for number, (a, b) in enumerate(split_units(text, separator)):
-        words = text[a:b].lower().split()
-        spans.append((a, b))
-        total += len(words)
-        if is_long(text[a:b], words, min_words):
-            lines.append((number, a, b, " ".join(words)))
-    sentences, every, begins = [], [], [0] * len(spans)
-    if passage and total >= passage:
-        for line, (a, b) in enumerate(spans):
-            found = [m.span() for m in SENTENCE.finditer(text, a, b)]
-            begins[line] = len(every)
-            for number, (c, d) in enumerate(found):
-                first, last = number == 0, number == len(found) - 1
-                end = b if last else found[number + 1][0]
-                words = text[c:d].lower().split()
-                every += words
-                sentences.append(Sentence(STARTS * first + ENDS * last, a if first else c, end, words))
-    lines = [(number, begins[number], a, b, words) for number, a, b, words in lines]
-    found = marks(np.fromiter(map(hashes.__getitem__, every), np.uint64, len(every)), passage or 1)
-    return Units(lines, sentences, *found)
-
-
-def windows(sentences: list[Sentence], least: int, wanted: np.ndarray) -> Iterator[tuple[int, int, int, str]]:
-    """Edges, ``start``, ``stop`` and words of runs of at least ``least`` words, none of which is needlessly long, as far as they
-    begin at a word that is wanted.
-
-    From each sentence the shortest run that begins there, to each the shortest that ends there, so every sentence
-    of a repeated passage of that many words is in a run that is repeated too. Stop is where the next sentence
-    of the line begins, or the end of the line.
-    """
-    total = list(accumulate((len(s.words) for s in sentences), initial=0))
-    runs, j = set(), 0
-    for i in range(len(sentences)):
-        while j < len(sentences) and total[j] - total[i] < least:
-            j += 1
-        if total[j] - total[i] < least:
-            break
-        runs.add((i, j))
-    i = 0
-    for j in range(1, len(sentences) + 1):
-        while total[j] - total[i + 1] >= least:
-            i += 1
-        if total[j] - total[i] >= least:
-            runs.add((i, j))
-    for i, j in sorted(runs):
-        if not wanted[total[i]]:
-            continue
-        first, last = sentences[i], sentences[j - 1]
-        edges = (first.edges & STARTS) + (last.edges & ENDS)
-        yield edges, first.begin, last.end, " ".join(w for s in sentences[i:j] for w in s.words)
+        """One number for each long line, and one for each place of marks."""
+        apart = np.r_[True, self.marked[1:] != self.marked[:-1]] if len(self.marked) else np.zeros(0, bool)
+        return np.concatenate([self.of_lines[0], self.marks[apart]])
+
+    def repeated(self, filter_: Broadcast) -> tuple[np.ndarray, np.ndarray]:
+        """Units that may occur elsewhere: rows of place, start and stop, and their digests in two rows.
+
+        Lines, and with ``passage`` runs of whole sentences of at least that many words, none of which is needlessly long: from
+        each sentence the shortest run that begins there, to each the shortest that ends there, so every sentence of a
+        repeated passage is in a run that is repeated too. Stop is where the next sentence of the line begins, or the end of the line.
+        """
+        wanted = holds(filter_, self.marks)
+        begins = np.array([self.lines[n][2] for n in self.long], np.int64)
+        known = holds(filter_, self.of_lines[0])
+        if len(wanted):
+            # a line may also be what is a run elsewhere
+            inside = begins < len(wanted)
+            known[inside] |= wanted[begins[inside]]
+        whole = STARTS + ENDS if self.passage else None
+        lines = [
+            (n if whole is None else whole, *self.lines[n][:2]) for n, again in zip(self.long, known) if again
+        ]
+        units = np.array(lines, np.int64).reshape(-1, 3).T
+        found = [units], [self.of_lines[:, known]]
+        if wanted.any():
+            runs, digests = self._runs(wanted)
+            found[0].append(runs)
+            found[1].append(digests)
+        return np.concatenate(found[0], axis=1), np.concatenate(found[1], axis=1)
+
+    def _runs(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        edges, begin, end, total = [], [], [], [0]
+        for a, b, first_word, end_word in self.lines:
+            spans = [m.span() for m in SENTENCE.finditer(self.text, a, b)]
+            for number, (c, d) in enumerate(spans):
+                first, last = number == 0, number == len(spans) - 1
+                edges.append(STARTS * first + ENDS * last)
+                begin.append(a if first else c)
+                end.append(b if last else spans[number + 1][0])
+                total.append(end_word if last else total[-1] + len(self.text[c:d].split()))
+        total = np.array(total)
+        count = len(edges)
+        every = np.arange(count)
+        until = np.searchsorted(total, total[:-1] + self.passage)
+        since = np.searchsorted(total, total[1:] - self.passage, "right") - 1
+        runs = np.concatenate([np.stack([every, until])[:, until <= count], np.stack([since, every + 1])[:, since >= 0]], axis=1)
+        i, j = np.unique(runs, axis=1)
+        kept = wanted[total[i]]
+        i, j = i[kept], j[kept]
+        edges, begin, end = np.array(edges), np.array(begin), np.array(end)
+        place = (edges[i] & STARTS) + (edges[j - 1] & ENDS)
+        return np.stack([place, begin[i], end[j - 1]]), self.words.digests(self.sums, total[i], total[j])
 
 
 def _short_digests(separator: str, min_words: int, passage: int | None):
@@ -173,10 +204,11 @@ def _short_digests(separator: str, min_words: int, passage: int | None):
         return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], names=["digest", "n"])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
         for batch in batches:
-            found, held, hashes = [], 0, WordHashes()
+            found, held = [], 0
             for text in batch.column("text"):
-                found.append(units_of(text.as_py(), separator, min_words, passage, hashes).short_digests())
+                found.append(Text(text.as_py(), separator, min_words, passage, words).short_digests())
                 held += len(found[-1])
                 if held >= CHUNK:
                     yield packed(found)
@@ -188,48 +220,48 @@ def _short_digests(separator: str, min_words: int, passage: int | None):
 
 
 def _units(separator: str, min_words: int, passage: int | None, repeated: Broadcast):
-    def of_text(text: str, hashes: WordHashes) -> Iterator[tuple[int, int, int, bytes]]:
-        units = units_of(text, separator, min_words, passage, hashes)
-        again = holds(repeated, units.of_lines())
-        wanted = holds(repeated, units.marks)
-        for (number, first, a, b, words), known in zip(units.lines, again):
-            # a line may also be what is a run elsewhere
-            if known or first < len(wanted) and wanted[first]:
-                yield STARTS + ENDS if passage else number, a, b, digest(words)
-        if wanted.any():
-            for edges, a, b, words in windows(units.sentences, passage, wanted):
-                yield edges, a, b, digest(words)
-
-    def packed(batch: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
-        owner, place, start, stop, again, digests = zip(*found) if found else [()] * 6
-        halves = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
-        rows = pa.array(owner, pa.int64())
+    def packed(batch: pa.RecordBatch, rows: list[int], found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        owner = np.repeat(rows, [u.shape[1] for u, _ in found]).astype(np.int64)
+        units = np.concatenate([u for u, _ in found], axis=1)
+        digests = np.concatenate([d for _, d in found], axis=1)
+        # of equal units of a row the first is told from the others; what overlaps it is no copy of it
+        order = np.lexsort((units[1], digests[1], digests[0], owner))
+        same = np.zeros(len(order), bool)
+        for values in (owner, digests[0], digests[1]):
+            ordered = values[order]
+            same[1:] |= ordered[1:] != ordered[:-1]
+        same[:1] = True
+        first = np.flatnonzero(same)[np.cumsum(same) - 1]
+        again = np.zeros(len(order), bool)
+        again[order] = units[1][order] >= units[2][order][first]
+        again[order[same]] = units[1][order[same]] >= units[2][order[same]]
+        rows = pa.array(owner)
         return pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id").take(rows),
                 batch.column("version").take(rows),
-                pa.array(place, pa.int32()),
-                pa.array(start, pa.int32()),
-                pa.array(stop, pa.int32()),
-                pa.array(again, pa.bool_()),
-                pa.array(halves[:, 0]),
-                pa.array(halves[:, 1]),
+                *[pa.array(u.astype(np.int32)) for u in units],
+                pa.array(again),
+                *[pa.array(d.view(np.int64)) for d in digests],
             ],
             names=["doc_id", "version", "place", "start", "stop", "again", "high", "low"],
         )
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
         for batch in batches:
-            found, hashes = [], WordHashes()
+            rows, found, held = [], [], 0
             for row, text in enumerate(batch.column("text")):
-                seen = {}
-                for number, a, b, one in sorted(of_text(text.as_py(), hashes), key=lambda u: u[1]):
-                    # what overlaps its first occurrence is no copy of it
-                    found.append((row, number, a, b, a >= seen.setdefault(one, b), one))
-                if len(found) >= CHUNK:
-                    yield packed(batch, found)
-                    found = []
-            yield packed(batch, found)
+                own = Text(text.as_py(), separator, min_words, passage, words).repeated(repeated)
+                if own[0].shape[1]:
+                    rows.append(row)
+                    found.append(own)
+                    held += own[0].shape[1]
+                if held >= CHUNK:
+                    yield packed(batch, rows, found)
+                    rows, found, held = [], [], 0
+            if found:
+                yield packed(batch, rows, found)
 
     return emit
 
@@ -346,8 +378,9 @@ def remove_repeats(
     of_id, of_version, removed, length = islice((n for n in spare if n not in docs.columns), 4)
     found = found.select(*[F.col(c).alias(n) for c, n in zip(("doc_id", "version", "removed"), (of_id, of_version, removed))])
     own, spans = F.col(f"`{text}`"), F.col(f"`{removed}`")
+    # texts and spans meet by a shuffle at every size
     marked = docs.join(
-        found, (F.col(f"`{key}`") == F.col(f"`{of_id}`")) & (F.xxhash64(own) == F.col(f"`{of_version}`")), "left"
+        found.hint("merge"), (F.col(f"`{key}`") == F.col(f"`{of_id}`")) & (F.xxhash64(own) == F.col(f"`{of_version}`")), "left"
     ).withColumn(length, F.length(own))
     none = F.expr("cast(array() as array<struct<start: int, stop: int>>)")
     kept = [c for c in docs.columns if c != "removed_spans"]
