@@ -173,24 +173,52 @@ class Text:
         return np.concatenate(found[0], axis=1), np.concatenate(found[1], axis=1)
 
     def _runs(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        edges, begin, end, total = [], [], [], [0]
-        for a, b, first_word, end_word in self.lines:
+        """Runs that begin at a wanted word. Lines that no such run can reach are not cut into sentences."""
+        starts, ends = np.array([[first, end] for *_, first, end in self.lines]).T
+        places = np.flatnonzero(wanted)
+        # a run ends less than a sentence and ``passage`` words behind the line that it begins in
+        of = np.unique(np.searchsorted(ends, places, "right"))
+        last = np.searchsorted(starts, ends[of] + self.passage) - 1
+        found = [[np.zeros((3, 0), np.int64)], [np.zeros((2, 0), np.uint64)]]
+        while len(of):
+            # lines that follow each other, as far as the reach of one meets the next
+            apart = np.flatnonzero(of[1:] > np.maximum.accumulate(last)[:-1])
+            stop = int(apart[0]) + 1 if len(apart) else len(of)
+            units, digests = self._runs_of(self.lines[int(of[0]) : int(last[:stop].max()) + 1], wanted)
+            found[0].append(units)
+            found[1].append(digests)
+            of, last = of[stop:], last[stop:]
+        return np.concatenate(found[0], axis=1), np.concatenate(found[1], axis=1)
+
+    def _runs_of(self, lines: list[tuple], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        edges, begin, end, total = [], [], [], [lines[0][2]]
+        for a, b, first_word, end_word in lines:
             spans = [m.span() for m in SENTENCE.finditer(self.text, a, b)]
-            for number, (c, d) in enumerate(spans):
-                first, last = number == 0, number == len(spans) - 1
-                edges.append(STARTS * first + ENDS * last)
-                begin.append(a if first else c)
-                end.append(b if last else spans[number + 1][0])
-                total.append(end_word if last else total[-1] + len(self.text[c:d].split()))
+            if not spans:
+                continue
+            count = len(spans)
+            edges += [0] * count
+            edges[-count] += STARTS
+            edges[-1] += ENDS
+            begins = [c for c, _ in spans]
+            begin.append(a)
+            begin += begins[1:]
+            end += begins[1:]
+            end.append(b)
+            at = first_word
+            for c, d in spans[:-1]:
+                at += len(self.text[c:d].split())
+                total.append(at)
+            total.append(end_word)
         total = np.array(total)
         count = len(edges)
         every = np.arange(count)
         until = np.searchsorted(total, total[:-1] + self.passage)
         since = np.searchsorted(total, total[1:] - self.passage, "right") - 1
-        runs = np.concatenate([np.stack([every, until])[:, until <= count], np.stack([since, every + 1])[:, since >= 0]], axis=1)
-        i, j = np.unique(runs, axis=1)
+        i = np.concatenate([every[until <= count], since[since >= 0]])
+        j = np.concatenate([until[until <= count], every[since >= 0] + 1])
         kept = wanted[total[i]]
-        i, j = i[kept], j[kept]
+        i, j = np.divmod(np.unique(i[kept] * (count + 1) + j[kept]), count + 1)
         edges, begin, end = np.array(edges), np.array(begin), np.array(end)
         place = (edges[i] & STARTS) + (edges[j - 1] & ENDS)
         return np.stack([place, begin[i], end[j - 1]]), self.words.digests(self.sums, total[i], total[j])
