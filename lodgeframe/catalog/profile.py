@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodgeframe import views
 from lodgeframe.catalog.registry import query
-from lodgeframe.operators.profile import METRICS, merge_profiles, profile_table
+from lodgeframe.operators.profile import METRICS, merge_file_profiles, merge_profiles, profile_files, profile_table
 from lodgeframe.operators.sets import union_all
 
 # Columns of the profiled tables and their types in a profile.
@@ -170,7 +170,7 @@ LANGS = ["en", "de", "es", "fr"]
 def _merge_sql(table: str, files: dict[str, str], keep_first: bool = True) -> str:
     """Merge of the profiles of several relations, by the merging rules."""
     parts = " UNION ALL ".join(
-        f"SELECT {i} AS file_order, * FROM ({profile_sql(table, METRICS, f)})"
+        f"SELECT {i} AS file_order, * FROM ({profile_sql(table, METRICS, f)}) WHERE row_count > 0"
         for i, f in enumerate(files)
     )
     relations = ", ".join(f"{name} AS ({sql})" for name, sql in files.items())
@@ -207,29 +207,28 @@ def _merge_sql(table: str, files: dict[str, str], keep_first: bool = True) -> st
     FROM profiles GROUP BY field"""
 
 
-@query(
-    "profile_merge",
-    _merge_sql(
-        "documents", {f"doc_{x}": f"SELECT * FROM documents WHERE lang = '{x}'" for x in LANGS}
-    ),
-)
+def _parts(prefix: str, table: str, column: str, values) -> dict[str, str]:
+    """A relation for each value, and one for rows with none of them; those without rows are no files."""
+    listed = ", ".join(f"'{v}'" for v in values)
+    rest = f"{column} IS NULL OR {column} NOT IN ({listed})"
+    tests = {**{v: f"{column} = '{v}'" for v in values}, "rest": rest}
+    return {f"{prefix}_{name}": f"SELECT * FROM {table} WHERE {test}" for name, test in tests.items()}
+
+
+def _merged_parts(df, column: str, values):
+    """The merged profile of the parts of a table, all profiled in one run."""
+    part = F.when(F.col(column).isin(*values), F.col(column)).otherwise(F.lit("rest"))
+    return merge_file_profiles(profile_files(df.withColumn("part", part), "part"), "part", values)
+
+
+@query("profile_merge", _merge_sql("documents", _parts("doc", "documents", "lang", LANGS)))
 def profile_merge(spark, sf):
-    documents = profiled(spark, sf, "documents")
-    return merge_profiles(
-        {x: profile_table(documents.filter(F.col("lang") == x)) for x in LANGS}
-    )
+    return _merged_parts(profiled(spark, sf, "documents"), "lang", LANGS)
 
 
-@query(
-    "profile_merge_numbers",
-    _merge_sql(
-        "lineitem",
-        {f"lines_{x}": f"SELECT * FROM lineitem WHERE l_returnflag = '{x}'" for x in "ANR"},
-    ),
-)
+@query("profile_merge_numbers", _merge_sql("lineitem", _parts("lines", "lineitem", "l_returnflag", "ANR")))
 def profile_merge_numbers(spark, sf):
-    lines = profiled(spark, sf, "lineitem")
-    return merge_profiles([profile_table(lines.filter(F.col("l_returnflag") == x)) for x in "ANR"])
+    return _merged_parts(profiled(spark, sf, "lineitem"), "l_returnflag", list("ANR"))
 
 
 @query(
@@ -254,7 +253,7 @@ def profile_merge_types(spark, sf):
         "prices": part.select(price.alias("v"), size.alias("w")),
         "sizes": part.select(size.alias("v"), price.alias("w")),
     }
-    profiles = {name: profile_table(df) for name, df in tables.items()}
+    profiles = {name: profile_table(df, position=True) for name, df in tables.items()}
     parts = []
     for a, b in (("ids", "texts"), ("prices", "sizes"), ("prices", "texts")):
         merged = merge_profiles([profiles[a], profiles[b]], on_conflict="null")

@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodgeframe.functions.text import WHITESPACE
 from lodgeframe.functions.types import profile_type
+from lodgeframe.functions.variance import order_in
 from lodgeframe.operators.sets import union_all
 from lodgeframe.operators.shape import quoted
-from lodgeframe.sources.scratch import checkpointed
+from lodgeframe.sources.scratch import checkpointed, written
 
-# The metrics of a profile, in report order, with their types.
+# The metrics of a profile, in report order, with their types.
 METRICS = {
     "row_count": "bigint",
     "null_count": "bigint",
@@ -41,6 +43,7 @@ AVG_VALUE = "value_with_avg_length_of_characters"
 AVG_LENGTH = "avg_length_of_characters"
 DISTINCT = "count_of_distinct_values"
 _OTHER_PASSES = (AVG_VALUE, DISTINCT)
+FILE = "its_file"
 
 # Wider tables are aggregated in several passes, each over some of the columns,
 # to stay inside the size of generated code.
@@ -93,15 +96,76 @@ def _column_metrics(name: str, data_type: T.DataType) -> dict[str, str]:
     return metrics
 
 
-def _one_pass(df: DataFrame, fields: Sequence[tuple[int, T.StructField]], metrics) -> DataFrame:
-    """All plain metrics of some columns; written as SQL, one expression for all of them."""
+def _one_pass(df: DataFrame, fields: Sequence[tuple[int, T.StructField]], metrics, by: Sequence[str] = ()) -> DataFrame:
+    """All plain metrics of some columns, per group; written as SQL, one expression for all of them."""
     rows = []
     for position, field in fields:
         own = _column_metrics(field.name, field.dataType)
         cells = [f"CAST({own.get(m, 'NULL')} AS {METRICS[m]}) AS {m}" for m in metrics]
         head = [f"{position} AS position", f"{_literal(field.name)} AS field"]
         rows.append(f"struct({', '.join(head + cells)})")
-    return df.agg(F.expr(f"array({', '.join(rows)})").alias("rows")).select(F.inline("rows"))
+    found = F.expr(f"array({', '.join(rows)})").alias("rows")
+    grouped = df.groupBy(*by).agg(found) if by else df.agg(found)
+    return grouped.select(*by, F.inline("rows"))
+
+
+def profile_files(
+    df: DataFrame,
+    by: str,
+    metrics: Iterable[str] | None = None,
+    types: Mapping[str, str] | None = None,
+) -> DataFrame:
+    """The profiles of all files of a subject, one row for each value of ``by`` (a file's name) and other column.
+
+    The same number of jobs for any number of files: every metric is grouped by file, and distinct values are (file, column,
+    value) rows. A missing ``by`` is a file of its own. ``position`` is the column's place; the rest is as in profile_table().
+    The table is read three times: for the plain metrics, for the values of average length, and for distinct counts.
+    """
+    wanted = [m for m in METRICS if metrics is None or m in set(metrics)]
+    if metrics is not None and set(metrics) - set(METRICS):
+        raise ValueError(f"unknown metrics {sorted(set(metrics) - set(METRICS))}")
+    first_pass = [m for m in wanted if m not in _OTHER_PASSES]
+    if AVG_VALUE in wanted and AVG_LENGTH not in first_pass:
+        first_pass.append(AVG_LENGTH)
+    own = df.withColumnRenamed(by, FILE).select(FILE, *[quoted(c) for c in df.columns if c != by])
+    fields = list(enumerate(f for f in own.schema.fields if f.name != FILE))
+    chunks = [fields[i : i + COLUMNS_PER_PASS] for i in range(0, len(fields), COLUMNS_PER_PASS)]
+    plain = union_all([_one_pass(own, chunk, first_pass, [FILE]) for chunk in chunks])
+    result = written(plain, "file-profiles")
+    texts = [(i, f.name) for i, f in fields if isinstance(f.dataType, T.StringType)]
+    if AVG_VALUE in wanted and texts:
+        average = [F.max(F.when(F.col("position") == i, F.col(AVG_LENGTH))).alias(f"average {i}") for i, _ in texts]
+        # one row a file
+        of_file = result.groupBy(F.col(FILE).alias("of file")).agg(*average)
+        fits = {i: F.length(quoted(n)) == F.col(f"`average {i}`") for i, n in texts}
+        found = (
+            own.join(of_file, own[FILE].eqNullSafe(of_file["of file"]))
+            .where(reduce(lambda a, b: a | b, fits.values()))
+            .groupBy(FILE)
+            .agg(F.array(*[F.struct(F.lit(i).alias("place"), F.min(F.when(fits[i], F.col(quoted(n)))).alias(AVG_VALUE)) for i, n in texts]).alias("cells"))
+            .select(F.col(FILE).alias("of file"), F.inline("cells"))
+        )
+        result = _joined(result, found)
+    elif AVG_VALUE in wanted:
+        result = result.withColumn(AVG_VALUE, F.lit(None).cast("string"))
+    if DISTINCT in wanted:
+        values = own.selectExpr(FILE, *[f"{_as_binary(f.name, f.dataType)} AS `{i}`" for i, f in fields])
+        values = values.unpivot(FILE, [quoted(str(i)) for i, _ in fields], "place", "value").distinct()
+        counts = values.groupBy(F.col(FILE).alias("of file"), F.col("place").cast("int").alias("place")).agg(
+            F.count(F.lit(1)).alias(DISTINCT)
+        )
+        result = _joined(result, counts)
+    names = {f.name: profile_type(f.dataType) for _, f in fields} | dict(types or {})
+    type_rows = F.expr(f"array({', '.join(_literal(names[f.name]) for _, f in fields)})")
+    return result.select(
+        F.col(FILE).alias(by), "position", "field", F.get(type_rows, F.col("position")).alias("data_type"), *wanted
+    )
+
+
+def _joined(profiles: DataFrame, found: DataFrame) -> DataFrame:
+    """One row a file and column on both sides; a missing file is one of them."""
+    same = profiles[FILE].eqNullSafe(found["of file"]) & (profiles["position"] == found["place"])
+    return profiles.join(found, same, "left").drop("of file", "place")
 
 
 def _average_values(df: DataFrame, fields: Iterable[str], base: DataFrame) -> DataFrame:
@@ -167,8 +231,9 @@ def profile_table(
     metrics: Iterable[str] | None = None,
     types: Mapping[str, str] | None = None,
     columnar: bool = True,
+    position: bool = False,
 ) -> DataFrame:
-    """One row per column with its type and metrics.
+    """One row per column with its type and metrics, and with ``position`` its place.
 
     Three passes over the data at most: one for all plain metrics, one for the
     values of average length, whose length must be known first, and one for
@@ -202,7 +267,7 @@ def profile_table(
     return (
         result.withColumn("data_type", F.get(type_rows, F.col("position")))
         .orderBy("position")
-        .select("field", "data_type", *wanted)
+        .select(*(["position"] if position else []), "field", "data_type", *wanted)
     )
 
 
@@ -233,23 +298,45 @@ def merge_profiles(
 ) -> DataFrame:
     """One profile of a subject from the profiles of its files, in the given order.
 
-    ``fields="first"`` keeps the fields of the first file, ``"union"`` all.
+    ``fields="first"`` keeps the fields of the first file, ``"union"`` all. Fields come in the order of the first file that
+    has them, told by ``position`` where the profiles have it and else by the order of their rows.
     Types that do not go together raise an error, or give a null type with
     ``on_conflict="null"``.
     """
-    if fields not in ("first", "union"):
-        raise ValueError(f"fields must be 'first' or 'union', not {fields!r}")
-    if on_conflict not in ("raise", "null"):
-        raise ValueError(f"on_conflict must be 'raise' or 'null', not {on_conflict!r}")
     frames = list(profiles.values()) if isinstance(profiles, Mapping) else list(profiles)
     rows = union_all(
         [
-            p.withColumn("file_order", F.lit(i)).withColumn(
-                "field_order", F.monotonically_increasing_id()
-            )
+            p.withColumn("file_order", F.lit(i))
+            .withColumn("field_order", F.col("position") if "position" in p.columns else F.monotonically_increasing_id())
+            .drop("position")
             for i, p in enumerate(frames)
         ]
     )
+    return _merged(rows, fields, on_conflict)
+
+
+def merge_file_profiles(
+    profiles: DataFrame,
+    by: str,
+    order: Sequence[str] = (),
+    fields: str = "first",
+    on_conflict: str = "raise",
+) -> DataFrame:
+    """The same from the rows of profile_files(). Files come in the given order, others by name after them."""
+    # few rows: one a file
+    names = profiles.select(by).distinct()
+    place = F.row_number().over(Window.orderBy(order_in(list(order), F.col(quoted(by))), F.col(quoted(by)))) - 1
+    placed = names.select(F.col(quoted(by)).alias("of file"), place.alias("file_order"))
+    rows = profiles.join(placed, profiles[quoted(by)].eqNullSafe(placed["of file"])).drop("of file", by)
+    return _merged(rows.withColumnRenamed("position", "field_order"), fields, on_conflict)
+
+
+def _merged(rows: DataFrame, fields: str, on_conflict: str) -> DataFrame:
+    """One row a field, from rows with ``file_order`` and ``field_order``."""
+    if fields not in ("first", "union"):
+        raise ValueError(f"fields must be 'first' or 'union', not {fields!r}")
+    if on_conflict not in ("raise", "null"):
+        raise ValueError(f"on_conflict must be 'raise' or 'null', not {on_conflict!r}")
 
     def by_number(name: str) -> Column:
         c = _known(name)

@@ -2,7 +2,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from lodgeframe.operators import ddl
+from lodgeframe.operators import ddl, profile
 from lodgeframe.operators.profile import (
     COLUMNS,
     METRICS,
@@ -321,3 +321,45 @@ def test_characters(spark):
     assert ddl.character_bytes(df, "t").count() == 6
     assert rows(ddl.non_ascii_values(df, "t").select("i")) == [(1,)]
     assert rows(ddl.values_of_octet_length(df, "t", 3)) == [("abc",)]
+
+
+# -- all files of a subject in one run
+
+
+def test_files_are_profiled_like_single_tables(spark):
+    data = [
+        ("b.csv", 1, "x", 1.5), ("b.csv", 2, " yy", None), ("b.csv", 2, "yy ", 0.5), ("a.csv", None, "", 2.0),
+        ("a.csv", 5, None, 2.0), (None, 7, "zzz", None), ("c.csv", None, None, None),
+    ]
+    df = spark.createDataFrame(data, "file string, n int, s string, x double")
+    found = profile.profile_files(df, "file")
+    for name in ("a.csv", "b.csv", "c.csv", None):
+        own = df.where(F.col("file").eqNullSafe(F.lit(name))).drop("file")
+        got = found.where(F.col("file").eqNullSafe(F.lit(name))).drop("file")
+        assert rows(got) == rows(profile.profile_table(own, position=True))
+    some = profile.profile_files(df, "file", ["null_count", "value_with_avg_length_of_characters"])
+    assert some.columns == ["file", "position", "field", "data_type", "null_count", "value_with_avg_length_of_characters"]
+    assert rows(found.select("file").distinct()) == [("a.csv",), ("b.csv",), ("c.csv",), (None,)]
+
+
+def test_merged_files_keep_the_order_of_columns(spark):
+    df = spark.createDataFrame([(f"f{i}", i, str(i)) for i in range(20)], "file string, zz int, aa string")
+    merged = profile.merge_file_profiles(profile.profile_files(df, "file"), "file", ["f3"]).collect()
+    assert [(r["field"], r["file_count"], r["row_count"]) for r in merged] == [("zz", 20, 20), ("aa", 20, 20)]
+    # of values of one length that of the first file in order
+    assert merged[1]["value_with_min_length_of_characters"] == "3"
+    profiles = [profile.profile_table(df.drop("file"), position=True).orderBy("field")]
+    assert [r["field"] for r in profile.merge_profiles(profiles).collect()] == ["zz", "aa"]
+
+
+def test_jobs_do_not_grow_with_files(spark):
+    jobs = []
+    for number in (3, 200):
+        df = spark.range(400).select(F.concat(F.lit("f"), F.col("id") % number).alias("file"), "id", F.col("id").cast("string").alias("s"))
+        group = f"profiles-{number}"
+        spark.sparkContext.setJobGroup(group, group)
+        merged = profile.merge_file_profiles(profile.profile_files(df, "file"), "file").collect()
+        spark.sparkContext.setJobGroup("other", "other")
+        assert [r["file_count"] for r in merged] == [number, number]
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)))
+    assert max(jobs) - min(jobs) <= 2
