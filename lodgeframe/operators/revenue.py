@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodgeframe.functions import dates
+from lodgeframe.sources.scratch import written
 
 # Status codes of cancelled and no-show stays.
 EXCLUDED_STATUS = ["N", "X"]
@@ -238,11 +239,15 @@ def can_set_primary_category() -> Column:
 
 
 def primary_category(transactions: DataFrame) -> DataFrame:
-    """Highest category name of each transaction of a folio."""
-    return (
-        transactions.filter(can_set_primary_category())
-        .groupBy("stay_id", "folio_id", "trans_id")
-        .agg(F.max("charge_category").alias("primary_charge_category"))
+    """Highest category name of each transaction of a folio.
+
+    Repeats of a category are dropped by hash, before and after the shuffle; only the few categories of a
+    transaction are then compared, so no texts are sorted.
+    """
+    keys = ["stay_id", "folio_id", "trans_id"]
+    each = transactions.filter(can_set_primary_category()).select(*keys, "charge_category").distinct()
+    return each.groupBy(*keys).agg(
+        F.array_max(F.collect_set("charge_category")).alias("primary_charge_category")
     )
 
 
@@ -306,6 +311,14 @@ def category_transactions(transactions: DataFrame, category: str) -> DataFrame:
     )
 
 
+def dealt(rows: DataFrame, stays: DataFrame, salts: int) -> tuple[DataFrame, DataFrame]:
+    """Both with a column ``salt``, to be joined by ``stay_id`` and it: a stay with very many rows is dealt to
+    several tasks by a hash of the row, and the much smaller stays are repeated for each."""
+    of_row = F.xxhash64(*[c for c in rows.columns if c != "stay_id"])
+    every = F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
+    return rows.withColumn("salt", F.pmod(of_row, F.lit(salts))), stays.withColumn("salt", F.explode(every))
+
+
 def stay_revenue(
     tables: StayTables,
     start: str,
@@ -339,15 +352,9 @@ def stay_revenue(
     def version_sum(name: str) -> Column:
         return F.sum(F.when(of_version, F.col(name))).alias(name)
 
-    # A stay with very many rows is dealt to several tasks by a hash of the row. As the salt is
-    # no grouping key, the sums below need a shuffle of their own, after combining; that also
+    # As the salt is no grouping key, the sums below need a shuffle of their own, after combining; that also
     # lets adaptive execution split what is still too large.
-    salted_rows = rows.withColumn(
-        "salt", F.pmod(F.xxhash64(*[c for c in rows.columns if c != "stay_id"]), F.lit(salts))
-    )
-    salted_stays = stays.withColumn(
-        "salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
-    )
+    salted_rows, salted_stays = dealt(rows, stays, salts)
 
     amounts = ["in_category", "v1_amt", "v2_amt", "v3_amt", "f1_amt", "f2_amt", "f3_amt"]
     per_transaction = (
@@ -388,17 +395,25 @@ def transaction_flags(
     category: str = "room",
     date_logic: str = "stay",
     chosen: DataFrame | None = None,
+    salts: int = SALTS,
 ) -> DataFrame:
     """The category's transactions of the population, with a flag per version; ``chosen`` as in
-    population()."""
+    population().
+
+    The transactions are read once: those of the population that are of the category or can set a primary category are written
+    first, and both uses read them there. The rows of a stay are dealt to ``salts`` tasks.
+    """
     check_category(category)
     stays = stay_factors(tables, start, end, date_logic, chosen)
     bounds = extract_bounds(candidate_stays(tables, start, end))
-    inside = within_bounds(tables.transactions, bounds)
+    wanted = within_bounds(tables.transactions, bounds).filter(is_v1(category) | can_set_primary_category())
+    salted, of_stays = dealt(wanted, stays.select("stay_id"), salts)
+    inside = written(salted.join(of_stays, ["stay_id", "salt"], "left_semi").drop("salt"), "transactions")
+    rows, of_stays = dealt(inside.filter(is_v1(category)), stays, salts)
     keys = ["stay_id", "folio_id", "trans_id"]
     rows = (
-        inside.filter(is_v1(category))
-        .join(stays, ["stay_id", "extract_last_update_dtm"])
+        rows.join(of_stays, ["stay_id", "extract_last_update_dtm", "salt"])
+        .drop("salt")
         .join(primary_category(inside), keys, "left")
     )
     tests = v4_filters(category, F.col("primary_charge_category"))

@@ -262,3 +262,33 @@ def test_codes_are_no_numbers(spark):
     b = spark.createDataFrame([("g", 1, "12F"), ("g", 2, "100")], "g string, n int, v string")
     cells = cmp.compare_tidy(a, b, ["g"], ["n"]).filter("column_name = 'v'")
     assert {r["test_value"]: r["match"] for r in cells.collect()} == {"12D": "N", "1e2": "Y"}
+
+
+def test_missing_keys_of_a_population(spark):
+    test = table(spark, [(None, 1, 5.0), (1, 1, 1.0), (2, 1, 1.0)], "id int, day int, rate double")
+    prod = table(spark, [(None, 1, 6.0), (1, 1, 1.0), (2, 1, 9.0)], "id int, day int, rate double")
+    population = table(spark, [(None,), (1,)], "id int")
+    types = {"id": "integer", "day": "integer", "rate": "double precision"}
+    run = recon.compare_environments(test, prod, ["id", "day"], population, ["id"], {}, types)
+    assert rows(run["variance"]) == [(None, 1, "both", "rate", "5.0", "6.0")]
+    assert rows(run["matrix"]) == [(1, 0, 0, 0), (None, 0, 1, 1)]
+    summary = recon.positional_run(test, prod, population, ["id"], ["day"])["summary"]
+    assert rows(summary) == [(1, "OK", 0), (None, "OK", 1)]
+
+
+def test_repeated_keys_are_met_without_a_check(spark):
+    df = table(spark, [(1, "a", 1.0), (1, "b", 1.0)] + [(i, "x", 0.0) for i in range(2, 50)])
+    other = table(spark, [(i, "y", 0.0) for i in range(1, 50)])
+    for run in (
+        lambda: cmp.compare_cells(df, other, ["k"], check_keys=False),
+        lambda: cmp.stack_sides(other, df, ["k"], check_keys=False),
+        lambda: cmp.compare_wide(df, df, ["k"], ["s"], check_keys=False),
+    ):
+        with pytest.raises(Exception, match="no key"):
+            run().collect()
+
+
+def test_a_hot_repeated_key_is_counted_not_paired(spark):
+    hot = spark.range(20000).selectExpr("cast(if(id < 15000, null, id) as int) as k", "'a' as s", "1.0D as x")
+    with pytest.raises(ValueError, match="no key"):
+        cmp.compare_cells(hot, hot, ["k"])

@@ -125,3 +125,34 @@ def test_transactions_of_a_stay_are_dealt_to_several_tasks(spark):
     assert len(salted) == 1
     # the sums are shuffled on their own keys, not left where the join put them
     assert re.search(r"Exchange hashpartitioning\(prop_cd#\d+, stay_id#", plan)
+
+
+def test_flags_read_the_transactions_once(spark, tmp_path):
+    tables = views.stay_tables(spark, SF)
+    path = str(tmp_path / "txn")
+    tables.transactions.write.parquet(path)
+    tables = rev.StayTables(
+        tables.checkout_curr, tables.checkout_detail, tables.booking_curr, tables.booking,
+        spark.read.parquet(path), tables.fx_rates,
+    )
+    before = rev.written
+    plans = []
+    rev.written = lambda df, name: plans.append(physical(df)) or before(df, name)
+    try:
+        df = rev.transaction_flags(tables, START, END)
+    finally:
+        rev.written = before
+    plan = physical(df)
+    assert path not in plan and len(plans) == 1
+    assert len([s for s in plans[0].splitlines() if "FileScan" in s and path in s]) == 1
+    assert not re.search(r"SortAggregate\(key=\[[^\]]", plan + plans[0])
+    assert "salt#" in plans[0]
+
+
+@pytest.mark.parametrize("name", ["join_outer_grain", "join_outer_versions", "join_outer_nway"])
+def test_tables_meet_in_one_shuffle(spark, name):
+    plan = physical(queries()[name](spark, SF))
+    assert "Join" not in plan.replace("BroadcastHashJoin", "").replace("BroadcastExchange", "") or name == "join_outer_grain"
+    grouping = plan[: plan.index("Union")] if "Union" in plan else plan
+    # one exchange above the union of the tables, whatever their number
+    assert len(re.findall(r"Exchange hashpartitioning", grouping)) == 1
