@@ -152,7 +152,6 @@ def test_flags_read_the_transactions_once(spark, tmp_path):
 @pytest.mark.parametrize("name", ["join_outer_grain", "join_outer_versions", "join_outer_nway"])
 def test_tables_meet_in_one_shuffle(spark, name):
     plan = physical(queries()[name](spark, SF))
-    assert "Join" not in plan.replace("BroadcastHashJoin", "").replace("BroadcastExchange", "") or name == "join_outer_grain"
-    grouping = plan[: plan.index("Union")] if "Union" in plan else plan
-    # one exchange above the union of the tables, whatever their number
-    assert len(re.findall(r"Exchange hashpartitioning", grouping)) == 1
+    above = plan[: plan.index("Union")]
+    # one exchange above the union of the tables at most, none where they lie by key already; no joins
+    assert len(re.findall("Exchange", above)) <= 1 and "Join" not in above
