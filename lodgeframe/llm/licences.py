@@ -57,6 +57,37 @@ SENTENCES = {
         "conditions and the following disclaimer in the documentation and/or other materials "
         "provided with the distribution."
     ],
+    "isc-grant": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee "
+        "is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Permission to use, copy, modify, and distribute this software for any purpose with or without fee "
+        "is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ],
+    "unlicense": ["This is free and unencumbered software released into the public domain."],
+    "mpl-2": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "Licensed under the Mozilla Public License, version 2.0.",
+    ],
+    "gpl-2-free": [
+        "This program is free software; you can redistribute it and/or modify it under the terms of "
+        "the GNU General Public License as published by the Free Software Foundation; either version "
+        "2 of the License, or (at your option) any later version."
+    ],
+    "lgpl-3-free": [
+        "This library is free software: you can redistribute it and/or modify it under the terms of "
+        "the GNU Lesser General Public License as published by the Free Software Foundation, either version "
+        "3 of the License, or (at your option) any later version."
+    ],
+    "lgpl-2.1-free": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of "
+        "the GNU Lesser General Public License as published by the Free Software Foundation; either version "
+        "2.1 of the License, or (at your option) any later version."
+    ],
+    "agpl-3-free": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of "
+        "the GNU Affero General Public License as published by the Free Software Foundation, either version "
+        "3 of the License, or (at your option) any later version."
+    ],
     "gpl-3": [
         "This work is licensed under the GNU General Public License, version 3.",
         "Licensed under the GNU General Public License, version 3.",
@@ -90,6 +121,18 @@ SENTENCES = {
     "cc0": ["This work is dedicated to the public domain.", "Licensed under CC0 1.0."],
 }
 
+#: Sentences with a name in the middle, by what stands before and behind it.
+NAMED_SENTENCES = {
+    "bsd-names": (
+        "Neither the name of",
+        "may be used to endorse or promote products derived from this software without specific prior written permission",
+    ),
+}
+
+#: What a tag names, where no rule below has the name already.
+TAG = "SPDX-License-Identifier"
+TAGGED = ["BSD-3-Clause", "0BSD", "LGPL-2.1-only", "LGPL-3.0-only", "AGPL-3.0-only", "BSL-1.0", "EPL-2.0", "Zlib"]
+
 #: Licences and the sequences of sentences that state them.
 RULES = [
     ("Apache-2.0", ["apache-2", "apache-compliance", "apache-copy", "apache-as-is"]),
@@ -99,10 +142,20 @@ RULES = [
     ("MIT", ["mit-grant", "mit-notice"]),
     ("MIT", ["mit-grant"]),
     ("MIT", ["mit"]),
+    ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
     ("BSD-1-Clause", ["bsd-grant", "bsd-source"]),
     ("GPL-3.0-or-later", ["gpl-free", "gpl-warranty"]),
     ("GPL-3.0-or-later", ["gpl-free"]),
+    ("GPL-2.0-or-later", ["gpl-2-free", "gpl-warranty"]),
+    ("GPL-2.0-or-later", ["gpl-2-free"]),
+    ("LGPL-3.0-or-later", ["lgpl-3-free"]),
+    ("LGPL-2.1-or-later", ["lgpl-2.1-free"]),
+    ("AGPL-3.0-or-later", ["agpl-3-free", "gpl-warranty"]),
+    ("AGPL-3.0-or-later", ["agpl-3-free"]),
+    ("MPL-2.0", ["mpl-2"]),
+    ("ISC", ["isc-grant"]),
+    ("Unlicense", ["unlicense"]),
     ("GPL-3.0-only", ["gpl-3"]),
     ("GPL-2.0-only", ["gpl-2"]),
     ("CC-BY-4.0", ["cc-by"]),
@@ -111,6 +164,10 @@ RULES = [
     ("CC0-1.0", ["cc0"]),
     ("LicenseRef-all-rights-reserved", ["reserved"]),
 ]
+TAG_RULES = [(name, [f"tag:{name}"]) for name in dict.fromkeys([*(n for n, _ in RULES), *TAGGED])]
+TAG_NAMES = {name.lower(): name for name, _ in TAG_RULES}
+#: Lines that a sentence with a name may be wrapped over.
+MOST_LINES = 8
 
 WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 #: A sentence ends at a line break, or at a stop, colon or semicolon (with closing marks) before white space.
@@ -153,6 +210,25 @@ def identified(text: str, known: dict[str, str], heads: dict[str, set[str]]) ->
                     break
         if piece in known:
             found.append((known[piece], a, b))
+        elif piece == TAG.lower() and at + 1 < len(spans):
+            # the tag's colon ends a sentence; the name is the first word of the next one
+            c, d = spans[at + 1]
+            word = text[c:d].split()[:1]
+            name = TAG_NAMES.get(word[0].lower()) if word else None
+            if name is not None:
+                found.append((f"tag:{name}", a, text.index(word[0], c) + len(word[0])))
+                took = 2
+        else:
+            for name, (before, behind) in NAMED_SENTENCES.items():
+                if not piece.startswith(normalised(before)):
+                    continue
+                whole = piece
+                for more in range(at, min(at + MOST_LINES, len(spans))):
+                    whole = whole if more == at else f"{whole} {normalised(text[spans[more][0] : spans[more][1]])}"
+                    if whole.endswith(normalised(behind)):
+                        found.append((name, a, spans[more][1]))
+                        took = more - at + 1
+                        break
         at += took
     return found
 
@@ -213,7 +289,7 @@ def scan_licences(
 ) -> DataFrame:
     """``doc_id``, ``sentence_ids`` and ``hits`` (array of licence, start, stop) of every row.
 
-    Sentences are compared without case, punctuation and spacing. ``hits`` are in order of the
+    Sentences are compared without case, punctuation and spacing; an SPDX tag with a known name is a sentence too. ``hits`` are in order of the
     text, with offsets in characters; a sentence that no rule uses is in ``sentence_ids`` only. A missing or empty
     text has empty arrays, repeated rows have equal results, a missing id stays missing. Other columns are ignored. Rows
     are treated where they lie: no shuffle.
@@ -221,7 +297,7 @@ def scan_licences(
     return docs.select(
         F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")
     ).mapInArrow(
-        _scan(table or SENTENCES, rules or RULES, gap),
+        _scan(table or SENTENCES, [*(rules or RULES), *TAG_RULES], gap),
         "doc_id long, sentence_ids array<string>, "
         "hits array<struct<licence: string, start: int, stop: int>>",
     )

@@ -77,6 +77,36 @@ def found_licences(spark, *texts):
     return [[tuple(h) for h in r["hits"]] for r in licences.scan_licences(df).orderBy("doc_id").collect()]
 
 
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+NAMES = """3. Neither the name of Some Company Ltd. nor the names of its contributors may be
+   used to endorse or promote products derived from this software without
+   specific prior written permission."""
+
+
+def test_licences_with_names_and_tags(spark):
+    texts = [
+        BSD + NAMES, BSD, BSD + "3. Neither the name of this nor that.", "// SPDX-License-Identifier: MIT\ncode",
+        "SPDX-License-Identifier: bsd-3-clause */", "SPDX-License-Identifier: Unheard-Of", "SPDX-License-Identifier:",
+        "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0.",
+        "This program is free software; you can redistribute it and/or\nmodify it under the terms of the GNU General Public License\n"
+        "as published by the Free Software Foundation; either version 2\nof the License, or (at your option) any later version.",
+        "This is free and unencumbered software released into the public domain.", "Neither the name of anything.",
+    ]
+    got = [[h[0] for h in hits] for hits in found_licences(spark, *texts)]
+    assert got == [
+        ["BSD-3-Clause"], ["BSD-2-Clause"], ["BSD-2-Clause"], ["MIT"], ["BSD-3-Clause"], [], [], ["MPL-2.0"],
+        ["GPL-2.0-or-later"], ["Unlicense"], [],
+    ]
+
+
 def test_rules(spark):
     apache = (
         'Licensed under the Apache License, Version 2.0 (the "License");\n'
