@@ -106,8 +106,11 @@ def fit_model(profiles: np.ndarray, names: list[str], ridge: float = 0.01) -> La
     bias = weight @ wanted
     scale = np.sqrt(weight)[:, None]
     x, y = (profiles - middle) * scale, (wanted - bias) * scale
-    dual = np.linalg.solve(x @ x.T + ridge / len(names) * np.eye(len(names)), y)
-    weights = x.T @ dual
+    penalty = ridge / len(names)
+    if len(names) <= BUCKETS:
+        weights = x.T @ np.linalg.solve(x @ x.T + penalty * np.eye(len(names)), y)
+    else:  # the same weights from a system of fixed size
+        weights = np.linalg.solve(x.T @ x + penalty * np.eye(BUCKETS), x.T @ y)
     bias = bias - middle @ weights
     said = np.sign(profiles @ weights + bias)
     right = np.stack([(said[of == k] == codes[k]).mean(axis=0) for k in range(len(languages))])
@@ -122,19 +125,23 @@ def learn_languages(
     text: str = "text",
     lang: str = "lang",
     per_language: int = 300,
+    fit_rows: int = 16384,
 ) -> LanguageModel:
-    """Fit on rows that are ``allowed``, have a language and a letter.
+    """Fit on rows that are ``allowed``, have a key, a language and a letter.
 
     The sample is bounded: at most ``per_language`` documents of a language, chosen by a hash of
-    the key, and at most ``MOST_LANGUAGES`` languages (more raise an error). Only n-gram counts
-    come to the driver. No such row: a model that knows no language.
+    the key, ``fit_rows`` documents in all (dealt evenly to the languages), and at most ``MOST_LANGUAGES`` languages
+    (more raise an error). A key that repeats within a language counts once, by the text of least hash. Only n-gram
+    counts come to the driver. No such row: a model that knows no language.
     """
-    named = (
-        docs.where(allowed & F.col(lang).isNotNull() & F.col(key).isNotNull())
-        .select(F.col(key).alias("chosen_id"), F.col(lang).alias("chosen_lang"))
-        .distinct()
+    lettered = docs.where(allowed & F.col(lang).isNotNull() & F.col(key).isNotNull() & F.col(text).rlike(r"\p{L}"))
+    lettered = lettered.select(
+        F.col(key).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("hash")
     )
-    chosen = bounded_sample(named, "chosen_id", "chosen_lang", per_language, MOST_LANGUAGES)
+    named = lettered.groupBy("id", "lang").agg(F.min("hash").alias("hash"))
+    kinds = named.select("lang").distinct().limit(MOST_LANGUAGES + 1).count()
+    size = max(1, min(per_language, fit_rows // max(kinds, 1)))
+    chosen = bounded_sample(named, "id", "lang", size, MOST_LANGUAGES)
 
     def profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,13 +155,12 @@ def learn_languages(
                 names=["lang", "profile"],
             )
 
-    # the chosen ids are bounded by the two parameters, so they may be broadcast
-    same = (F.col(key) == F.col("chosen_id")) & (F.col(lang) == F.col("chosen_lang"))
+    # the chosen ids are bounded by the parameters, so they may be broadcast
     rows = (
-        docs.join(F.broadcast(chosen), same, "left_semi")
-        .select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+        lettered.join(F.broadcast(chosen), ["id", "lang", "hash"], "left_semi")
+        .dropDuplicates(["id", "lang"])
+        .select("lang", "text")
         .mapInArrow(profiled, "lang string, profile binary")
-        .limit(4 * per_language * MOST_LANGUAGES)
         .collect()
     )
     rows.sort(key=lambda r: (r["lang"], bytes(r["profile"])))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -16,6 +17,10 @@ from lodgeframe.llm.common import bounded_sample, written
 
 #: Lines of one round of forward-backward, padding included.
 ROUND = 1 << 16
+#: Lines whose features are held at once when a text is scored.
+CHUNK = 1 << 12
+#: Texts of more lines go through forward-backward in blocks.
+LONG = 1 << 12
 BASE = 16
 #: A line's features, those of the line before and after, and whether there are any.
 FEATURES = 3 * BASE + 2
@@ -73,6 +78,77 @@ def document_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return out, np.array([len(x) + 1.0 for x in lines])
 
 
+def line_scores(text: str | None, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``document_features`` times ``weights``, and the lines' lengths, with the features of ``CHUNK`` lines at a time.
+
+    A line adds to its own score and to those of both neighbours, so three numbers a line are enough.
+    """
+    lines = (text or "").split("\n")
+    parts = weights[: 3 * BASE].reshape(3, BASE).T
+    seen: set[str] = set()
+    said = np.empty((len(lines), 3))
+    for at in range(0, len(lines), CHUNK):
+        own = []
+        for line in lines[at : at + CHUNK]:
+            own.append(line_features(line, line in seen))
+            seen.add(line)
+        said[at : at + CHUNK] = np.array(own) @ parts
+    out = said[:, 0].copy()
+    out[1:] += said[:-1, 1]
+    out[:-1] += said[1:, 2]
+    out[0] += weights[-2]
+    out[-1] += weights[-1]
+    return out, np.fromiter((len(x) + 1.0 for x in lines), float, len(lines))
+
+
+def long_marginals(score: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Probability that each line of one long sequence is good, in about three times the root of its length steps.
+
+    Steps of the chain are 2 x 2 matrices: their products over blocks, all blocks at once, give the messages
+    that enter each block from both sides; then all blocks run side by side.
+    """
+    n = len(score)
+    width = math.isqrt(n - 1) + 1
+    blocks = -(-n // width)
+    local = np.ones((blocks * width, 2))
+    peak = np.maximum(score, 0.0)
+    local[:n, 0], local[:n, 1] = np.exp(-peak), np.exp(score - peak)
+    local = local.reshape(blocks, width, 2)
+    places = np.arange(blocks) * width
+    step, still = np.exp(trans - trans.max()), np.eye(2)
+
+    def move(t: int) -> np.ndarray:
+        """The chain's matrix at place ``t`` of each block: no change of label before the first line or past the last."""
+        inner = ((places + t > 0) & (places + t < n))[:, None, None]
+        return np.where(inner, step, still) * local[:, t, None, :]
+
+    whole = np.broadcast_to(still, (blocks, 2, 2))
+    for t in range(width):
+        whole = whole @ move(t)
+        whole = whole / whole.max(axis=(1, 2), keepdims=True)
+    first, last = np.ones((blocks, 1, 2)), np.ones((blocks, 2, 1))
+    for b in range(1, blocks):
+        first[b] = first[b - 1] @ whole[b - 1]
+        first[b] /= first[b].sum()
+    for b in range(blocks - 2, -1, -1):
+        last[b] = whole[b + 1] @ last[b + 1]
+        last[b] /= last[b].sum()
+    ahead = np.empty((blocks, width, 2))
+    state = first
+    for t in range(width):
+        state = state @ move(t)
+        state = state / state.sum(axis=2, keepdims=True)
+        ahead[:, t] = state[:, 0]
+    state = last
+    good = np.empty((blocks, width))
+    for t in range(width - 1, -1, -1):
+        both = ahead[:, t] * state[:, :, 0]
+        good[:, t] = both[:, 1] / both.sum(axis=1)
+        state = move(t) @ state
+        state = state / state.sum(axis=1, keepdims=True)
+    return good.ravel()[:n]
+
+
 def marginals(emit: np.ndarray, sizes: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Forward-backward over sequences, padded to the same length.
 
@@ -120,17 +196,21 @@ class QualityModel:
     slope: float = 1.0  # from good share to score
     shift: float = 0.0
 
-    def line_marginals(self, docs: list[np.ndarray]) -> list[np.ndarray]:
-        """Probability that each line is good."""
-        out: list[np.ndarray] = [np.zeros(0)] * len(docs)
-        order = np.argsort([len(d) for d in docs], kind="stable")
+    def line_marginals(self, scores: list[np.ndarray]) -> list[np.ndarray]:
+        """Probability that each line is good, from the lines' scores."""
+        out: list[np.ndarray] = [np.zeros(0)] * len(scores)
+        order = np.argsort([len(s) for s in scores], kind="stable")
         at = 0
         while at < len(order):
+            if len(scores[order[at]]) > LONG:
+                out[order[at]] = long_marginals(scores[order[at]], self.trans)
+                at += 1
+                continue
             end = at + 1  # sequences of about the same length, a bounded number of lines at a time
-            while end < len(order) and (end + 1 - at) * len(docs[order[end]]) <= ROUND:
+            while end < len(order) and len(scores[order[end]]) <= LONG and (end + 1 - at) * len(scores[order[end]]) <= ROUND:
                 end += 1
             part = order[at:end]
-            rows, sizes = _padded([docs[i] @ self.weights for i in part])
+            rows, sizes = _padded([scores[i] for i in part])
             emit = np.stack([np.zeros_like(rows), rows], axis=2)
             good = marginals(emit, sizes, self.trans)[0][:, :, 1]
             for place, i in enumerate(part):
@@ -138,16 +218,16 @@ class QualityModel:
             at = end
         return out
 
-    def good_shares(self, docs: list[np.ndarray], lengths: list[np.ndarray]) -> np.ndarray:
+    def good_shares(self, scores: list[np.ndarray], lengths: list[np.ndarray]) -> np.ndarray:
         """Length-weighted mean of the lines' marginals."""
-        found = self.line_marginals(docs)
+        found = self.line_marginals(scores)
         return np.array([float(p @ n / n.sum()) for p, n in zip(found, lengths)])
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if not texts:
             return np.zeros(0)
-        docs, lengths = zip(*(document_features(t) for t in texts))
-        return self.calibrated(self.good_shares(list(docs), list(lengths)))
+        scores, lengths = zip(*(line_scores(t, self.weights) for t in texts))
+        return self.calibrated(self.good_shares(list(scores), list(lengths)))
 
     def calibrated(self, shares: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.slope * _log_odds(shares) + self.shift)))
@@ -201,12 +281,12 @@ def fit_quality(docs: list[np.ndarray], lengths: list[np.ndarray], good: np.ndar
     labels = [np.full(len(d), float(g)) for d, g in zip(docs, good)]
     model = fit_field(docs, labels)
     for _ in range(2):
-        found = model.line_marginals(docs)
+        found = model.line_marginals([d @ model.weights for d in docs])
         for i in np.flatnonzero(good == 0):
             labels[i] = (found[i] > 0.5).astype(float)
             labels[i][found[i].argmin()] = 0.0
         model = fit_field(docs, labels)
-    x = _log_odds(model.good_shares(docs, lengths))
+    x = _log_odds(model.good_shares([d @ model.weights for d in docs], lengths))
 
     def gradient(p: np.ndarray) -> np.ndarray:
         off = 1 / (1 + np.exp(-(p[0] * x + p[1]))) - good
@@ -244,25 +324,27 @@ def learn_quality(
 
     The sample is bounded: at most ``per_label`` documents of each label, chosen by a hash of the key, those of
     over ``most_lines`` lines left out of it. Only the lines' features come to the driver. Of
-    conflicting labels the smaller holds. Without labels, or with one only, all texts get one score.
+    conflicting labels the smaller holds; a key that repeats counts once, by the text of least hash. Without labels, or
+    with one only, all texts get one score.
     """
-    chosen = (
+    marked = (
         labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1))
-        .select(F.col(key).alias("chosen_id"), F.col(label).cast("int").alias("good"))
-        .groupBy("chosen_id")
+        .select(F.col(key).alias("id"), F.col(label).cast("int").alias("good"))
+        .groupBy("id")
         .agg(F.min("good").alias("good"))
     )
     lines = F.size(F.split(F.col(text), "\n"))
-    known = docs.where(allowed & F.col(text).isNotNull()).where(lines <= most_lines)
-    ids = known.select(F.col(key).alias("chosen_id")).distinct()
-    both = written(chosen.join(ids, "chosen_id", "left_semi"), "labelled")
-    chosen = bounded_sample(both, "chosen_id", "good", per_label, 2)
+    known = docs.where(allowed & F.col(key).isNotNull() & F.col(text).isNotNull()).where(lines <= most_lines)
+    known = known.select(F.col(key).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"))
+    ids = known.groupBy("id").agg(F.min("hash").alias("hash"))
+    both = written(marked.join(ids, "id"), "labelled")
+    chosen = bounded_sample(both, "id", "good", per_label, 2)
     # at most two times per_label rows, so they may be broadcast
     rows = (
-        known.join(F.broadcast(chosen), F.col(key) == F.col("chosen_id"))
-        .select("good", F.col(text).alias("text"))
+        known.join(F.broadcast(chosen), ["id", "hash"])
+        .dropDuplicates(["id"])
+        .select("good", "text")
         .mapInArrow(_profiled, "good int, features binary, lengths binary")
-        .limit(4 * per_label)
         .collect()
     )
     rows.sort(key=lambda r: (r["good"], bytes(r["lengths"]), bytes(r["features"])))

@@ -88,6 +88,58 @@ def test_odd_language_rows(spark):
     assert one.predict(["und"])[0] == ["de"]
 
 
+def test_clashing_names_sparse_languages_and_repeated_ids(spark):
+    rows = [(i, f"{i} ... {i}", "xx", 0.1) for i in range(2000)]
+    rows += [(5000 + i, f"ordo nulla quod est {i}", "xx", 0.1) for i in range(20)]
+    rows += [(6000 + i, f"the and with from {i}", "en", 0.1) for i in range(40)]
+    rows += [(7000, "the and with from", "en", 0.1)] * 500 + [(7000, "of other words", "en", 0.1)] * 500
+    df = spark.createDataFrame(rows, SCHEMA)
+    for name in ("id", "hash", "chosen_id", "chosen_lang", "_share", "_place", "profile"):
+        df = df.withColumn(name, F.lit("x"))
+    seen = []
+    fit = language.fit_model
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(language, "fit_model", lambda p, names: seen.append(Counter(names)) or fit(p, names))
+        model = language.learn_languages(df, F.lit(True), per_language=60)
+        language.learn_languages(df.repartition(5), F.lit(True), per_language=60, fit_rows=30)
+    assert model.languages == ["en", "xx"]
+    assert seen[0] == {"en": 41, "xx": 20} and seen[1] == {"en": 15, "xx": 15}
+
+
+def test_large_and_small_systems_agree(monkeypatch):
+    rng = np.random.default_rng(4)
+    profiles, names = rng.random((60, language.BUCKETS)), ["a", "b", "c"] * 20
+    small = language.fit_model(profiles[:, :32], names)
+    monkeypatch.setattr(language, "BUCKETS", 32)
+    large = language.fit_model(profiles[:, :32], names)
+    assert np.allclose(small.weights, large.weights) and np.allclose(small.bias, large.bias)
+
+
+def test_language_by_plain_decoding(spark):
+    """Every bit, its loss against each codeword and the belief, one number at a time."""
+    words = {"de": "der die das und", "en": "the and with from", "fr": "les des une dans", "nl": "het een van ook"}
+    rows = [(i, f"{text} {i}", lang, 0.0) for lang, text in words.items() for i in range(30)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    model = language.learn_languages(df, F.lit(True))
+    texts = [*words.values(), "der and les van", "die DIE d\u00e9s!", "\u0436"]
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = asked.select("i", language.identify(model, F.col("t")).alias("f")).select("i", "f.*").collect()
+    for row in got:
+        profile = language.ngram_profile(texts[row["i"]])
+        loss = []
+        for k in range(len(model.languages)):
+            total = 0.0
+            for bit in range(model.codes.shape[1]):
+                said = sum(float(p) * float(w) for p, w in zip(profile, model.weights[:, bit])) + model.bias[bit]
+                total += model.trust[k][bit] * np.exp(-model.codes[k][bit] * min(4.0, max(-4.0, said)))
+            loss.append(total)
+        belief = sorted(((np.exp(-model.sharpness * x), k) for k, x in enumerate(loss)), reverse=True)
+        share = belief[0][0] / sum(b for b, _ in belief)
+        assert row["lang_pred"] == model.languages[belief[0][1]]
+        assert abs(row["score"] - share) < 1e-9
+        assert row["ambiguous"] == (belief[0][0] < 2 * belief[1][0])
+
+
 def test_profile_counts_the_whole_text(monkeypatch):
     text = "Ab, é!" * 500
     whole = language.ngram_profile(text)
@@ -141,7 +193,7 @@ def test_good_share_is_weighted_by_length(monkeypatch):
     model.weights[2] = -50.0  # share of upper case
     docs, lengths = zip(*(quality.document_features(t) for t in ("AAAA\nbbbbbbbbb", "b", "A\nA")))
     monkeypatch.setattr(quality, "ROUND", 2)
-    shares = model.good_shares(list(docs), list(lengths))
+    shares = model.good_shares([d @ model.weights for d in docs], list(lengths))
     assert np.allclose(shares, [0.5 * 10 / 15, 0.5, 0.0], atol=1e-6)
 
 
@@ -167,6 +219,47 @@ def test_odd_quality_rows(spark):
     assert df.limit(0).select(quality.quality_score(model, F.col("text"))).count() == 0
 
 
+def test_long_marginals():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 10, 4095, 5000):
+        score, trans = rng.normal(0, 3, n), rng.normal(0, 1, (2, 2))
+        emit = np.stack([np.zeros(n), score], axis=1)[None]
+        want = quality.marginals(emit, np.array([n]), trans)[0][0, :, 1]
+        assert np.allclose(quality.long_marginals(score, trans), want)
+    sure = quality.long_marginals(np.full(5000, 900.0), np.zeros((2, 2)))
+    assert np.allclose(sure, 1.0)
+
+
+def test_scores_by_all_labellings(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    model = quality.QualityModel(rng.normal(0, 1, quality.FEATURES), rng.normal(0, 1, (2, 2)), 1.3, -0.2)
+    texts = [None, "", "One line.", "A b\n\nA b\nLOUD!!! x x x\nend", "a\nB\nc c\nD.\n" * 2]
+    monkeypatch.setattr(quality, "CHUNK", 2)
+    monkeypatch.setattr(quality, "LONG", 4)
+    for text, score in zip(texts, model.scores(texts)):
+        features, lengths = quality.document_features(text)
+        emit = np.stack([np.zeros(len(lengths)), features @ model.weights], axis=1)
+        share = plain_marginals(emit, model.trans)[0][:, 1] @ lengths / lengths.sum()
+        want = 1 / (1 + np.exp(-(1.3 * np.log(share / (1 - share)) - 0.2)))
+        assert abs(score - want) < 1e-9
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r["i"]: r["s"] for r in df.select("i", quality.quality_score(model, F.col("t")).alias("s")).collect()}
+    assert np.allclose([got[i] for i in range(len(texts))], model.scores(texts))
+
+
+def test_quality_clashing_names_and_repeated_ids(spark, monkeypatch):
+    rows = [(i, "Plain words here." if i % 2 else "LOUD!! WORDS!!", "x", 0.0) for i in range(60)]
+    rows += [(1, "Plain words here.", "x", 0.0)] * 400 + [(1, "Other words.", "x", 0.0)] * 400
+    df = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    for name in ("id", "good", "hash", "chosen_id", "_share", "_place", "features"):
+        df, labels = df.withColumn(name, F.lit("x")), labels.withColumn(name, F.lit("x"))
+    seen = []
+    monkeypatch.setattr(quality, "fit_quality", lambda d, n, good: seen.append(Counter(good)))
+    quality.learn_quality(df, labels, F.lit(True))
+    assert seen == [{0.0: 30, 1.0: 30}]
+
+
 # -- approximate search
 
 
