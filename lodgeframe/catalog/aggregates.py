@@ -195,12 +195,8 @@ def win_global_row_number(spark, sf):
     """SELECT lang, min_by(text, (length(text), text)) AS shortest FROM documents GROUP BY lang""",
 )
 def win_first_with_len(spark, sf):
-    text = F.col("text")
-    return (
-        views.read(spark, sf, "documents")
-        .groupBy("lang")
-        .agg(sets.first_with_length(text, F.length(text)).alias("shortest"))
-    )
+    documents = views.read(spark, sf, "documents")
+    return sets.first_of_length(documents, ["lang"], "text", F.length("text"), "shortest")
 
 
 @query(

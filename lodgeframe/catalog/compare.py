@@ -392,6 +392,121 @@ def cmp_population(spark, sf):
     return run["variance"]
 
 
+_MATRIX = ", ".join(f"count(*) FILTER (column_name = '{c}') AS {c}" for c in sorted(VALUES))
+
+
+@query(
+    "cmp_population_matrix",
+    f"""WITH {_cells_sql()} SELECT o_orderkey AS l_orderkey, {_MATRIX},
+      count(column_name) AS "Total Variances"
+    FROM orders LEFT JOIN cells ON l_orderkey = o_orderkey GROUP BY o_orderkey""",
+)
+def cmp_population_matrix(spark, sf):
+    run = recon.compare_environments(
+        views.lineitem_source(spark, sf),
+        views.lineitem_target(spark, sf),
+        KEYS,
+        _all_orders(spark, sf),
+        POP_KEYS,
+        {},
+        WAREHOUSE,
+    )
+    return run["matrix"]
+
+
+def _environments(spark, sf):
+    """Source and target as texts, with some values and keys that are no numbers."""
+    order, line = F.col("l_orderkey"), F.col("l_linenumber")
+    price, key = F.col("l_extendedprice").cast("string"), order.cast("string")
+    test = views.lineitem_source(spark, sf).withColumns(
+        {
+            "l_orderkey": F.when(order % 1009 == 0, F.concat(F.lit("order "), key)).otherwise(key),
+            "l_extendedprice": F.when((order + line) % 97 == 0, F.lit("n/a")).otherwise(price),
+        }
+    )
+    prod = views.lineitem_target(spark, sf).withColumns(
+        {
+            "l_linenumber": F.when(order % 503 == 0, F.lit("first")).otherwise(line.cast("string")),
+            "l_extendedprice": F.when((order + line) % 89 == 0, F.lit("")).otherwise(price),
+        }
+    )
+    prod = prod.withColumnRenamed("l_extendedprice", "price")
+    return recon.compare_environments(
+        test, prod, KEYS, _all_orders(spark, sf), POP_KEYS, {"price": "l_extendedprice"}, WAREHOUSE, only_mapped=True
+    )
+
+
+def _note(side: str, column: str | None, value: str, note: str, source: str, keys: dict[str, str | None]) -> str:
+    """Notes of one kind, from rows of ``source``; ``keys`` replaces keys."""
+    listed = ", ".join(f"CAST({keys.get(k, k)} AS BIGINT) AS {k}" for k in KEYS)
+    name = f"'{column}'" if column else "NULL"
+    return f"SELECT {listed}, '{side}' AS side, {name} AS column_name, {value} AS value, '{note}' AS note FROM {source}"
+
+
+_NO_KEYS = {"l_orderkey": "o_orderkey"} | dict.fromkeys(KEYS[1:], "NULL")
+_TEST_ROWS = "lineitem_source WHERE l_orderkey % 1009 <> 0"
+_PROD_ROWS = "lineitem_target WHERE l_orderkey % 503 <> 0"
+
+
+@query(
+    "cmp_notes",
+    " UNION ALL ".join(
+        [
+            _note(
+                "test", "l_orderkey", "'order ' || l_orderkey", cmp.BAD_KEY,
+                "lineitem_source WHERE l_orderkey % 1009 = 0", {"l_orderkey": "NULL"},
+            ),
+            _note(
+                "prod", "l_linenumber", "'first'", cmp.BAD_KEY,
+                "lineitem_target WHERE l_orderkey % 503 = 0", {"l_linenumber": "NULL"},
+            ),
+            _note(
+                "test", "l_extendedprice", "'n/a'", cmp.BAD_VALUE,
+                _TEST_ROWS + " AND (l_orderkey + l_linenumber) % 97 = 0", {},
+            ),
+            _note(
+                "prod", "l_extendedprice", "''", cmp.BAD_VALUE,
+                _PROD_ROWS + " AND (l_orderkey + l_linenumber) % 89 = 0", {},
+            ),
+            _note(
+                "test", None, "NULL", cmp.NO_ROWS,
+                f"orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM {_TEST_ROWS})", _NO_KEYS,
+            ),
+            _note(
+                "prod", None, "NULL", cmp.NO_ROWS,
+                f"orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM {_PROD_ROWS})", _NO_KEYS,
+            ),
+        ]
+    ),
+)
+def cmp_notes(spark, sf):
+    return _environments(spark, sf)["notes"]
+
+
+@query(
+    "cmp_environment_columns",
+    """SELECT column_name, 'yes' AS exists_test, 'yes' AS exists_prod, 'no' AS variance,
+      CASE column_name WHEN 'l_extendedprice' THEN 'price' END AS "existing column_name prod",
+      CAST(NULL AS VARCHAR) AS "variance reason",
+      CASE column_name WHEN 'l_extendedprice' THEN 'price' ELSE column_name END AS "column name prod"
+    FROM (DESCRIBE lineitem_source)""",
+)
+def cmp_environment_columns(spark, sf):
+    return _environments(spark, sf)["columns"]
+
+
+@query(
+    "cmp_environment_cells",
+    f"""WITH t AS (SELECT * REPLACE (CASE WHEN (l_orderkey + l_linenumber) % 97 = 0 THEN 'n/a'
+        ELSE CAST(l_extendedprice AS VARCHAR) END AS l_extendedprice) FROM {_TEST_ROWS}),
+      p AS (SELECT * REPLACE (CASE WHEN (l_orderkey + l_linenumber) % 89 = 0 THEN ''
+        ELSE CAST(l_extendedprice AS VARCHAR) END AS l_extendedprice) FROM {_PROD_ROWS}),
+      {_cells_sql("t", "p")} SELECT * FROM cells WHERE column_name = 'l_extendedprice'""",
+)
+def cmp_environment_cells(spark, sf):
+    return _environments(spark, sf)["variance"]
+
+
 # ---------------------------------------------------------------- source against target
 
 

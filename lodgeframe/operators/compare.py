@@ -114,6 +114,88 @@ def align_types(
     return df.select(*[c.alias(n) for n, c in casts.items()])
 
 
+# ---------------------------------------------------------------- notes
+
+# Why something could not be compared.
+BAD_VALUE = "value does not fit its type"
+BAD_KEY = "key does not fit its type, row left out"
+NO_ROWS = "no rows"
+
+
+def _unfit(name: str, warehouse_types: Mapping[str, str]) -> Column:
+    """Whether a value is there but not as the type it is compared as."""
+    target = compare_type(warehouse_types.get(name, "character varying"))
+    return F.col(quoted(name)).isNotNull() & F.col(quoted(name)).try_cast(target).isNull()
+
+
+def has_unfit(names: Sequence[str], warehouse_types: Mapping[str, str]) -> Column:
+    return reduce(lambda a, b: a | b, [_unfit(c, warehouse_types) for c in names], F.lit(False))
+
+
+def unfit_values(
+    df: DataFrame,
+    keys: Sequence[str],
+    columns: Sequence[str],
+    warehouse_types: Mapping[str, str],
+    side: str,
+    note: str = BAD_VALUE,
+) -> DataFrame:
+    """A row for each value of ``columns`` that does not fit the type it is compared as, with its text and the row's keys.
+
+    The keys are given as their types, null where they do not fit. One scan and no shuffle.
+    """
+    found = [
+        F.when(
+            _unfit(c, warehouse_types),
+            F.struct(F.lit(c).alias("column_name"), F.col(quoted(c)).cast("string").alias("value")),
+        )
+        for c in columns
+    ]
+    none = F.lit(None).cast("struct<column_name: string, value: string>")
+    return (
+        df.where(has_unfit(columns, warehouse_types))
+        .select(*[_as_key(k, warehouse_types) for k in keys], F.inline(F.array_compact(F.array(*found, none))))
+        .select(*map(quoted, keys), F.lit(side).alias("side"), "column_name", "value", F.lit(note).alias("note"))
+    )
+
+
+def _as_key(name: str, warehouse_types: Mapping[str, str]) -> Column:
+    target = compare_type(warehouse_types.get(name, "character varying"))
+    return F.col(quoted(name)).try_cast(target).alias(name)
+
+
+def keys_without_rows(
+    population: DataFrame,
+    sides: Mapping[str, DataFrame],
+    keys: Sequence[str],
+    population_keys: Sequence[str],
+    warehouse_types: Mapping[str, str],
+) -> DataFrame:
+    """A row for each key of the population and side that has no rows of it, in the columns of unfit_values().
+
+    Keys of all tables are stacked and grouped, counted in part before the one shuffle; missing keys match missing ones.
+    """
+    names = [quoted(k) for k in population_keys]
+    typed = [_as_key(k, warehouse_types) for k in population_keys]
+    stacked = population.select(*typed, F.lit("").alias("side"))
+    for side, df in sides.items():
+        stacked = stacked.unionByName(df.select(*typed, F.lit(side).alias("side")))
+    marks = [F.bool_or(F.col("side") == side).alias(f"in {side}") for side in sides]
+    grouped = stacked.groupBy(*names).agg(F.bool_or(F.col("side") == "").alias("chosen"), *marks).where("chosen")
+    lacks = [F.when(~F.col(f"`in {side}`"), F.lit(side)) for side in sides]
+    return grouped.select(*names, F.explode(F.array_compact(F.array(*lacks))).alias("side")).select(
+        *[
+            F.col(quoted(k)) if k in population_keys
+            else F.lit(None).cast(compare_type(warehouse_types.get(k, "character varying"))).alias(k)
+            for k in keys
+        ],
+        "side",
+        F.lit(None).cast("string").alias("column_name"),
+        F.lit(None).cast("string").alias("value"),
+        F.lit(NO_ROWS).alias("note"),
+    )
+
+
 # ---------------------------------------------------------------- cells
 
 

@@ -9,11 +9,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodgeframe.operators.shape import quoted
+from lodgeframe.sources.scratch import written
 
 
 #: How many rows of one table have the key, at most.
 ROWS = "rows of the key"
 
+# A sample is cut out of the hashes by so many hexadecimal digits at a time, and by sorting where so many keys are left.
+DIGITS = 4
+MD5_DIGITS = 32
+LAST_BIN = 10_000
+
 
 def outer_join_on(
     left: DataFrame,
@@ -159,8 +165,33 @@ def sample_population(
 ) -> DataFrame:
     """A reproducible random sample of keys: the smallest hashes.
 
-    Each task keeps its own smallest ``size`` keys, so only samples meet.
+    Found by radix selection, so that no task holds or merges the sample: the distinct keys are written with their hashes,
+    and the numbers of keys by the first digits of the hash (at most 65,536 numbers on the driver) tell which bins are in
+    as a whole and in which one the sample ends. That one is counted by its next digits, until it holds at most
+    ``LAST_BIN`` keys; only these are sorted.
     """
-    text = F.concat_ws("|", F.lit(seed), *[F.col(k).cast("string") for k in keys])
-    hashed = F.md5(text.cast("binary")).alias("hash")
-    return df.select(*keys).distinct().orderBy(hashed, *keys).limit(size)
+    if size < 1:
+        return df.select(*map(quoted, keys)).limit(0)
+    text = F.concat_ws("|", F.lit(seed), *[F.col(quoted(k)).cast("string") for k in keys])
+    names = [quoted(k) for k in keys]
+    distinct = df.select(*names).distinct()
+    hashed = written(distinct.withColumn("its hash", F.md5(text.cast("binary"))), "hashed")
+    digits = F.col("`its hash`")
+    needed, bin_of_end = size, ""
+    for length in range(DIGITS, MD5_DIGITS + 1, DIGITS):
+        inside = hashed.where(digits.startswith(bin_of_end))
+        counts = inside.groupBy(F.substring(digits, 1, length).alias("bin")).count().collect()
+        for found, n in sorted(counts):
+            if n > needed:
+                bin_of_end = found
+                break
+            needed -= n
+        else:  # the sample is as large as the table
+            return hashed.select(*names)
+        if n <= LAST_BIN or not needed:
+            break
+    sample = hashed.where(digits < bin_of_end)
+    if needed:
+        last = hashed.where(digits.startswith(bin_of_end)).orderBy(digits, *names).limit(needed)
+        sample = sample.unionByName(last)
+    return sample.select(*names)

@@ -92,6 +92,30 @@ def number_rows(
     )
 
 
-def first_with_length(column: Column, length: Column) -> Column:
-    """Aggregate: the smallest of the values with the least ``length``."""
-    return F.min_by(column, F.when(column.isNotNull(), F.struct(length, column)))
+def first_of_length(
+    df: DataFrame, by: Sequence[str], column: str, length: Column, name: str
+) -> DataFrame:
+    """Per group the smallest of the values with the least ``length``, null for a group without values.
+
+    The least lengths come first, hashed as numbers and written (one narrow row a group, so Spark knows their size when it
+    joins them); only values of that length are compared at all. Each task passes on one of them per group.
+    """
+    sized = df.select(
+        *[quoted(c) for c in by],
+        F.col(quoted(column)).alias("its value"),
+        F.when(F.col(quoted(column)).isNotNull(), length).alias("its length"),
+    )
+    groups = [quoted(c) for c in by]
+    least = written(sized.groupBy(*groups).agg(F.min("its length").alias("least length")), "lengths")
+    least = least.select(*[F.col(quoted(c)).alias(f"of {c}") for c in by], "least length")
+    same = [F.col("`its length`").eqNullSafe(F.col("`least length`"))] + [
+        F.col(quoted(c)).eqNullSafe(F.col(quoted(f"of {c}"))) for c in by
+    ]
+    first = Window.partitionBy(*groups).orderBy("its value")
+    return (
+        sized.join(least, reduce(lambda a, b: a & b, same))
+        .select(*groups, "its value")
+        .withColumn("its place", F.row_number().over(first))
+        .where(F.col("its place") == 1)
+        .select(*groups, F.col("its value").alias(name))
+    )

@@ -5,17 +5,29 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from lodgeframe.functions.types import compare_type
 from lodgeframe.operators.aggregates import run_summary, sum_by_rest, variance_counts, variance_matrix
 from lodgeframe.operators.compare import (
+    BAD_KEY,
     align_types,
+    column_report,
     compare_cells,
     compare_tidy,
     flag_variance,
+    has_unfit,
+    keys_without_rows,
     map_columns,
+    name_relation,
+    select_columns,
     stack_sides,
+    unfit_values,
 )
 from lodgeframe.operators.joins import only_in
+from lodgeframe.operators.sets import union_all
+from lodgeframe.operators.shape import quoted
 from lodgeframe.sources.scratch import written
 
 
@@ -28,24 +40,52 @@ def compare_environments(
     mapping: Mapping[str, str],
     warehouse_types: Mapping[str, str],
     measures: Sequence[str] = (),
+    only_mapped: bool = False,
 ) -> dict[str, DataFrame]:
     """Cells that differ between two environments for a population, with their summaries.
 
     Prod's columns get test's names, test is summed to prod's grain, both are
-    cast to the same types, and the columns both have are compared.
+    cast to the same types, and the columns both have are compared, or with ``only_mapped`` those that have a mapping
+    (and the keys). ``columns`` is the report of which columns exist where.
+
+    What could not be compared does not end the run, it is in ``notes``: values that do not fit their type (they are compared
+    as their own text, and left out of sums), rows left out because a key does not fit, and keys of the population
+    without rows on a side. The notes are computed when they are used.
     """
+    mapped = test.sparkSession.createDataFrame(list(mapping.items()), "old string, new string")
+    report = column_report(name_relation(test), name_relation(prod), mapped)
+    # as many rows as there are columns
+    chosen = {r["column_name"] for r in select_columns(report, only_mapped).collect()}
     prod = map_columns(prod, mapping)
-    shared = [c for c in test.columns if c in prod.columns and not c.startswith("dw_")]
-    test = only_in(test.select(*shared), population, population_keys)
-    prod = only_in(prod.select(*shared), population, population_keys)
-    if measures:
-        test = sum_by_rest(test, list(measures))
+    absent = [k for k in keys if k not in test.columns or k not in prod.columns]
+    if absent:
+        raise ValueError(f"keys {absent} are not in both tables")
+    shared = [c for c in test.columns if c in chosen or c in keys]
     columns = [c for c in shared if c not in keys]
+    bad_key = has_unfit(keys, warehouse_types)
+    sides, notes = {}, []
+    for side, df in (("test", test), ("prod", prod)):
+        df = df.select(*map(quoted, shared))
+        notes.append(unfit_values(df, keys, keys, warehouse_types, side, BAD_KEY))
+        df = df.where(~bad_key)
+        typed = align_types(df.select(*map(quoted, keys)), warehouse_types).schema
+        df = df.withColumns({k: F.col(quoted(k)).try_cast(typed[k].dataType) for k in keys})
+        sides[side] = only_in(df, population, population_keys)
+        notes.append(unfit_values(sides[side], keys, columns, warehouse_types, side))
+    notes.append(keys_without_rows(population, sides, keys, population_keys, warehouse_types))
+    test, prod = sides.values()
+    measures = [c for c in measures if c in columns]
+    if measures:
+        texts = [f.name for f in test.schema.fields if f.name in measures and isinstance(f.dataType, StringType)]
+        numbers = {c: F.col(quoted(c)).try_cast(compare_type(warehouse_types.get(c, "double precision"))) for c in texts}
+        test = sum_by_rest(test.withColumns(numbers) if numbers else test, measures)
     aligned = (align_types(df, warehouse_types, as_text=columns) for df in (test, prod))
     cells = written(compare_cells(*aligned, keys, columns), "cells")
     return {
+        "columns": report,
         "variance": cells,
         "matrix": variance_matrix(cells, population_keys, sorted(columns), population),
+        "notes": union_all(notes),
     }
 
 

@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -144,7 +146,33 @@ def test_sets(spark):
     assert rows(long) == [("n", "p", 1), ("n", "q", 2)]
 
 
-def test_first_with_length_skips_missing(spark):
-    df = spark.createDataFrame([(None,), ("bb",), ("c",), ("a",)], "v string")
-    v = F.col("v")
-    assert df.agg(sets.first_with_length(v, F.length(v))).first()[0] == "a"
+def test_first_of_length(spark):
+    data = [("g", "bb"), ("g", "c"), ("g", "a"), ("g", None), (None, ""), (None, "x"), ("n", None), ("n", None)]
+    df = spark.createDataFrame(data + [("hot", "same")] * 500, "g string, v string").repartition(6)
+    got = sets.first_of_length(df, ["g"], "v", F.length("v"), "v")
+    assert rows(got) == sorted([("g", "a"), (None, ""), ("n", None), ("hot", "same")], key=repr)
+    longest = sets.first_of_length(df, ["g"], "v", -F.length("v"), "longest")
+    assert rows(longest) == sorted([("g", "bb"), (None, "x"), ("n", None), ("hot", "same")], key=repr)
+    assert rows(sets.first_of_length(df, [], "v", F.length("v"), "v")) == [("",)]
+    assert rows(sets.first_of_length(df.limit(0), ["g"], "v", F.length("v"), "v")) == []
+
+
+@pytest.mark.parametrize("last_bin", [1, 40, 10_000])
+@pytest.mark.parametrize("size", [0, 1, 37, 1000, 2000, 5000])
+def test_sample_by_radix_selection(spark, monkeypatch, last_bin, size):
+    monkeypatch.setattr(joins, "LAST_BIN", last_bin)
+    monkeypatch.setattr(joins, "DIGITS", 1)
+    df = spark.range(4000).selectExpr("if(id % 2 = 0, null, id) as a", "id % 7 as b", "id as other")
+    distinct = {(r["a"], r["b"]) for r in df.collect()}
+    text = {k: "|".join(["s", *[str(x) for x in k if x is not None]]) for k in distinct}
+    order = sorted(distinct, key=lambda k: hashlib.md5(text[k].encode()).hexdigest())
+    got = joins.sample_population(df, ["a", "b"], size, "s")
+    assert rows(got) == sorted(order[:size], key=repr)
+
+
+def test_sample_of_keys_with_one_hash(spark, monkeypatch):
+    monkeypatch.setattr(joins, "LAST_BIN", 0)
+    df = spark.createDataFrame([("x", None), (None, "x"), ("y", "z")], "a string, b string")
+    sizes = [joins.sample_population(df, ["a", "b"], n).count() for n in range(4)]
+    assert sizes == [0, 1, 2, 3]
+    assert joins.sample_population(df.limit(0), ["a", "b"], 3).count() == 0

@@ -1,5 +1,6 @@
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from lodgeframe.operators import aggregates as agg
 from lodgeframe.operators import compare as cmp
@@ -292,3 +293,34 @@ def test_a_hot_repeated_key_is_counted_not_paired(spark):
     hot = spark.range(20000).selectExpr("cast(if(id < 15000, null, id) as int) as k", "'a' as s", "1.0D as x")
     with pytest.raises(ValueError, match="no key"):
         cmp.compare_cells(hot, hot, ["k"])
+
+
+def test_what_cannot_be_compared_is_noted(spark):
+    test = table(spark, [("1", 1, "5"), ("2", 1, "five"), ("2", 1, "4"), ("x", 1, "1"), ("y", 1, "1")], "id string, day int, rate string")
+    prod = table(spark, [(1, "1", "5.0"), (2, "1", "?"), (3, "one", "1")], "id int, day string, rate string")
+    population = table(spark, [(1,), (2,), (3,), (None,)], "id int")
+    types = {"id": "integer", "day": "integer", "rate": "double precision"}
+    run = recon.compare_environments(test, prod, ["id", "day"], population, ["id"], {}, types, ["rate"])
+    assert rows(run["variance"]) == [(2, 1, "both", "rate", "4.0", "?")]
+    assert rows(run["matrix"]) == sorted([(1, 0, 0), (2, 1, 1), (3, 0, 0), (None, 0, 0)], key=repr)
+    assert rows(run["notes"]) == sorted(
+        [
+            (2, 1, "test", "rate", "five", cmp.BAD_VALUE),
+            (2, 1, "prod", "rate", "?", cmp.BAD_VALUE),
+            (None, 1, "test", "id", "x", cmp.BAD_KEY),
+            (None, 1, "test", "id", "y", cmp.BAD_KEY),
+            (3, None, "prod", "day", "one", cmp.BAD_KEY),
+            (3, None, "test", None, None, cmp.NO_ROWS),
+            (None, None, "test", None, None, cmp.NO_ROWS),
+            (3, None, "prod", None, None, cmp.NO_ROWS),
+            (None, None, "prod", None, None, cmp.NO_ROWS),
+        ],
+        key=repr,
+    )
+    with pytest.raises(ValueError, match="not in both"):
+        recon.compare_environments(test, prod, ["id", "gone"], population, ["id"], {}, types)
+    mapped = recon.compare_environments(
+        test.withColumn("b", F.lit("u")), prod.withColumnRenamed("rate", "r").withColumn("b", F.lit("v")),
+        ["id", "day"], population, ["id"], {"r": "rate"}, types, ["rate", "b"], only_mapped=True,
+    )
+    assert {r["column_name"] for r in mapped["variance"].collect()} == {"rate"}

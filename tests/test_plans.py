@@ -155,3 +155,22 @@ def test_tables_meet_in_one_shuffle(spark, name):
     above = plan[: plan.index("Union")]
     # one exchange above the union of the tables at most, none where they lie by key already; no joins
     assert len(re.findall("Exchange", above)) <= 1 and "Join" not in above
+
+
+def test_values_by_length_are_not_sorted(spark):
+    plan = physical(queries()["win_first_with_len"](spark, SF))
+    assert "SortAggregate" not in plan
+    # what is sorted has the least length, and one row a group leaves each task
+    assert plan.count("WindowGroupLimit") == 2 and "BroadcastHashJoin" in plan
+    assert "Sort" not in plan[plan.index("BroadcastHashJoin") :]
+    # without groups an aggregate of texts keeps one row; the only sort is that of the report's rows
+    profile = physical(profile_table(views.read(spark, SF, "part")))
+    assert not re.search(r"SortAggregate\(key=\[[^\]]", profile)
+
+
+def test_only_the_last_bin_of_a_sample_is_sorted(spark):
+    from lodgeframe.operators.joins import sample_population
+
+    plan = physical(sample_population(spark.range(200_000), ["id"], 50_000))
+    limit = int(re.search(r"TakeOrderedAndProject\(limit=(\d+)", plan).group(1))
+    assert limit < 100 and plan.count("Sort") == 0 and "Exchange" not in plan
