@@ -6,7 +6,7 @@ import os
 import re
 import struct
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,13 +16,12 @@ from pyspark.sql import functions as F
 
 from lodgeframe.llm.common import numbered
 
-#: Words whose ids a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 400_000
-#: Texts whose new words are learned together.
+#: Beyond so many words a worker's memory starts anew, with as many of the time before at hand.
+REMEMBERED = 300_000
+#: Texts whose pieces leave a worker together.
 TEXTS = 512
-#: Words that are tokenised in one call.
-TOGETHER = 20_000
 
+_FORMATS = [struct.Struct(f"<{n}I") for n in range(32)]
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -31,8 +30,7 @@ class WordEncoder:
 
     White space ends every token of such a vocabulary, so the ids of a text are those of
     its words one after another, and words repeat far more than texts do. New words of letters with
-    marks behind them go straight to the tokenizer's model; others go through the whole
-    tokenizer together, separated by a mark of one token.
+    marks behind them go straight to the tokenizer's model; others go through the whole tokenizer.
     """
 
     MARK = "~"
@@ -48,10 +46,10 @@ class WordEncoder:
         mark = self._ids(self.MARK)
         if len(mark) != 1 or self._ids(f" a\n{self.MARK} b") != self._ids("a") + mark + self._ids("b"):
             raise ValueError(f"{path} does not tokenise word by word")
-        self.mark = mark[0]
-        self.known: dict[bytes, bytes] = {}  # ids of words
+        self.known = Known(self, {})
         # what the pre-tokenizer writes for a character, if simple words are two pieces to it
         marks = "".join(chr(c) for c in range(33, 127) if self.SIMPLE.fullmatch(chr(c)))
+        self.marks = "".join(c for c in marks if not c.isalpha()).encode()
         letters = marks + "".join(map(chr, range(0xC0, 0x100))).replace("×", "").replace("÷", "")
         before = self.tokenizer.pre_tokenizer
         self.spelled = {ord(c): before.pre_tokenize_str(c)[0][0] for c in letters}
@@ -65,56 +63,56 @@ class WordEncoder:
 
     @staticmethod
     def _packed(ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return _FORMATS[len(ids)].pack(*ids) if len(ids) < len(_FORMATS) else struct.pack(f"<{len(ids)}I", *ids)
+
+    def _run(self, run: str) -> bytes:
+        """Ids of a run of letters or marks; it is a word too, so other words with it find it known."""
+        run = run.lower()
+        key = run.encode()
+        ids = self.known.get(key) or self.known.older.get(key)
+        if ids is None:
+            pieces = self.tokenizer.model.tokenize(run.translate(self.spelled))
+            ids = self.known[key] = self._packed([p.id for p in pieces])
+        return ids
 
     def _simple(self, match: re.Match) -> bytes:
-        """Ids of both runs; each is a word too, so other words with it find it known."""
-        found = b""
-        for run in match.groups():
-            run = run.lower()
-            key = run.encode()
-            if run and key not in self.known:
-                pieces = self.tokenizer.model.tokenize(run.translate(self.spelled))
-                self.known[key] = self._packed([p.id for p in pieces])
-            found += self.known[key] if run else b""
-        return found
-
-    def _learn(self, words: list[bytes]) -> None:
-        plain = []
-        for word in words:
-            match = self.simple and self.SIMPLE.fullmatch(word.decode(errors="replace"))
-            if match:
-                self.known[word] = self._simple(match)
-            elif self.MARK.encode() in word:
-                self.known[word] = self._packed(self._ids(word.decode(errors="replace")))
-            else:
-                plain.append(word)
-        for at in range(0, len(plain), TOGETHER):
-            part = plain[at : at + TOGETHER]
-            text = f" {self.MARK} ".encode().join(part).decode(errors="replace")
-            ids = np.array(self._ids(text), "<u4")
-            ends = np.flatnonzero(ids == self.mark)
-            if len(ends) != len(part) - 1:
-                raise ValueError("the tokenizer does not keep words apart")
-            raw = ids.tobytes()
-            starts = [0, *((ends + 1) * 4).tolist()]
-            stops = [*(ends * 4).tolist(), len(raw)]
-            for word, a, b in zip(part, starts, stops):
-                self.known[word] = raw[a:b]
-
-    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
+        return b"".join(map(self._run, filter(None, match.groups())))
+
+    def learned(self, word: bytes) -> bytes:
+        """Ids of a word that is not known."""
+        if self.simple:
+            letters = word.rstrip(self.marks)
+            if letters.isalpha():  # the common case, without a pattern: ASCII letters with marks behind them
+                marks = word[len(letters) :]
+                return self._run(letters.decode()) + (self._run(marks.decode()) if marks else b"")
+        text = word.decode(errors="replace")
+        match = self.simple and self.SIMPLE.fullmatch(text)
+        return self._simple(match) if match else self._packed(self._ids(text))
+
+    def encode(self, texts: Iterable[bytes]) -> Iterator[bytes]:
         """Ids of each UTF-8 text, as little-endian unsigned 32-bit numbers."""
-        lists = [text.split() for text in texts]  # ASCII white space, which every tokenizer counts as such
-        words = set().union(*lists)
-        new = words.difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = words
-        self._learn(list(new))
-        for words in lists:
+        for text in texts:
+            if len(self.known) > REMEMBERED:
+                self.known = Known(self, self.known)
+            # a tokenizer that takes simple words in lower case does so with all, so A-Z may be lowered before
+            words = (text.lower() if self.simple else text).split()  # ASCII white space, which every tokenizer counts as such
             yield b"".join(map(self.known.__getitem__, words))
 
 
+class Known(dict):
+    """Ids of words: those met since the memory was last full, and those of the time before, which come back when met."""
+
+    def __init__(self, encoder: WordEncoder, older: dict[bytes, bytes]) -> None:
+        self.encoder, self.older = encoder, dict(older)  # without what was older still
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.encoder.learned(word)
+        self[word] = ids
+        return ids
+
+
 def _encoder(path: str) -> WordEncoder:
     """One encoder for all tasks of a Python worker."""
     if path not in _ENCODERS:
