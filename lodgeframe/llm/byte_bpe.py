@@ -6,22 +6,32 @@ import base64
 import json
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Buckets of the rank map, a power of two: a literal map is searched from its start, so each is a short one.
 BUCKETS = 1 << 16
 #: Bytes of text whose distinct words are encoded together.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 8 << 20
+#: Most words that are merged once for the whole corpus, and the texts that they are counted in: about so many rows, none
+#: of them longer than that. Only the time that is needed depends on these.
+FREQUENT = 1 << 18
+SAMPLE_ROWS = 20_000
+SAMPLE_LENGTH = 20_000
+#: Longer words are never among them.
+FREQUENT_LENGTH = 64
+#: Words of the corpus that are merged in one task.
+FREQUENT_PART = 1 << 13
 #: Merges of lowest rank that are made in all words of a block at once.
 COMMON = 96
 #: Stands between words; no token is written so.
@@ -179,32 +189,83 @@ def _finder(pattern: str):
     return either
 
 
-def _numbered() -> dict[str, int]:
-    """Numbers words from 0 as they are asked for."""
-    known: defaultdict[str, int] = defaultdict()
+def _numbered(first: dict[str, int]) -> dict[str, int]:
+    """Numbers words as they are asked for; those of ``first`` have theirs."""
+    known: defaultdict[str, int] = defaultdict(None, first)
     known.default_factory = known.__len__
     return known
 
 
-def _split(path: str, pattern: str, block_bytes: int):
-    """Texts of a partition as blocks: their distinct words, and for each text the numbers of its words."""
+def _as_tokens(words: Iterator[str], path: str) -> str:
+    """Words one after another, each byte written as the character of its token."""
+    ranks = read_ranks(path)
+    of_byte = {b: _char(ranks[bytes([b])]) for b in range(256)}
+    return BETWEEN.join(w.encode(errors="replace").decode("latin-1").translate(of_byte) for w in words)
+
+
+def _folded(words: Column, path: str) -> Column:
+    """Words written by ``_as_tokens``, each folded to its tokens."""
+    buckets = F.from_json(F.lit(_rank_json(path)), "array<map<string, string>>")
+    listed = F.split(common_merges(words, path), BETWEEN)
+    return F.array_join(F.transform(listed, lambda w: merged_word(w, buckets)), BETWEEN)
+
+
+def _counted(pattern: str):
+    """The words of each batch of texts and how often they occur."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = read_ranks(path)
-        of_byte = {b: _char(ranks[bytes([b])]) for b in range(256)}
         find = _finder(pattern)
-        known = _numbered()
+        for batch in batches:
+            counts = Counter(w for text in batch.column("text").to_pylist() for w in find(text))
+            short = {w: n for w, n in counts.items() if len(w) <= FREQUENT_LENGTH}
+            yield pa.RecordBatch.from_pydict(
+                {"word": pa.array(short, pa.string()), "n": pa.array(short.values(), pa.int64())}
+            )
+
+    return emit
+
+
+def frequent_words(docs: DataFrame, pattern: str, most: int, sample_rows: int) -> list[str]:
+    """At most ``most`` words that occur more than once in a sample of the ``text`` of ``docs``, the most frequent ones."""
+    rows = docs.count()
+    if not rows or not most:
+        return []
+    texts = docs.select("text").sample(min(1.0, sample_rows / rows), 7)
+    counts = texts.where(F.length("text") <= SAMPLE_LENGTH).mapInArrow(_counted(pattern), "word string, n long")
+    words = counts.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    return [r["word"] for r in words.orderBy(F.desc("n"), "word").limit(most).select("word").collect()]
+
+
+def fold_words(spark: SparkSession, words: list[str], path: str) -> str:
+    """The tokens of a bounded list of words, in its order, as ``_joined`` takes them."""
+    parts = [
+        (at, _as_tokens(islice(words, at, at + FREQUENT_PART), path)) for at in range(0, len(words), FREQUENT_PART)
+    ]
+    if not parts:
+        return ""
+    listed = spark.createDataFrame(parts, "at long, words string").repartition(len(parts))
+    folded = listed.select("at", _folded(F.col("words"), path).alias("words")).collect()
+    return BETWEEN.join(r["words"] for r in sorted(folded))
+
+
+def _split(path: str, pattern: str, block_bytes: int, frequent: list[str]):
+    """Texts of a partition as blocks: their distinct words but for the frequent ones, and for each text the
+    numbers of its words, which go on from those of the frequent ones."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = _finder(pattern)
+        first = {w: n for n, w in enumerate(frequent)}
+        known = _numbered(first)
         ids: list[int | None] = []
         places: list[bytes] = []
         size = 0
 
         def block() -> pa.RecordBatch:
-            words = [w.encode(errors="replace").decode("latin-1").translate(of_byte) for w in known]
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([ids], pa.list_(pa.int64())),
                     pa.array([places], pa.list_(pa.binary())),
-                    pa.array([BETWEEN.join(words)]),
+                    pa.array([_as_tokens(islice(known, len(first), None), path)]),
                 ],
                 names=["ids", "places", "words"],
             )
@@ -218,25 +279,32 @@ def _split(path: str, pattern: str, block_bytes: int):
                 size += len(text)
                 if size >= block_bytes:
                     yield block()
-                    known, ids, places, size = _numbered(), [], [], 0
+                    known, ids, places, size = _numbered(first), [], [], 0
         if ids:
             yield block()
 
     return emit
 
 
-def _joined(path: str, with_bytes: bool):
-    """Tokens of each text, from those of its words."""
+def _lengths_and_tokens(words: str) -> tuple[np.ndarray, np.ndarray]:
+    listed = words.split(BETWEEN)
+    tokens = np.frombuffer("".join(listed).encode("utf-16-le"), "<u2").astype("<u4") - SHIFT
+    return np.fromiter(map(len, listed), np.int64, len(listed)), tokens
+
+
+def _joined(path: str, with_bytes: bool, frequent: str, n_frequent: int):
+    """Tokens of each text, from those of the frequent words and of its block's."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(path) if with_bytes else None
+        first_lengths, first_tokens = _lengths_and_tokens(frequent)
+        first_lengths = first_lengths[:n_frequent]
         for batch in batches:
             for row in range(batch.num_rows):
-                words = batch.column("words")[row].as_py().split(BETWEEN)
-                lengths = np.fromiter(map(len, words), np.int64, len(words))
+                own_lengths, own_tokens = _lengths_and_tokens(batch.column("words")[row].as_py())
+                lengths = np.concatenate([first_lengths, own_lengths])
+                tokens = np.concatenate([first_tokens, own_tokens])
                 starts = np.cumsum(lengths) - lengths
-                tokens = np.frombuffer("".join(words).encode("utf-16-le"), "<u2").astype("<u4") - SHIFT
-                del words
                 doc_ids, places = batch.column("ids")[row].values, batch.column("places")[row].values
                 for a in range(0, len(places), 200):
                     out = []
@@ -270,6 +338,8 @@ def encode(
     text: str = "text",
     block_bytes: int = BLOCK_BYTES,
     with_bytes: bool = False,
+    frequent: int = FREQUENT,
+    sample_rows: int = SAMPLE_ROWS,
 ) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``ids`` (little-endian unsigned 32-bit numbers) of every whole text.
 
@@ -279,24 +349,21 @@ def encode(
     each word is merged by itself. A missing text is an empty one and has no tokens. Repeated rows
     and missing ids are kept; other columns are ignored. A word of any length is merged as a whole.
 
-    There is no shuffle: the distinct words of about ``block_bytes`` characters of text are merged
-    once, whatever their number, in the task that read them.
+    At most ``frequent`` words, the most frequent ones of about ``sample_rows`` texts, are merged once for all
+    texts and sent to all tasks. All other distinct words of about ``block_bytes`` characters of text are merged together,
+    whatever their number, in the task that read them; no text is shuffled. Which words were found frequent makes no
+    difference to any result. ``docs`` is read twice, so it should be written.
     """
-    buckets = F.from_json(F.lit(_rank_json(ranks)), "array<map<string, string>>")
-    blocks = docs.select(
-        F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")
-    ).mapInArrow(
-        _split(ranks, pattern, block_bytes), "ids array<long>, places array<binary>, words string"
-    )
-    words = F.split(common_merges(F.col("words"), ranks), BETWEEN)
-    merged = blocks.select(
-        "ids",
-        "places",
-        F.array_join(F.transform(words, lambda w: merged_word(w, buckets)), BETWEEN).alias("words"),
+    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    listed = frequent_words(texts, pattern, frequent, sample_rows)
+    merged_once = fold_words(docs.sparkSession, listed, ranks)
+    blocks = texts.mapInArrow(
+        _split(ranks, pattern, block_bytes, listed), "ids array<long>, places array<binary>, words string"
     )
+    merged = blocks.select("ids", "places", _folded(F.col("words"), ranks).alias("words"))
     more = ", decoded binary" if with_bytes else ""
     return merged.mapInArrow(
-        _joined(ranks, with_bytes), f"doc_id long, n_tokens long, ids binary{more}"
+        _joined(ranks, with_bytes, merged_once, len(listed)), f"doc_id long, n_tokens long, ids binary{more}"
     )
 
 

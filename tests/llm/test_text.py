@@ -195,6 +195,22 @@ def test_encoding_and_decoding(spark, encoding):
         assert back == text.encode()
 
 
+@pytest.mark.parametrize("frequent", [0, 1, 7, 1000])
+def test_frequent_words_change_no_result(spark, encoding, frequent, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "FREQUENT_PART", 3)
+    texts = ["the one the two", "the \x00 the \x00 日本 日本", "", "one " * 40, "x" * 90 + " " + "x" * 90, " "]
+    got = encoded(spark, texts, block_bytes=20, frequent=frequent)
+    assert [(ids, back) for ids, back, _ in got] == [(encoding.encode_ordinary(t), t.encode()) for t in texts]
+
+
+def test_frequent_words(spark):
+    df = docs(spark, [(1, "b a b a b"), (2, "a c"), (3, None), (4, "y" * 65 + "\n" + "y" * 65)])
+    listed = byte_bpe.frequent_words(df, r"[a-z]+", 10, 100)
+    assert listed == ["a", "b"]
+    assert byte_bpe.frequent_words(df, r"[a-z]+", 1, 100) == ["a"]
+    assert byte_bpe.frequent_words(df.limit(0), r"[a-z]+", 1, 100) == []
+
+
 def test_bpe_query(spark, encoding):
     got = {r["doc_id"]: tuple(r)[1:] for r in queries()["op10_byte_bpe"](spark, SF).collect()}
     rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
