@@ -19,10 +19,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodgeframe.llm.common import written
+from lodgeframe.sources import scratch
+
 #: Buckets of the rank map, a power of two: a literal map is searched from its start, so each is a short one.
 BUCKETS = 1 << 16
 #: Bytes of text whose distinct words are encoded together.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Most words that are merged once for the whole corpus, and the texts that they are counted in: about so many rows, none
 #: of them longer than that. Only the time that is needed depends on these.
 FREQUENT = 1 << 18
@@ -226,14 +229,22 @@ def _counted(pattern: str):
 
 
 def frequent_words(docs: DataFrame, pattern: str, most: int, sample_rows: int) -> list[str]:
-    """At most ``most`` words that occur more than once in a sample of the ``text`` of ``docs``, the most frequent ones."""
+    """Words that occur more than once in a sample of the ``text`` of ``docs``: all from the least count on at which they
+    are at most ``most``."""
     rows = docs.count()
-    if not rows or not most:
+    if not rows:
         return []
     texts = docs.select("text").sample(min(1.0, sample_rows / rows), 7)
     counts = texts.where(F.length("text") <= SAMPLE_LENGTH).mapInArrow(_counted(pattern), "word string, n long")
-    words = counts.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
-    return [r["word"] for r in words.orderBy(F.desc("n"), "word").limit(most).select("word").collect()]
+    with scratch.scope():
+        words = written(counts.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), "word-counts")
+        left = least = 0
+        for n, of_count in words.groupBy("n").count().orderBy(F.desc("n")).collect():
+            left += of_count
+            if left > most:
+                break
+            least = n
+        return sorted(words.where(F.col("n") >= least).select("word").toArrow()["word"].to_pylist()) if least else []
 
 
 def fold_words(spark: SparkSession, words: list[str], path: str) -> str:

@@ -204,10 +204,10 @@ def test_frequent_words_change_no_result(spark, encoding, frequent, monkeypatch)
 
 
 def test_frequent_words(spark):
-    df = docs(spark, [(1, "b a b a b"), (2, "a c"), (3, None), (4, "y" * 65 + "\n" + "y" * 65)])
-    listed = byte_bpe.frequent_words(df, r"[a-z]+", 10, 100)
-    assert listed == ["a", "b"]
-    assert byte_bpe.frequent_words(df, r"[a-z]+", 1, 100) == ["a"]
+    df = docs(spark, [(1, "b a b a b d"), (2, "a c a d"), (3, None), (4, "y" * 65 + "\n" + "y" * 65)])
+    df = df.select("doc_id", "text")
+    for most, words in [(10, ["a", "b", "d"]), (2, ["a", "b"]), (1, ["a"]), (0, [])]:
+        assert byte_bpe.frequent_words(df, r"[a-z]+", most, 100) == words
     assert byte_bpe.frequent_words(df.limit(0), r"[a-z]+", 1, 100) == []
 
 
