@@ -12,7 +12,6 @@ from functools import lru_cache
 from itertools import islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 import xxhash
@@ -381,11 +380,12 @@ def encode(
 def decode(ids: Column, ranks: str) -> Column:
     """The bytes that ids stand for: their pieces one after another. Missing ids stay missing."""
 
-    @F.pandas_udf("binary")
-    def pieces(column: pd.Series) -> pd.Series:
+    @F.arrow_udf("binary")
+    def pieces(column: pa.Array) -> pa.Array:
         table = _pieces(ranks)
-        return column.map(
-            lambda raw: None if raw is None else b"".join(map(table, np.frombuffer(raw, "<u4").tolist()))
-        )
+        joined = [
+            None if raw is None else b"".join(map(table, np.frombuffer(raw, "<u4").tolist())) for raw in column.to_pylist()
+        ]
+        return pa.array(joined, pa.binary())
 
     return pieces(ids)
