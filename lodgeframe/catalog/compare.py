@@ -36,8 +36,11 @@ def _observed_sql(table: str, columns) -> str:
     )
 
 
-_TEST_COLUMNS = ["l_orderkey", "l_returnflag", "l_linestatus", "l_shipdate"]
-_PROD_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate"]
+_TEST_COLUMNS = [
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+    "l_returnflag", "l_linestatus", "l_shipdate",
+]
+_PROD_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 COLUMN_SETS = f"""
 test_names AS ({_observed_sql("lineitem", _TEST_COLUMNS)}),
 old_prod AS ({_observed_sql("orders", _PROD_COLUMNS)}),
@@ -52,9 +55,9 @@ overlap AS (SELECT coalesce(t.column_name, p.column_name) AS column_name,
 
 
 def column_names(spark, sf):
-    """Observed columns of two tables: names, and how many values each holds."""
-    test = observed_schema(views.read(spark, sf, "lineitem").select(*_TEST_COLUMNS), "t", "l")
-    prod = observed_schema(views.read(spark, sf, "orders").select(*_PROD_COLUMNS), "p", "o")
+    """All columns of two tables as observed: names, and how many values each holds."""
+    test = observed_schema(views.read(spark, sf, "lineitem"), "t", "l")
+    prod = observed_schema(views.read(spark, sf, "orders"), "p", "o")
     return test.select("column_name", "value_count"), prod.select("column_name", "value_count")
 
 
@@ -73,34 +76,49 @@ def _mapped(spark, sf):
     return test, renamed
 
 
-@query("set_column_overlap", f"WITH {COLUMN_SETS} SELECT column_name, found_in FROM overlap")
+def _with_counts(found, test, prod):
+    """Names with the number of values that each of two tables has under them."""
+    return found.join(test.withColumnRenamed("value_count", "test_values"), "column_name", "left").join(
+        prod.withColumnRenamed("value_count", "prod_values"), "column_name", "left"
+    )
+
+
+@query(
+    "set_column_overlap",
+    f"""WITH {COLUMN_SETS} SELECT column_name, found_in,
+      coalesce(test_values, 0) + coalesce(prod_values, 0) AS n_values FROM overlap""",
+)
 def set_column_overlap(spark, sf):
-    return column_overlap(*_mapped(spark, sf))
+    test, prod = _mapped(spark, sf)
+    values = F.coalesce("test_values", F.lit(0)) + F.coalesce("prod_values", F.lit(0))
+    return _with_counts(column_overlap(test, prod), test, prod).select(
+        "column_name", "found_in", values.alias("n_values")
+    )
 
 
 @query("cmp_column_sets", f"WITH {COLUMN_SETS} SELECT * FROM overlap")
 def cmp_column_sets(spark, sf):
     test, prod = _mapped(spark, sf)
-    return (
-        column_overlap(test, prod)
-        .join(test.withColumnRenamed("value_count", "test_values"), "column_name", "left")
-        .join(prod.withColumnRenamed("value_count", "prod_values"), "column_name", "left")
-    )
+    return _with_counts(column_overlap(test, prod), test, prod)
 
 
 @query(
     "join_column_sets",
     f"""WITH {COLUMN_SETS} SELECT column_name,
       CASE WHEN found_in <> 'prod only' THEN 'yes' END AS exists_test,
-      CASE WHEN found_in <> 'test only' THEN 'yes' END AS exists_prod FROM overlap""",
+      CASE WHEN found_in <> 'test only' THEN 'yes' END AS exists_prod, test_values, prod_values FROM overlap""",
 )
 def join_column_sets(spark, sf):
     test, prod = _mapped(spark, sf)
+    test = test.withColumnRenamed("value_count", "test_values")
+    prod = prod.withColumnRenamed("value_count", "prod_values")
     both = joins.outer_join_on(test, prod, ["column_name"])
     return both.select(
         "column_name",
         F.when(F.col("in_left"), F.lit("yes")).alias("exists_test"),
         F.when(F.col("in_right"), F.lit("yes")).alias("exists_prod"),
+        "test_values",
+        "prod_values",
     )
 
 
@@ -114,7 +132,7 @@ report AS (SELECT column_name,
   CASE found_in WHEN 'prod only' THEN 'in prod, not in test'
     WHEN 'test only' THEN 'in test, not in prod' END AS "variance reason",
   CASE WHEN found_in = 'match' THEN coalesce("existing column_name prod", column_name) END
-    AS "column name prod"
+    AS "column name prod", test_values, prod_values
   FROM overlap)"""
 
 
@@ -125,7 +143,7 @@ def _column_report(spark, sf):
 
 @query("cmp_column_report", f"WITH {_REPORT} SELECT * FROM report")
 def cmp_column_report(spark, sf):
-    return _column_report(spark, sf)
+    return _with_counts(_column_report(spark, sf), *_mapped(spark, sf))
 
 
 @query(
