@@ -158,12 +158,11 @@ def cmp_select_columns(spark, sf):
 
 @query(
     "cmp_map_columns",
-    """SELECT o_orderkey AS l_orderkey, o_custkey, o_orderstatus,
-      CAST(o_orderdate AS VARCHAR) AS l_shipdate FROM orders""",
+    """SELECT o_orderkey AS l_orderkey, o_custkey, o_orderstatus, o_totalprice,
+      CAST(o_orderdate AS VARCHAR) AS l_shipdate, o_orderpriority FROM orders""",
 )
 def cmp_map_columns(spark, sf):
-    orders = views.read(spark, sf, "orders").select(*_PROD_COLUMNS)
-    mapped = cmp.map_columns(orders, dict(MAPPING))
+    mapped = cmp.map_columns(views.read(spark, sf, "orders"), dict(MAPPING))
     return mapped.withColumn("l_shipdate", F.col("l_shipdate").cast("string"))
 
 
