@@ -213,16 +213,18 @@ def _folded(words: Column, path: str) -> Column:
 
 
 def _counted(pattern: str):
-    """The words of each batch of texts and how often they occur."""
+    """The words of each 500 texts and how often they occur."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = _finder(pattern)
         for batch in batches:
-            counts = Counter(w for text in batch.column("text").to_pylist() for w in find(text))
-            short = {w: n for w, n in counts.items() if len(w) <= FREQUENT_LENGTH}
-            yield pa.RecordBatch.from_pydict(
-                {"word": pa.array(short, pa.string()), "n": pa.array(short.values(), pa.int64())}
-            )
+            for start in range(0, batch.num_rows, 500):
+                counts: Counter[str] = Counter()
+                for text in batch.column("text").slice(start, 500):
+                    counts.update(w for w in find(text.as_py()) if len(w) <= FREQUENT_LENGTH)
+                yield pa.RecordBatch.from_pydict(
+                    {"word": pa.array(counts, pa.string()), "n": pa.array(counts.values(), pa.int64())}
+                )
 
     return emit
 
