@@ -339,10 +339,10 @@ def _tidy_sql(population: str | None) -> str:
 
 def _tidy_sides(spark, sf):
     order = ["l_linenumber", "l_partkey", "l_suppkey"]
-    test = views.lineitem_source(spark, sf).select(
+    test = views.lineitem_source(spark, sf, POP_KEYS).select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity"
     )
-    prod = views.lineitem_target(spark, sf).select(
+    prod = views.lineitem_target(spark, sf, POP_KEYS).select(
         "l_orderkey",
         "l_linenumber",
         "l_partkey",
@@ -385,7 +385,7 @@ def cmp_tidy(spark, sf):
 )
 def agg_run_summary(spark, sf):
     test, prod, order = _tidy_sides(spark, sf)
-    run = recon.positional_run(test, prod, _all_orders(spark, sf), POP_KEYS, order)
+    run = recon.positional_run(test, prod, _all_orders(spark, sf), POP_KEYS, order, small_groups=True)
     return run["summary"]
 
 

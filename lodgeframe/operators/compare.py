@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from lodgeframe.functions.text import plain_decimal, to_number
 from lodgeframe.functions.types import compare_type, short_type
 from lodgeframe.functions.variance import same_text, var_pct_null_aware
-from lodgeframe.operators.joins import ROWS, only_keys, outer_join_keys, outer_join_on, sides_by_key
+from lodgeframe.operators.joins import ROWS, only_in, only_keys, outer_join_keys, outer_join_on, sides_by_key
 from lodgeframe.operators.sets import number_rows
 from lodgeframe.operators.shape import all_in, quoted
 from lodgeframe.sources.scratch import written
@@ -232,7 +232,9 @@ def _differ(a: Column, b: Column, a_type: T.DataType, b_type: T.DataType) -> Col
     floating = (T.FloatType, T.DoubleType)
     if isinstance(a_type, T.NumericType) and isinstance(b_type, T.NumericType):
         if isinstance(a_type, floating) or isinstance(b_type, floating):
-            a, b = (F.round(x.cast("double"), FLOAT_PLACES) for x in (a, b))
+            a, b = a.cast("double"), b.cast("double")
+            # rounding is slow, and equal numbers stay equal
+            return ~a.eqNullSafe(b) & ~F.round(a, FLOAT_PLACES).eqNullSafe(F.round(b, FLOAT_PLACES))
     elif type(a_type) is not type(b_type):
         a, b = a.cast("string"), b.cast("string")
     return ~a.eqNullSafe(b)
@@ -248,17 +250,21 @@ def compare_cells(
     keys: Sequence[str],
     columns: Sequence[str] | None = None,
     check_keys: bool = True,
+    placed_by: Sequence[str] | None = None,
+    population: DataFrame | None = None,
+    population_keys: Sequence[str] = (),
 ) -> DataFrame:
     """The cells that differ, one row each, missing equal to missing.
 
     Rows are brought together by key, in one shuffle of both tables. ``row_found`` tells rows of one side only, whose
     filled cells are all listed. Rows without a difference are dropped before cells are laid out. Repeated keys are
     refused: at once with ``check_keys``, which writes the rows that differ, else when they are met.
+    ``placed_by`` as in stack_by_key(). With a ``population`` only its keys count, found among the rows that differ.
     """
     if columns is None:
         columns = [c for c in test.columns if c in prod.columns and c not in keys]
     names = [quoted(c) for c in [*keys, *columns]]
-    joined = sides_by_key(test.select(*names), prod.select(*names), keys, ("_test", "_prod"))
+    joined = sides_by_key(test.select(*names), prod.select(*names), keys, ("_test", "_prod"), placed_by)
     of_test, of_prod = _types(test, columns), _types(prod, columns)
     cells, differs = [], []
     for c in columns:
@@ -281,8 +287,10 @@ def compare_cells(
         .when(F.col("in_left"), F.lit("test only"))
         .otherwise(F.lit("prod only"))
     )
-    wanted = reduce(lambda x, y: x | y, differs, one_sided | (F.col(quoted(ROWS)) > 1))
-    found = _checked(joined.filter(wanted), keys, "test or prod", check_keys)
+    wanted = joined.filter(reduce(lambda x, y: x | y, differs, one_sided | (F.col(quoted(ROWS)) > 1)))
+    if population is not None:
+        wanted = only_in(wanted, population, population_keys)
+    found = _checked(wanted, keys, "test or prod", check_keys)
     return found.select(
         *[quoted(k) for k in keys],
         row_found.alias("row_found"),
@@ -324,13 +332,14 @@ def compare_tidy(
     prod: DataFrame,
     group: Sequence[str],
     order_by: Sequence[str],
+    small_groups: bool = False,
 ) -> DataFrame:
     """Every cell of two tables paired by position, within each group of rows.
 
     Rows are paired by their number in the declared order, columns by their
     place. Values that are both numbers are compared as numbers rounded to ten
     places, others as text; missing equals missing. Counts that differ get a
-    row of their own.
+    row of their own. ``small_groups`` as in number_rows(); rows are then paired where they are numbered.
     """
     test_columns = [c for c in test.columns if c not in group]
     prod_columns = [c for c in prod.columns if c not in group]
@@ -344,11 +353,12 @@ def compare_tidy(
             *[F.col(quoted(c)).alias(f"{side}{i}") for i, c in enumerate(columns)],
         )
         order = [f"{side}{i}" for i in order_at if i < len(columns)]
-        return number_rows(placed, order, partition_by=group)
+        return number_rows(placed, order, partition_by=group, small_groups=small_groups)
 
     a, b = numbered(test, test_columns, "t"), numbered(prod, prod_columns, "p")
     # both branches below read them
-    paired = written(outer_join_keys(a, b, [*group, "row_num"]), "paired")
+    placed_by = group if small_groups else None
+    paired = written(outer_join_keys(a, b, [*group, "row_num"], placed_by=placed_by), "paired")
 
     types = {"t": test.select(*map(quoted, test_columns)).schema.fields}
     types["p"] = prod.select(*map(quoted, prod_columns)).schema.fields
@@ -356,9 +366,13 @@ def compare_tidy(
     def number(side: str, i: int, text: Column) -> Column:
         fields = types[side]
         if i < len(fields) and isinstance(fields[i].dataType, T.NumericType):
-            value = F.nanvl(F.col(f"{side}{i}").cast("double"), F.lit(None).cast("double"))
-            return F.round(value, FLOAT_PLACES)
-        return to_number(text, FLOAT_PLACES)
+            return F.nanvl(F.col(f"{side}{i}").cast("double"), F.lit(None).cast("double"))
+        return to_number(text)
+
+    def difference(a: Column, b: Column) -> Column:
+        # rounding is slow, and most numbers are equal
+        rounded = F.round(a, FLOAT_PLACES) - F.round(b, FLOAT_PLACES)
+        return F.when(a - b == 0, F.lit(0.0)).otherwise(F.round(rounded, FLOAT_PLACES))
 
     missing_row = {
         "t": F.when(~F.col("in_left"), F.lit("ROW MISSING IN TEST")),
@@ -379,7 +393,7 @@ def compare_tidy(
         p_name = prod_columns[i] if i < len(prod_columns) else None
         label = f"{t_name} / {p_name}" if t_name and p_name and t_name != p_name else t_name or p_name
         t, p = value("t", i), value("p", i)
-        gap = F.round(number("t", i, t) - number("p", i, p), FLOAT_PLACES)
+        gap = difference(number("t", i, t), number("p", i, p))
         values += [t.alias(f"test{i}"), p.alias(f"prod{i}"), gap.alias(f"gap{i}")]
         t, p, gap = F.col(f"test{i}"), F.col(f"prod{i}"), F.col(f"gap{i}")
         same = F.when(gap.isNotNull(), gap == 0).otherwise(t.eqNullSafe(p))
@@ -433,16 +447,20 @@ def compare_tidy(
 
 
 def stack_sides(
-    source: DataFrame, target: DataFrame, keys: Sequence[str], check_keys: bool = True
+    source: DataFrame,
+    target: DataFrame,
+    keys: Sequence[str],
+    check_keys: bool = True,
+    placed_by: Sequence[str] | None = None,
 ) -> DataFrame:
     """SOURCE, TARGET and VARIANCE rows for every key, all values as text.
 
     A variance cell is the difference of two numbers ('0' if there is none), or
-    MATCH or MISMATCH for other values and for rows found on one side only.
+    MATCH or MISMATCH for other values and for rows found on one side only. ``placed_by`` as in stack_by_key().
     """
     columns = [c for c in source.columns if c not in keys]
     of_source, of_target = _types(source, columns), _types(target, columns)
-    joined = sides_by_key(source, target.select(*map(quoted, source.columns)), keys, ("_s", "_t"))
+    joined = sides_by_key(source, target.select(*map(quoted, source.columns)), keys, ("_s", "_t"), placed_by)
     joined = _checked(joined, keys, "source or target", check_keys)
     rows = {"SOURCE": [], "TARGET": [], "VARIANCE": []}
     both = F.col("in_left") & F.col("in_right")
@@ -453,9 +471,9 @@ def stack_sides(
         equal = ~_differ(s, t, of_source[c], of_target[c])
         match = F.when(both & equal, F.lit("MATCH")).otherwise(F.lit("MISMATCH"))
         if isinstance(of_source[c], T.NumericType) and isinstance(of_target[c], T.NumericType):
-            number = F.round(s.cast("double") - t.cast("double"), FLOAT_PLACES)
-            gap = F.when(both & s.isNull() & t.isNull(), F.lit("0")).otherwise(
-                plain_decimal(number)
+            number = s.cast("double") - t.cast("double")
+            gap = F.when((both & s.isNull() & t.isNull()) | (number == 0), F.lit("0")).otherwise(
+                plain_decimal(F.round(number, FLOAT_PLACES))
             )
             match = F.when(both, F.coalesce(gap, F.lit("MISMATCH"))).otherwise(match)
         rows["VARIANCE"].append(match.alias(c))

@@ -56,12 +56,17 @@ def outer_join_on(
     return joined.select(*key_columns, *left_rest, *right_rest, *flags)
 
 
-def stack_by_key(frames: Mapping[str, DataFrame], keys: Sequence[str]) -> DataFrame:
+def stack_by_key(
+    frames: Mapping[str, DataFrame], keys: Sequence[str], placed_by: Sequence[str] | None = None
+) -> DataFrame:
     """One row for each key of any table: the keys, for each table a struct of its other columns (missing where the
     table lacks the key) and ``ROWS``, the most rows that a table has of the key.
 
     The tables are stacked and shuffled once, by key, and grouped where they lie. Missing keys are one key. No rows are
     paired: of several rows of a key one is kept and counted for the others, so a key that is none costs no memory.
+
+    ``placed_by`` names some of the keys that few rows share. Rows meet by these alone, without a shuffle where the tables
+    lie by them.
     """
     kinds = {}
     for name, df in frames.items():
@@ -81,7 +86,7 @@ def stack_by_key(frames: Mapping[str, DataFrame], keys: Sequence[str]) -> DataFr
     )
     by_key = [F.col(quoted(k)) for k in keys]
     grouped = (
-        stacked.repartition(*by_key)
+        stacked.repartition(*[F.col(quoted(k)) for k in placed_by or keys])
         .groupBy(*by_key)
         .agg(
             *[F.first(F.col(quoted(n)), ignorenulls=True).alias(n) for n in frames],
@@ -99,11 +104,17 @@ def only_keys(stacked: DataFrame, keys: Sequence[str], what: str = "table") -> D
 
 
 def sides_by_key(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], suffixes: tuple[str, str] = ("_left", "_right")
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    suffixes: tuple[str, str] = ("_left", "_right"),
+    placed_by: Sequence[str] | None = None,
 ) -> DataFrame:
-    """The columns of outer_join_on(), and ``ROWS``: for tables whose keys are keys, or are checked by it."""
+    """The columns of outer_join_on(), and ``ROWS``: for tables whose keys are keys, or are checked by it.
+
+    ``placed_by`` as in stack_by_key()."""
     shared = {c for c in left.columns if c in right.columns and c not in keys}
-    grouped = stack_by_key({"left side": left, "right side": right}, keys)
+    grouped = stack_by_key({"left side": left, "right side": right}, keys, placed_by)
     columns = [F.col(quoted(k)) for k in keys]
     for side, df, suffix in (("left", left, suffixes[0]), ("right", right, suffixes[1])):
         columns += [
@@ -114,10 +125,16 @@ def sides_by_key(
 
 
 def outer_join_keys(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], suffixes: tuple[str, str] = ("_left", "_right")
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    suffixes: tuple[str, str] = ("_left", "_right"),
+    placed_by: Sequence[str] | None = None,
 ) -> DataFrame:
-    """outer_join_on() of tables whose keys are keys, in one shuffle; a repeated key is an error."""
-    return only_keys(sides_by_key(left, right, keys, suffixes), keys)
+    """outer_join_on() of tables whose keys are keys, in one shuffle at most; a repeated key is an error.
+
+    ``placed_by`` as in stack_by_key()."""
+    return only_keys(sides_by_key(left, right, keys, suffixes, placed_by), keys)
 
 
 def outer_join_all(frames: dict[str, DataFrame], key: str) -> DataFrame:
@@ -154,9 +171,17 @@ def lookup_last(
 
 
 def only_in(df: DataFrame, population: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows whose keys are in the population; a missing key is in it if it has a missing one."""
+    """Rows whose keys are in the population; a missing key is in it if it has a missing one.
+
+    Whether it has one is looked up first. If not, keys are joined as they are, and the rows then lie by them for later steps.
+    """
     chosen = population.select(*[F.col(quoted(k)).alias(f"chosen {k}") for k in keys])
-    same = [df[quoted(k)].eqNullSafe(chosen[quoted(f"chosen {k}")]) for k in keys]
+    missing = reduce(lambda a, b: a | b, [F.col(quoted(c)).isNull() for c in chosen.columns])
+    pairs = [(df[quoted(k)], chosen[quoted(f"chosen {k}")]) for k in keys]
+    if chosen.where(missing).isEmpty():
+        same = [a == b for a, b in pairs]
+    else:
+        same = [a.eqNullSafe(b) for a, b in pairs]
     return df.join(chosen, reduce(lambda a, b: a & b, same), "left_semi")
 
 

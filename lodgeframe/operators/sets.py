@@ -47,10 +47,13 @@ def number_rows(
     order_by: Sequence[str],
     partition_by: Sequence[str] = (),
     name: str = "row_num",
+    small_groups: bool = False,
 ) -> DataFrame:
     """Number rows from 1 in a declared order, within each group or over the whole table.
 
-    No group has to fit in one task. Rows are range-partitioned by group and
+    With ``small_groups`` each group is numbered by one task, in one shuffle at most: for groups that are known to be small, such as the lines of an order.
+
+    Otherwise no group has to fit in one task. Rows are range-partitioned by group and
     order, so that a large group spreads over many partitions, and numbered
     inside each partition; a row's number is its place there plus the number of
     rows its group has in earlier partitions. Remaining columns, then a random
@@ -59,6 +62,9 @@ def number_rows(
     """
     rest = [c for c in df.columns if c not in order_by and c not in partition_by]
     sort = [quoted(c) for c in [*partition_by, *order_by, *rest]]
+    if small_groups and partition_by:
+        order = Window.partitionBy(*map(quoted, partition_by)).orderBy(*sort[len(partition_by) :])
+        return df.withColumn(name, F.row_number().over(order).cast("bigint"))
     placed = (
         df.withColumn("tie", F.rand(7))
         .repartitionByRange(*[F.col(c) for c in sort], F.col("tie"))

@@ -95,16 +95,15 @@ def positional_run(
     population: DataFrame,
     group: Sequence[str],
     order_by: Sequence[str],
+    small_groups: bool = False,
 ) -> dict[str, DataFrame]:
     """Every cell of a population compared by position, and the mismatches per key.
 
-    Keys of the population without any row are in the summary, as missing in both and with no mismatch.
+    Keys of the population without any row are in the summary, as missing in both and with no mismatch. The paired rows
+    are written, cells are made of them where they are used. ``small_groups`` as in number_rows().
     """
-    cells = written(
-        compare_tidy(
-            only_in(test, population, group), only_in(prod, population, group), group, order_by
-        ),
-        "tidy",
+    cells = compare_tidy(
+        only_in(test, population, group), only_in(prod, population, group), group, order_by, small_groups
     )
     return {"comparison": cells, "summary": run_summary(cells, group, population)}
 

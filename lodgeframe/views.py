@@ -8,6 +8,7 @@ results are checked.
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -149,10 +150,17 @@ def stay_tables(spark: SparkSession, sf_dir: str) -> StayTables:
     )
 
 
-def lineitem_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items of the source side; keys are made unique by summing repeats."""
-    lines = read(spark, sf_dir, "lineitem")
-    return lines.groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").agg(
+LINE_KEYS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+def lineitem_source(spark: SparkSession, sf_dir: str, placed_by: Sequence[str] = LINE_KEYS) -> DataFrame:
+    """Line items of the source side; keys are made unique by summing repeats.
+
+    Rows are shuffled by ``placed_by``, some of the keys, and summed where they lie: next to none repeat, so
+    sums before the shuffle would only sort them once more. By order, all that compares orders finds their few lines together.
+    """
+    lines = read(spark, sf_dir, "lineitem").repartition(*placed_by)
+    return lines.groupBy(*LINE_KEYS).agg(
         F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("l_quantity"),
         F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias(
             "l_extendedprice"
@@ -162,12 +170,12 @@ def lineitem_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def lineitem_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lineitem_target(spark: SparkSession, sf_dir: str, placed_by: Sequence[str] = LINE_KEYS) -> DataFrame:
     """The same after a faulty load: rows lost, amounts and flags changed."""
     key = F.col("l_orderkey")
     flag = F.col("l_returnflag")
     return (
-        lineitem_source(spark, sf_dir)
+        lineitem_source(spark, sf_dir, placed_by)
         .filter(key % 250 != 1)
         .withColumns(
             {
