@@ -588,12 +588,13 @@ def cmp_s2t_summary(spark, sf):
 )
 def agg_variance_summary(spark, sf):
     run = recon.source_against_target(
-        views.lineitem_source(spark, sf),
-        views.lineitem_target(spark, sf),
+        views.lineitem_source(spark, sf, POP_KEYS),
+        views.lineitem_target(spark, sf, POP_KEYS),
         KEYS,
         _all_orders(spark, sf),
         POP_KEYS,
         exempt=KEYS,
+        placed_by=POP_KEYS,
     )
     return run["summary"]
 

@@ -115,15 +115,17 @@ def source_against_target(
     population: DataFrame,
     population_keys: Sequence[str],
     exempt: Sequence[str],
+    placed_by: Sequence[str] | None = None,
 ) -> dict[str, DataFrame]:
-    """Stacked detail, flagged variance rows and counts per key, for a population."""
-    detail = written(
-        stack_sides(
-            only_in(source, population, population_keys),
-            only_in(target, population, population_keys),
-            keys,
-        ),
-        "stacked",
+    """Stacked detail, flagged variance rows and counts per key, for a population.
+
+    Rows of both sides are written, and stacked where they are used. ``placed_by`` as in stack_by_key().
+    """
+    detail = stack_sides(
+        only_in(source, population, population_keys),
+        only_in(target, population, population_keys),
+        keys,
+        placed_by=placed_by,
     )
     variance = flag_variance(detail, exempt)
     return {

@@ -33,6 +33,7 @@ def plans_of(spark, monkeypatch, name):
 # tables written, shuffles by ranges (whose input is computed twice), and shuffles of any kind, at most
 LIMITS = {
     "agg_run_summary": (["paired"], 0, 8),
+    "agg_variance_summary": (["sides"], 0, 5),
 }
 
 
