@@ -369,7 +369,7 @@ def _all_orders(spark, sf):
 @query("cmp_tidy", f"WITH {_tidy_sql(None)} SELECT * FROM tidy")
 def cmp_tidy(spark, sf):
     test, prod, order = _tidy_sides(spark, sf)
-    return cmp.compare_tidy(test, prod, POP_KEYS, order)
+    return cmp.compare_tidy(test, prod, POP_KEYS, order, small_groups=True)
 
 
 @query(

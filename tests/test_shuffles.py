@@ -34,6 +34,7 @@ def plans_of(spark, monkeypatch, name):
 LIMITS = {
     "agg_run_summary": (["paired"], 0, 8),
     "agg_variance_summary": (["sides"], 0, 5),
+    "cmp_tidy": (["paired"], 0, 3),
 }
 
 
