@@ -420,13 +420,14 @@ _MATRIX = ", ".join(f"count(*) FILTER (column_name = '{c}') AS {c}" for c in sor
 )
 def cmp_population_matrix(spark, sf):
     run = recon.compare_environments(
-        views.lineitem_source(spark, sf),
-        views.lineitem_target(spark, sf),
+        views.lineitem_source(spark, sf, POP_KEYS),
+        views.lineitem_target(spark, sf, POP_KEYS),
         KEYS,
         _all_orders(spark, sf),
         POP_KEYS,
         {},
         WAREHOUSE,
+        placed_by=POP_KEYS,
     )
     return run["matrix"]
 

@@ -30,6 +30,9 @@ from lodgeframe.operators.sets import union_all
 from lodgeframe.operators.shape import quoted
 from lodgeframe.sources.scratch import written
 
+# A population of more keys is looked up for the rows that differ, not for all rows.
+FEW_KEYS = 1_000_000
+
 
 def compare_environments(
     test: DataFrame,
@@ -41,6 +44,7 @@ def compare_environments(
     warehouse_types: Mapping[str, str],
     measures: Sequence[str] = (),
     only_mapped: bool = False,
+    placed_by: Sequence[str] | None = None,
 ) -> dict[str, DataFrame]:
     """Cells that differ between two environments for a population, with their summaries.
 
@@ -51,6 +55,9 @@ def compare_environments(
     What could not be compared does not end the run, it is in ``notes``: values that do not fit their type (they are compared
     as their own text, and left out of sums), rows left out because a key does not fit, and keys of the population
     without rows on a side. The notes are computed when they are used.
+
+    ``placed_by`` as in stack_by_key(). Rows are limited to the population before they are compared if it has few keys,
+    and else after that, when only those that differ are left.
     """
     mapped = test.sparkSession.createDataFrame(list(mapping.items()), "old string, new string")
     report = column_report(name_relation(test), name_relation(prod), mapped)
@@ -63,6 +70,7 @@ def compare_environments(
     shared = [c for c in test.columns if c in chosen or c in keys]
     columns = [c for c in shared if c not in keys]
     bad_key = has_unfit(keys, warehouse_types)
+    few = population.limit(FEW_KEYS + 1).count() <= FEW_KEYS
     sides, notes = {}, []
     for side, df in (("test", test), ("prod", prod)):
         df = df.select(*map(quoted, shared))
@@ -70,8 +78,9 @@ def compare_environments(
         df = df.where(~bad_key)
         typed = align_types(df.select(*map(quoted, keys)), warehouse_types).schema
         df = df.withColumns({k: F.col(quoted(k)).try_cast(typed[k].dataType) for k in keys})
-        sides[side] = only_in(df, population, population_keys)
-        notes.append(unfit_values(sides[side], keys, columns, warehouse_types, side))
+        sides[side] = only_in(df, population, population_keys) if few else df
+        unfit = unfit_values(sides[side], keys, columns, warehouse_types, side)
+        notes.append(unfit if few else only_in(unfit, population, population_keys))
     notes.append(keys_without_rows(population, sides, keys, population_keys, warehouse_types))
     test, prod = sides.values()
     measures = [c for c in measures if c in columns]
@@ -80,7 +89,8 @@ def compare_environments(
         numbers = {c: F.col(quoted(c)).try_cast(compare_type(warehouse_types.get(c, "double precision"))) for c in texts}
         test = sum_by_rest(test.withColumns(numbers) if numbers else test, measures)
     aligned = (align_types(df, warehouse_types, as_text=columns) for df in (test, prod))
-    cells = written(compare_cells(*aligned, keys, columns), "cells")
+    chosen_later = {} if few else {"population": population, "population_keys": population_keys}
+    cells = written(compare_cells(*aligned, keys, columns, placed_by=placed_by, **chosen_later), "cells")
     return {
         "columns": report,
         "variance": cells,

@@ -35,6 +35,7 @@ LIMITS = {
     "agg_run_summary": (["paired"], 0, 8),
     "agg_variance_summary": (["sides"], 0, 5),
     "cmp_tidy": (["paired"], 0, 3),
+    "cmp_population_matrix": (["sides", "cells"], 0, 5),
 }
 
 
