@@ -436,13 +436,13 @@ def _environments(spark, sf):
     """Source and target as texts, with some values and keys that are no numbers."""
     order, line = F.col("l_orderkey"), F.col("l_linenumber")
     price, key = F.col("l_extendedprice").cast("string"), order.cast("string")
-    test = views.lineitem_source(spark, sf).withColumns(
+    test = views.lineitem_source(spark, sf, POP_KEYS).withColumns(
         {
             "l_orderkey": F.when(order % 1009 == 0, F.concat(F.lit("order "), key)).otherwise(key),
             "l_extendedprice": F.when((order + line) % 97 == 0, F.lit("n/a")).otherwise(price),
         }
     )
-    prod = views.lineitem_target(spark, sf).withColumns(
+    prod = views.lineitem_target(spark, sf, POP_KEYS).withColumns(
         {
             "l_linenumber": F.when(order % 503 == 0, F.lit("first")).otherwise(line.cast("string")),
             "l_extendedprice": F.when((order + line) % 89 == 0, F.lit("")).otherwise(price),
@@ -450,8 +450,9 @@ def _environments(spark, sf):
     )
     prod = prod.withColumnRenamed("l_extendedprice", "price")
     return recon.compare_environments(
-        test, prod, KEYS, _all_orders(spark, sf), POP_KEYS, {"price": "l_extendedprice"}, WAREHOUSE, only_mapped=True
-    )
+        test, prod, KEYS, _all_orders(spark, sf), POP_KEYS, {"price": "l_extendedprice"}, WAREHOUSE, only_mapped=True,
+        placed_by=POP_KEYS,
+    )
 
 
 def _note(side: str, column: str | None, value: str, note: str, source: str, keys: dict[str, str | None]) -> str:

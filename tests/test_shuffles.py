@@ -35,7 +35,10 @@ LIMITS = {
     "agg_run_summary": (["paired"], 0, 8),
     "agg_variance_summary": (["sides"], 0, 5),
     "cmp_tidy": (["paired"], 0, 3),
+    "cmp_notes": (["sides", "cells"], 0, 17),
     "cmp_population_matrix": (["sides", "cells"], 0, 5),
+    "cmp_environment_cells": (["sides", "cells"], 0, 4),
+    "cmp_environment_columns": (["sides", "cells"], 0, 10),
 }
 
 
