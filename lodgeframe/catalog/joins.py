@@ -248,14 +248,15 @@ def join_dict_lookup(spark, sf):
 def join_positional(spark, sf):
     def numbered(df):
         rows = df.select(*KEYS, "l_quantity")
-        rows = number_rows(rows, KEYS[1:], partition_by=["l_orderkey"])
+        rows = number_rows(rows, KEYS[1:], partition_by=["l_orderkey"], small_groups=True)
         return rows.select("l_orderkey", "row_num", "l_quantity")
 
     return joins.outer_join_keys(
-        numbered(views.lineitem_source(spark, sf)),
-        numbered(views.lineitem_target(spark, sf)),
+        numbered(views.lineitem_source(spark, sf, ["l_orderkey"])),
+        numbered(views.lineitem_target(spark, sf, ["l_orderkey"])),
         ["l_orderkey", "row_num"],
         ("_test", "_prod"),
+        placed_by=["l_orderkey"],
     ).drop("in_left", "in_right")
 
 
