@@ -559,7 +559,7 @@ def _stack_sql() -> str:
 
 def _stacked(spark, sf):
     return cmp.stack_sides(
-        views.lineitem_source(spark, sf), views.lineitem_target(spark, sf), KEYS
+        views.lineitem_source(spark, sf, POP_KEYS), views.lineitem_target(spark, sf, POP_KEYS), KEYS, placed_by=POP_KEYS
     )
 
 

@@ -38,6 +38,7 @@ LIMITS = {
     "cmp_notes": (["sides", "cells"], 0, 17),
     "cmp_population_matrix": (["sides", "cells"], 0, 5),
     "join_positional": ([], 0, 2),
+    "cmp_s2t_stack": (["sides"], 0, 2),
     "cmp_environment_cells": (["sides", "cells"], 0, 4),
     "cmp_environment_columns": (["sides", "cells"], 0, 10),
 }
