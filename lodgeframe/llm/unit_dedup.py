@@ -19,14 +19,16 @@ from lodgeframe.sources import scratch
 
 #: Units that are passed on at once.
 CHUNK = 1 << 16
-#: Of a run of sentences: it begins where a line does, it ends where one does.
+#: Of a run of words: it begins where a line does, it ends where one does.
 STARTS, ENDS = 1, 2
-#: A sentence of a line, from its first letter or mark to its last.
+#: A sentence of a line, from its first letter or mark to its last; passages do not depend on it.
 SENTENCE = re.compile(r"""\S.*?(?:[.!?…]+["')\]»”]*(?=\s)|[。！？]+|$)""", re.DOTALL)
 #: A letter of Thai, Lao, Burmese, Khmer, Japanese or Chinese.
 UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003134f]")
 #: Where a sentence ends although no space follows.
 UNSPACED_END = re.compile("[。！？]+")
+#: A word of a line; the end of such a sentence ends a word as well.
+WORD = re.compile(r"[^\s。！？]*[。！？]+|[^\s。！？]+")
 UNIT_SCHEMA = "doc_id long, version long, place int, start int, stop int, again boolean, high long, low long"
 
 
@@ -149,9 +151,9 @@ class Text:
     def repeated(self, filter_: Broadcast) -> tuple[np.ndarray, np.ndarray]:
         """Units that may occur elsewhere: rows of place, start and stop, and their digests in two rows.
 
-        Lines, and with ``passage`` runs of whole sentences of at least that many words, none of which is needlessly long: from
-        each sentence the shortest run that begins there, to each the shortest that ends there, so every sentence of a
-        repeated passage is in a run that is repeated too. Stop is where the next sentence of the line begins, or the end of the line.
+        Lines, and with ``passage`` each that many words on end, so every word of a longer repeated passage is in some that
+        are repeated too. They start at the first word, or where its line does, and stop where the line's next word begins,
+        or at its end.
         """
         wanted = holds(filter_, self.marks)
         begins = np.array([self.lines[n][2] for n in self.long], np.int64)
@@ -167,65 +169,43 @@ class Text:
         units = np.array(lines, np.int64).reshape(-1, 3).T
         found = [units], [self.of_lines[:, known]]
         if wanted.any():
-            runs, digests = self._runs(wanted)
-            found[0].append(runs)
-            found[1].append(digests)
-        return np.concatenate(found[0], axis=1), np.concatenate(found[1], axis=1)
-
-    def _runs(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Runs that begin at a wanted word. Lines that no such run can reach are not cut into sentences."""
-        starts, ends = np.array([[first, end] for *_, first, end in self.lines]).T
-        places = np.flatnonzero(wanted)
-        # a run ends less than a sentence and ``passage`` words behind the line that it begins in
-        of = np.unique(np.searchsorted(ends, places, "right"))
-        last = np.searchsorted(starts, ends[of] + self.passage) - 1
-        found = [[np.zeros((3, 0), np.int64)], [np.zeros((2, 0), np.uint64)]]
-        while len(of):
-            # lines that follow each other, as far as the reach of one meets the next
-            apart = np.flatnonzero(of[1:] > np.maximum.accumulate(last)[:-1])
-            stop = int(apart[0]) + 1 if len(apart) else len(of)
-            units, digests = self._runs_of(self.lines[int(of[0]) : int(last[:stop].max()) + 1], wanted)
+            units, digests = self._windows(np.flatnonzero(wanted))
             found[0].append(units)
             found[1].append(digests)
-            of, last = of[stop:], last[stop:]
         return np.concatenate(found[0], axis=1), np.concatenate(found[1], axis=1)
 
-    def _runs_of(self, lines: list[tuple], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        edges, begin, end, total = [], [], [], [lines[0][2]]
-        for a, b, first_word, end_word in lines:
-            spans = [m.span() for m in SENTENCE.finditer(self.text, a, b)]
-            if not spans:
-                continue
-            count = len(spans)
-            edges += [0] * count
-            edges[-count] += STARTS
-            edges[-1] += ENDS
-            begins = [c for c, _ in spans]
-            begin.append(a)
-            begin += begins[1:]
-            end += begins[1:]
-            end.append(b)
-            at = first_word
-            for c, d in spans[:-1]:
-                at += len(self.text[c:d].split())
-                total.append(at)
-            total.append(end_word)
-        total = np.array(total)
-        count = len(edges)
-        every = np.arange(count)
-        until = np.searchsorted(total, total[:-1] + self.passage)
-        since = np.searchsorted(total, total[1:] - self.passage, "right") - 1
-        i = np.concatenate([every[until <= count], since[since >= 0]])
-        j = np.concatenate([until[until <= count], every[since >= 0] + 1])
-        kept = wanted[total[i]]
-        i, j = np.divmod(np.unique(i[kept] * (count + 1) + j[kept]), count + 1)
-        edges, begin, end = np.array(edges), np.array(begin), np.array(end)
-        place = (edges[i] & STARTS) + (edges[j - 1] & ENDS)
-        return np.stack([place, begin[i], end[j - 1]]), self.words.digests(self.sums, total[i], total[j])
-
-
-def _short_digests(separator: str, min_words: int, passage: int | None):
-    """How often each short digest of a line or mark of a passage occurs in some of the texts."""
+    def _windows(self, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ``passage`` words from each of these on."""
+        starts = [a for a, _, begin, end in self.lines if begin < end]
+        begins = np.array([begin for _, _, begin, end in self.lines if begin < end])
+        stops, ends = np.array([(b, end) for _, b, begin, end in self.lines if begin < end]).T
+        begin_of = np.array([a + m.start() for a, b, *_ in self.lines for m in WORD.finditer(self.text[a:b])])
+        last = first + self.passage - 1
+        line, last_line = (np.searchsorted(begins, at, "right") - 1 for at in (first, last))
+        opens, closes = begins[line] == first, ends[last_line] == last + 1
+        begin = np.where(opens, np.array(starts)[line], begin_of[first])
+        stop = np.where(closes, stops[last_line], begin_of[np.minimum(last + 1, len(begin_of) - 1)])
+        place = opens * STARTS + closes * ENDS
+        return np.stack([place, begin, stop]), self.words.digests(self.sums, first, last + 1)
+
+    def whole(self) -> np.ndarray:
+        """The units of repeated() of a text all of which occurs elsewhere, as few as will do."""
+        spans = [self.lines[n][:2] for n in self.long]
+        if len(self.marks):
+            filled = [(a, b) for a, b, first, end in self.lines if first < end]
+            spans.append((filled[0][0], filled[-1][1]))
+        return np.array([(STARTS + ENDS, a, b) for a, b in spans], np.int64).reshape(-1, 3).T
+
+
+def _not_copies(batch: pa.RecordBatch, holders: Broadcast | None) -> np.ndarray:
+    """Which rows may be the first of equal texts: all that are, and few others."""
+    if holders is None:
+        return np.ones(batch.num_rows, bool)
+    return holds(holders, batch.column("row").to_numpy().view(np.uint64))
+
+
+def _short_digests(separator: str, min_words: int, passage: int | None, holders: Broadcast | None):
+    """How often each short digest of a line or mark of a passage occurs in some of the texts, copies left out."""
 
     def packed(found: list[np.ndarray]) -> pa.RecordBatch:
         values, counts = np.unique(np.concatenate(found), return_counts=True)
@@ -235,7 +215,7 @@ def _short_digests(separator: str, min_words: int, passage: int | None):
         words = Words()
         for batch in batches:
             found, held = [], 0
-            for text in batch.column("text"):
+            for text in batch.column("text").filter(pa.array(_not_copies(batch, holders))):
                 found.append(Text(text.as_py(), separator, min_words, passage, words).short_digests())
                 held += len(found[-1])
                 if held >= CHUNK:
@@ -247,7 +227,7 @@ def _short_digests(separator: str, min_words: int, passage: int | None):
     return emit
 
 
-def _units(separator: str, min_words: int, passage: int | None, repeated: Broadcast):
+def _units(separator: str, min_words: int, passage: int | None, repeated: Broadcast, holders: Broadcast | None):
     def packed(batch: pa.RecordBatch, rows: list[int], found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         owner = np.repeat(rows, [u.shape[1] for u, _ in found]).astype(np.int64)
         units = np.concatenate([u for u, _ in found], axis=1)
@@ -263,6 +243,8 @@ def _units(separator: str, min_words: int, passage: int | None, repeated: Broadc
         again = np.zeros(len(order), bool)
         again[order] = units[1][order] >= units[2][order][first]
         again[order[same]] = units[1][order[same]] >= units[2][order[same]]
+        # without a digest: of a copy, gone as a whole
+        again |= (digests == 0).all(axis=0)
         rows = pa.array(owner)
         return pa.RecordBatch.from_arrays(
             [
@@ -279,8 +261,13 @@ def _units(separator: str, min_words: int, passage: int | None, repeated: Broadc
         words = Words()
         for batch in batches:
             rows, found, held = [], [], 0
-            for row, text in enumerate(batch.column("text")):
-                own = Text(text.as_py(), separator, min_words, passage, words).repeated(repeated)
+            for row, (text, other) in enumerate(zip(batch.column("text"), _not_copies(batch, holders).tolist())):
+                parts = Text(text.as_py(), separator, min_words, passage, words)
+                if other:
+                    own = parts.repeated(repeated)
+                else:
+                    units = parts.whole()
+                    own = units, np.zeros((2, units.shape[1]), np.uint64)
                 if own[0].shape[1]:
                     rows.append(row)
                     found.append(own)
@@ -338,9 +325,10 @@ def repeated_units(
     Rows without an id or a text take no part. Rows that share an id are
     versions of one document: none of them makes a unit of another one repeated.
 
-    With ``passage``, runs of whole sentences of at least that many words are units as well, wherever in a line they
-    begin and end (windows()). Spans then reach to the next unit, past the separator, and
+    With ``passage``, each that many words on end are a unit as well, wherever in a line they
+    begin and end. Spans then reach to the next word, or past the separator, and
     are merged: ``removed`` has ``start`` and ``stop`` only, of the text with one separator behind it.
+    Of equal texts only the first is looked through for them: the others are gone as a whole.
 
     Digests, not texts, are grouped. A first pass counts short digests of lines and marks() of passages; what occurs once, nearly all
     of it, is then left out by a filter of bounded size, and only what may repeat becomes a row. The number of rows per
@@ -357,11 +345,19 @@ def _repeated_units(docs: DataFrame, key: str, text: str, separator: str, min_wo
         F.xxhash64(text).alias("version"),
         F.col(text).alias("text"),
     )
-    counts = known.select("text").mapInArrow(_short_digests(separator, min_words, passage), "digest long, n long")
+    holders = None
+    if passage is not None:
+        # a row is told by its id and text
+        known = known.withColumn("row", F.xxhash64("doc_id", "version"))
+        texts = known.groupBy("version", F.xxhash64(F.lit(1), "text").alias("other")).agg(F.min("doc_id").alias("first_id"))
+        holders = filter_of(written(texts.select(F.xxhash64("first_id", "version").alias("row")), "holders"))
+    counts = known.mapInArrow(_short_digests(separator, min_words, passage, holders), "digest long, n long")
     often = counts.groupBy("digest").agg(F.sum("n").alias("n")).where("n > 1").select("digest")
     repeated = filter_of(written(often, "repeated"))
-    units = written(known.mapInArrow(_units(separator, min_words, passage, repeated), UNIT_SCHEMA), "units")
+    units = written(known.mapInArrow(_units(separator, min_words, passage, repeated, holders), UNIT_SCHEMA), "units")
     repeated.destroy()
+    if holders is not None:
+        holders.destroy()
     # written, so that the join below has a shuffle of its own, whose large partitions can be split
     firsts = (
         units.where(~F.col("again"))
